@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordermill.plans import questions
-from ordermill.sources import roles
+from ordermill.operators import cleaning, quality
+from ordermill.plans import explore, metrics, pages, questions, star
+from ordermill.schemas import DATE_COLUMNS, Rule
+from ordermill.session import scratch_path
+from ordermill.sources import files, roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,4 +34,212 @@ QUESTIONS: dict[str, Query] = {
     "rfm": _on_clean(questions.rfm, "orders", "order_items", "customers"),
 }
 
-QUERIES: dict[str, Query] = {**QUESTIONS}
+
+# ---- audits and constraints --------------------------------------------------------
+
+# The constraints of the cleaned tables, with the widths of the generic test tables.
+ROLE_CONSTRAINTS = (
+    Rule("orders", "not_null", ("order_id",)),
+    Rule("orders", "not_null", ("order_delivered_customer_date",)),
+    Rule("orders", "max_length", ("order_status",), (8,)),
+    Rule("orders", "unique", ("order_id",)),
+    Rule("orders", "foreign_key", ("customer_id",), ("customers",)),
+    Rule("customers", "not_null", ("customer_state",)),
+    Rule("customers", "length", ("customer_state",), (8,)),
+    Rule("customers", "unique", ("customer_id",)),
+    Rule("products", "not_null", ("product_category_name_english",)),
+    Rule("products", "between", ("product_photos_qty",), (1, 45)),
+    Rule("products", "unique", ("product_id",)),
+    Rule("order_items", "fits", ("price",), ("decimal(6,2)",)),
+    Rule("order_items", "fits", ("freight_value",), ("decimal(5,2)",)),
+    Rule("order_items", "unique", ("order_id", "order_item_id")),
+    Rule("order_items", "foreign_key", ("order_id",), ("orders",)),
+    Rule("order_items", "foreign_key", ("product_id",), ("products",)),
+    Rule("order_items", "foreign_key", ("seller_id",), ("sellers",)),
+    Rule("sellers", "unique", ("seller_id",)),
+    Rule("payments", "between", ("payment_installments",), (1, 11)),
+    Rule("payments", "unique", ("order_id", "payment_sequential")),
+    Rule("payments", "foreign_key", ("order_id",), ("orders",)),
+    Rule("reviews", "between", ("review_score",), (1, 5)),
+    Rule("reviews", "unique", ("order_id",)),
+    Rule("reviews", "foreign_key", ("order_id",), ("orders",)),
+)
+
+
+def _pick(tables, *names):
+    return {n: tables[n] for n in names}
+
+
+def _profile_nulls(spark, folder):
+    return quality.profile_nulls(_pick(roles.raw_tables(spark, folder), "orders", "order_items",
+                                       "reviews", "products", "customers", "sellers"))
+
+
+def _profile_shape(spark, folder):
+    raw = roles.raw_tables(spark, folder)
+    return quality.profile_shape(dict(raw.items()))
+
+
+def _dup_rows(spark, folder):
+    return quality.dup_row_count(_pick(roles.raw_tables(spark, folder), "geolocation", "orders",
+                                       "payments", "reviews"))
+
+
+def _null_by_group(spark, folder):
+    return quality.null_by_group(roles.orders(spark, folder), "order_delivered_customer_date",
+                                 "order_status")
+
+
+def _column_span(spark, folder):
+    items = roles.order_items(spark, folder)
+    return quality.column_span(items, ["price", "freight_value", "order_item_id"])
+
+
+def _predicate_count(spark, folder):
+    return quality.predicate_count(roles.order_items(spark, folder), {
+        "free_freight": F.col("freight_value") == 0, "no_price": F.col("price") <= 0})
+
+
+def _row_delta(spark, folder):
+    return quality.row_delta(roles.raw_tables(spark, folder), roles.clean_tables(spark, folder))
+
+
+def _row_parity(spark, folder):
+    """Written tables against what reads back."""
+    clean = _pick(roles.clean_tables(spark, folder), "payments", "reviews", "products")
+    target = scratch_path(spark, "parity")
+    files.write_clean(clean, target)
+    return quality.row_parity(clean, files.read_clean(spark, target, list(clean)))
+
+
+def _check_constraints(spark, folder):
+    return quality.check_constraints(roles.clean_tables(spark, folder), ROLE_CONSTRAINTS)
+
+
+def _lookup_gaps(spark, folder):
+    """Categories before the hand-added translation: some products stay untranslated."""
+    translated = cleaning.translate(roles.products_raw(spark, folder),
+                                    roles.translation(spark, folder))
+    return quality.lookup_gaps(translated, "product_category_name", "product_category_name_english")
+
+
+def _unmatched_keys(spark, folder):
+    points = cleaning.inside_box(roles.geolocation_raw(spark, folder))
+    return quality.unmatched_keys({
+        "customers": (roles.customers(spark, folder), "customer_zip_code_prefix"),
+        "sellers": (roles.sellers(spark, folder), "seller_zip_code_prefix"),
+    }, points.select("geolocation_zip_code_prefix").distinct(), "geolocation_zip_code_prefix")
+
+
+AUDITS: dict[str, Query] = {
+    "profile_nulls": _profile_nulls,
+    "profile_shape": _profile_shape,
+    "dup_row_count": _dup_rows,
+    "null_by_group": _null_by_group,
+    "column_span": _column_span,
+    "predicate_count": _predicate_count,
+    "row_delta": _row_delta,
+    "row_parity": _row_parity,
+    "check_constraints": _check_constraints,
+    "lookup_gaps": _lookup_gaps,
+    "date_order_conflicts": lambda s, d: quality.date_order_conflicts(roles.orders(s, d)),
+    "unmatched_keys": _unmatched_keys,
+    "key_reuse": lambda s, d: quality.key_reuse(roles.reviews_raw(s, d)),
+    "person_repeat_audit": lambda s, d: quality.person_repeat_audit(roles.customers(s, d)),
+    "seller_audit": lambda s, d: quality.seller_audit(roles.sellers(s, d)),
+}
+
+# ---- cleaning ------------------------------------------------------------------------
+
+
+def _clean_orders(spark, folder):
+    """Dates as text, as a raw file holds them, parsed back to timestamps."""
+    orders = roles.orders(spark, folder)
+    text = orders.withColumns({c: F.col(c).cast("string") for c in DATE_COLUMNS["orders"]})
+    return cleaning.clean_orders(text)
+
+
+CLEANING: dict[str, Query] = {
+    "clean_orders": _clean_orders,
+    "clean_payments": lambda s, d: cleaning.clean_payments(roles.payments_raw(s, d)),
+    "keep_latest_review": lambda s, d: cleaning.clean_reviews(roles.reviews_raw(s, d)),
+    "translate_category": lambda s, d: roles.clean_tables(s, d)["products"],
+    "zip_centroid": lambda s, d: cleaning.zip_centroid(roles.geolocation_raw(s, d)),
+}
+
+# ---- star, measures and pages -----------------------------------------------------------
+
+ROLE_CALENDAR = (date(1995, 1, 1), date(2001, 12, 31))
+
+
+def _star(spark: SparkSession, folder: str) -> star.Star:
+    return star.build_star(spark, roles.clean_tables(spark, folder), ROLE_CALENDAR,
+                           with_places=False)
+
+
+def _measures(*names: str, by=(), where=None) -> Query:
+    return lambda s, d: metrics.evaluate(_star(s, d), names, by, where)
+
+
+def _page(visual: Callable[..., DataFrame], where=None) -> Query:
+    return lambda s, d: visual(_star(s, d), where)
+
+
+_PLAIN = tuple(m for m in metrics.MEASURES if m != "mom_growth")
+
+STAR: dict[str, Query] = {
+    "fact_order_items": _on_clean(star.fact_order_items, "order_items", "orders", "reviews"),
+    "dim_customer": _on_clean(star.dim_customer, "customers", "geolocation"),
+    "dim_product": _on_clean(star.dim_product, "products"),
+    "dim_seller": _on_clean(star.dim_seller, "sellers", "geolocation"),
+    "dim_date": _on_clean(star.dim_date_of, "orders"),
+    "measures_total": _measures(*metrics.MEASURES),
+    "measures_by_month": _measures(*metrics.MEASURES, by=["year_month"]),
+    "measures_by_state": _measures(*_PLAIN, by=["customer_state"]),
+    "measures_by_category": _measures(*_PLAIN, by=["category"]),
+    "measures_by_seller_state": _measures(*_PLAIN, by=["seller_state", "year"]),
+    "measures_sliced": _measures(*metrics.MEASURES, by=["customer_state"],
+                                 where={"year": [1997, 1998], "category": ["promo", "small"]}),
+    "mom_calendar": _measures("mom_growth", by=["year_month"]),
+    "mom_by_category": _measures("total_revenue", "mom_growth", by=["category", "year_month"],
+                                 where={"year": [1999]}),
+    "repeat_rate_by_year": _measures("repeat_customer_rate", by=["year"]),
+    "overview_top_categories": _page(pages.top_categories),
+    "overview_top_states": _page(pages.top_states, {"year": [1996]}),
+    "category_economics": _page(pages.category_economics),
+    "delivery_by_state": _page(pages.delivery_by_state),
+    "late_by_month": _page(pages.late_by_month),
+    "score_by_delay_bin": _page(pages.score_by_delay_bin),
+    "months_sorted": _page(pages.months_sorted),
+}
+
+# ---- exploration ---------------------------------------------------------------------------
+
+# Order values of the generic test tables are about a thousand times the source's.
+_VALUE_CAP = 200_000
+
+EXPLORE: dict[str, Query] = {
+    "delivery_headline": _on_clean(explore.delivery_headline, "orders"),
+    "score_by_delay": _on_clean(explore.score_by_delay, "orders", "reviews"),
+    "order_value_stats": _on_clean(explore.order_value_stats, "orders", "order_items",
+                                   cap=_VALUE_CAP),
+    "order_value_hist": _on_clean(explore.order_value_hist, "orders", "order_items",
+                                  cap=_VALUE_CAP),
+    "monthly_trend": _on_clean(explore.monthly_trend, "orders", "order_items"),
+    "peak_month": _on_clean(explore.peak_month, "orders", "order_items"),
+    "state_revenue_share": _on_clean(explore.state_revenue, "orders", "order_items", "customers"),
+    "state_concentration": _on_clean(explore.state_concentration, "orders", "order_items",
+                                     "customers"),
+    "category_pareto": _on_clean(explore.category_pareto, "orders", "order_items", "products"),
+    "category_concentration": _on_clean(explore.category_concentration, "orders", "order_items",
+                                        "products"),
+    "payment_value_share": _on_clean(explore.payment_value_share, "orders", "payments"),
+    "installment_dist": _on_clean(explore.installment_dist, "orders", "payments"),
+    "installment_shares": _on_clean(explore.installment_shares, "orders", "payments"),
+    "purchase_rank": _on_clean(explore.purchase_rank, "orders", "customers", upto=3),
+    "repeat_rate": _on_clean(explore.repeat_rate, "orders", "customers"),
+    "repeat_gap": _on_clean(explore.repeat_gap, "orders", "customers"),
+    "repeat_gap_hist": _on_clean(explore.repeat_gap_hist, "orders", "customers"),
+}
+
+QUERIES: dict[str, Query] = {**QUESTIONS, **AUDITS, **CLEANING, **STAR, **EXPLORE}
