@@ -8,9 +8,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordermill.models import attribution, evaluation, review_model
 from ordermill.operators import cleaning, quality
-from ordermill.plans import explore, metrics, pages, questions, star
-from ordermill.schemas import DATE_COLUMNS, Rule
+from ordermill.operators.shaping import inline_rows, union_rows
+from ordermill.plans import explore, features, metrics, pages, questions, star
+from ordermill.schemas import DATE_COLUMNS, RAW, Rule
 from ordermill.session import scratch_path
 from ordermill.sources import files, roles
 
@@ -242,4 +244,186 @@ EXPLORE: dict[str, Query] = {
     "repeat_gap_hist": _on_clean(explore.repeat_gap_hist, "orders", "customers"),
 }
 
-QUERIES: dict[str, Query] = {**QUESTIONS, **AUDITS, **CLEANING, **STAR, **EXPLORE}
+
+# ---- features and metrics -----------------------------------------------------------------
+
+# Levels with fewer training rows than this fold together in the registered queries.
+_MIN_LEVEL_ROWS = 100
+
+
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    return features.feature_table(roles.clean_tables(spark, folder))
+
+
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    return features.stratified_split(features.model_rows(_features(spark, folder)))
+
+
+def _train_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    split = _split(spark, folder)
+    return split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test")
+
+
+def _level_folding(spark, folder):
+    """Rows per folded category; levels are learned on training rows and applied to all."""
+    split = _split(spark, folder)
+    known = features.frequent_levels(split.filter(~F.col("is_test")), "category", _MIN_LEVEL_ROWS)
+    return split.withColumn("category", features.fold_level(F.col("category"), known)).groupBy(
+        "category", "is_test").agg(F.count("*").alias("n"))
+
+
+def _scaled_features(spark, folder):
+    train, test = _train_test(spark, folder)
+    stats = features.moments(train).first().asDict()
+    return test.select("order_id", *[features.scaled(c, stats).alias(c) for c in features.NUMERIC])
+
+
+def _hashed_scores(spark, folder):
+    """Labels with a score that is a fixed function of the order number."""
+    key = F.col("order_id")
+    return _features(spark, folder).select(
+        "order_id", features.LABEL, ((key * 7919 % 1009).cast("double") / F.lit(1009.0)).alias("risk"))
+
+
+def _metric(function: Callable[..., DataFrame], digits: dict[str, int] | None = None) -> Query:
+    def run(spark, folder):
+        out = function(_hashed_scores(spark, folder), "risk", features.LABEL)
+        return out.withColumns({c: F.round(c, d) for c, d in (digits or {}).items()})
+    return run
+
+
+FEATURES: dict[str, Query] = {
+    "feature_table": _features,
+    "null_total": lambda s, d: quality.null_total(_features(s, d)),
+    "stratified_split": lambda s, d: _split(s, d).select("order_id", features.LABEL, "is_test"),
+    "split_counts": lambda s, d: features.split_counts(_split(s, d)),
+    "balanced_weights": lambda s, d: features.balanced_weights(_train_test(s, d)[0]),
+    "level_folding": _level_folding,
+    "scaled_features": _scaled_features,
+    "sample_rows": lambda s, d: features.sample_rows(_features(s, d), 500).select("order_id"),
+    "threshold_metrics": _metric(evaluation.threshold_metrics),
+    "roc_auc": _metric(evaluation.roc_auc),
+    # a sum of doubles: the last digits depend on the order of addition
+    "avg_precision": _metric(evaluation.average_precision, {"pr_auc": 12}),
+    "confusion": _metric(evaluation.confusion),
+    "confusion_report": _metric(evaluation.confusion_report),
+}
+
+# ---- models ----------------------------------------------------------------------------------
+# The functions default to 300 trees and 300 rounds; the registered runs fit fewer, on all rows.
+
+_OPTIONS = {
+    "logistic_regression": {},
+    "random_forest": {"trees": 20, "max_depth": 8},
+    "boosted_trees": {"rounds": 10},
+}
+
+
+def _fit(spark, folder, estimator: str) -> tuple[review_model.ReviewModel, DataFrame]:
+    train, test = _train_test(spark, folder)
+    preparation = review_model.prepare(train, _MIN_LEVEL_ROWS)
+    return review_model.fit(train, estimator, preparation, **_OPTIONS[estimator]), test
+
+
+def _model_compare(spark, folder):
+    return review_model.compare(*_train_test(spark, folder), _OPTIONS, _MIN_LEVEL_ROWS)
+
+
+def _risk_top(spark, folder):
+    model, test = _fit(spark, folder, "boosted_trees")
+    return review_model.risk_rank(model, test, 100)
+
+
+def _feature_importance(spark, folder):
+    return review_model.importance(spark, _fit(spark, folder, "boosted_trees")[0])
+
+
+def _attribution_linear(spark, folder):
+    model, test = _fit(spark, folder, "logistic_regression")
+    return attribution.linear_attribution(model, features.sample_rows(test))
+
+
+def _attribution_permutation(spark, folder):
+    model, test = _fit(spark, folder, "boosted_trees")
+    return attribution.permutation_importance(model, features.sample_rows(test))
+
+
+MODELS: dict[str, Query] = {
+    "model_compare": _model_compare,
+    "risk_top": _risk_top,
+    "feature_importance": _feature_importance,
+    "attribution_linear": _attribution_linear,
+    "attribution_permutation": _attribution_permutation,
+}
+
+# ---- sources and sinks -------------------------------------------------------------------------
+
+
+def _inline_rows(spark, folder):
+    """Translations with the hand-added rows, and the products each one names."""
+    added = inline_rows(spark, roles.EXTRA_TRANSLATIONS,
+                        "product_category_name string, product_category_name_english string")
+    used = roles.products_raw(spark, folder).groupBy("product_category_name").agg(
+        F.count("*").alias("products"))
+    return union_rows(roles.translation(spark, folder), added).join(used, "product_category_name")
+
+
+def _source_manifest(spark, folder):
+    tables = ("customer", "lineitem", "nation", "orders", "part", "supplier", "refunds")
+    return files.source_manifest(spark, folder, [f"{t}.parquet" for t in tables])
+
+
+def _csv_round_trip(spark, folder):
+    """Reviews with line breaks and quotes in their text, written as CSV and read back."""
+    message = F.concat("review_comment_message", F.lit('\nsaid "'), "review_id", F.lit('", twice'))
+    text = roles.reviews_raw(spark, folder).withColumn("review_comment_message", message)
+    target = f"{scratch_path(spark, 'csv')}/reviews.csv"
+    text.select([F.col(c).cast("string") for c in text.columns]).write.option(
+        "header", True).option("escape", '"').csv(target)
+    return files.read_csv(spark, target, RAW["reviews"], quoted_newlines=True)
+
+
+def _parquet_round_trip(spark, folder):
+    target = scratch_path(spark, "parquet")
+    files.write_clean({"payments": roles.clean_tables(spark, folder)["payments"]}, target)
+    return files.read_clean(spark, target, ["payments"])["payments"]
+
+
+def _table_round_trip(spark, folder):
+    """Orders and items as tables bucketed on the order, joined without a shuffle."""
+    target = scratch_path(spark, "tables")
+    suffix = target.rsplit("-", 1)[-1]
+    clean = roles.clean_tables(spark, folder)
+    names = files.load_tables({f"orders_{suffix}": clean["orders"],
+                               f"order_items_{suffix}": clean["order_items"]},
+                              "default", target, bucket_by_order=8)
+    orders, items = (spark.table(n) for n in names)
+    return orders.join(questions.order_revenue(items), "order_id").groupBy("order_status").agg(
+        F.count("*").alias("orders"), F.sum("revenue").alias("revenue"))
+
+
+def _preview(spark, folder):
+    return files.preview(QUESTIONS["monthly_revenue"](spark, folder), ["order_month"])
+
+
+def _register_views(spark, folder):
+    """Row counts of the five views, read back by name."""
+    names = star.register_star(spark, _star(spark, folder))
+    counts = quality.stacked(
+        spark.table(v).agg(F.count("*").alias("n")).select(F.lit(v).alias("view"), "n")
+        for v in ("fact_order_items", "dim_customer", "dim_product", "dim_seller"))
+    return names.join(counts, "view")
+
+
+SOURCES: dict[str, Query] = {
+    "inline_rows": _inline_rows,
+    "source_manifest": _source_manifest,
+    "csv_round_trip": _csv_round_trip,
+    "parquet_round_trip": _parquet_round_trip,
+    "table_round_trip": _table_round_trip,
+    "preview": _preview,
+    "register_views": _register_views,
+}
+
+QUERIES: dict[str, Query] = {
+    **QUESTIONS, **AUDITS, **CLEANING, **STAR, **EXPLORE, **FEATURES, **MODELS, **SOURCES}

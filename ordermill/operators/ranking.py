@@ -139,7 +139,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
     out = []
     for i, (name, p) in enumerate(quantiles.items()):
         at = F.lit(float(p)) * (F.col("__size") - 1)
-        part = at - F.floor(at)
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append((low + (high - low) * part).alias(name))
+        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
     return found.select(*keys, *out)

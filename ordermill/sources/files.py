@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,15 +85,15 @@ def preview(df: DataFrame, order: Sequence[str | Column], n: int = 8) -> DataFra
     return df.orderBy(*order).limit(n).crossJoin(F.broadcast(total))
 
 
-def source_manifest(spark: SparkSession, folder: str, expected: Sequence[str],
-                    pattern: str = "*") -> DataFrame:
-    """Every expected file with its size, and whether it is missing.
+def source_manifest(spark: SparkSession, folder: str, expected: Sequence[str]) -> DataFrame:
+    """Every expected file (or folder of part files) with its size, and whether it is missing.
 
     Only file listings are read, not their contents.
     """
-    present = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-               .select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                       F.col("length").alias("file_size")))
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
+    entry = F.regexp_extract("path", f"/{re.escape(base)}/([^/]+)", 1)
+    present = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+               .groupBy(entry.alias("file_name")).agg(F.sum("length").alias("file_size")))
     wanted = inline_rows(spark, [(f,) for f in expected], "file_name string")
     return wanted.join(present, "file_name", "left").withColumn(
         "missing", F.col("file_size").isNull())
