@@ -39,7 +39,8 @@ def _ranked(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFra
     groups = upto.groupBy(*by).agg(
         F.min(F.col("tp") - F.col("pos")).alias("tp0"), F.min(F.col("fp") - F.col("neg")).alias("fp0"),
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    placed = upto.join(groups, list(by)) if by else attach_row(upto, groups)
+    # one row per compared model or feature
+    placed = upto.join(F.broadcast(groups), list(by)) if by else attach_row(upto, groups)
     return placed.select(*by, "pos", "neg", "all_pos", "all_neg",
                          (F.col("tp") - F.col("tp0")).alias("tp"),
                          (F.col("fp") - F.col("fp0")).alias("fp"))

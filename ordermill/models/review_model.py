@@ -128,9 +128,12 @@ ESTIMATORS: dict[str, Callable[..., object]] = {
 
 
 def fit(train: DataFrame, estimator: str, preparation: Preparation | None = None,
-        **options) -> ReviewModel:
+        key: str = "order_id", **options) -> ReviewModel:
+    """Fit on rows in a fixed partitioning and order, so that a seed repeats its result."""
     preparation = preparation or prepare(train)
-    return ReviewModel(preparation, ESTIMATORS[estimator](preparation.apply(train), **options))
+    rows = preparation.apply(train).select(key, LABEL, "features").repartition(
+        key).sortWithinPartitions(key)
+    return ReviewModel(preparation, ESTIMATORS[estimator](rows, **options))
 
 
 def compare(train: DataFrame, test: DataFrame, options: Mapping[str, dict],

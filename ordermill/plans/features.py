@@ -105,7 +105,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = "order_id",
     labels = placed.groupBy(label).agg((F.min("__position") - 1).alias("__before"),
                                        F.count("*").alias("__size"))
     wanted = F.round(F.lit(fraction) * F.col("__size"))
-    return placed.join(labels, label).withColumn(
+    return placed.join(F.broadcast(labels), label).withColumn(
         "is_test", F.col("__position") - F.col("__before") <= wanted).select(
         *df.columns, "is_test")
 

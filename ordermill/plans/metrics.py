@@ -38,33 +38,38 @@ def _sliced(df: DataFrame, where: Slicers) -> DataFrame:
     return df
 
 
-def _delivered(star: Star, used: set[str]) -> DataFrame:
-    """Delivered facts, reduced to the coarsest grain that still carries the used columns.
+def _delivered(star: Star, used: set[str], scored: bool) -> DataFrame:
+    """Delivered orders at the coarsest grain that still carries the used columns.
 
-    Rows shrink to one per order (and product or seller, if asked for) before any
-    dimension is joined.
+    Item rows are summed to one per order (and product or seller, if asked for)
+    with map-side combine before any join, so a huge order stays small; reviews
+    are only joined for the score measure.
     """
     own = {name: expr() for name, expr in FACT_COLUMNS.items() if name in used}
-    facts = star.fact.filter(F.col("is_delivered") == 1).withColumns(own)
-    grain = ["order_id", "customer_id", "order_date", *own]
-    if used & (set(star.product.columns) - {"product_id"}) or "product_id" in used:
-        grain.append("product_id")
-    if used & (set(star.seller.columns) - {"seller_id"}) or "seller_id" in used:
-        grain.append("seller_id")
-    return facts.groupBy(*grain).agg(
-        F.sum("revenue").alias("revenue"), F.max("delivery_days").alias("days"),
-        F.max("is_late").alias("late"), F.max("review_score").alias("score"))
-
-
-def _additive(star: Star, by: Sequence[str], where: Slicers, per_person: bool) -> DataFrame:
+    grain = ["order_id"] + [key for dim, key in ((star.product, "product_id"),
+                                                 (star.seller, "seller_id"))
+                            if used & set(dim.columns)]
+    sold = star.items.groupBy(*grain).agg(F.sum(C.revenue()).alias("revenue"))
+    orders = star.orders.filter(F.col("is_delivered") == 1).withColumns(own)
+    if scored:
+        orders = orders.join(star.scores, "order_id", "left")
+    score = "review_score" if scored else F.lit(None).cast("int").alias("review_score")
+    return sold.join(orders, "order_id").select(
+        *grain, "customer_id", "order_date", *own, "revenue",
+        F.col("delivery_days").alias("days"), F.col("is_late").alias("late"), score)
+
+
+def _additive(star: Star, measures: Sequence[str], by: Sequence[str], where: Slicers) -> DataFrame:
     """Sums and counts per group, from which every measure but growth follows."""
+    per_person = "repeat_customer_rate" in measures
     used = {*by, *where} | ({"customer_unique_id"} if per_person else set())
-    facts = _sliced(star_join(star, used, _delivered(star, used)), where)
+    facts = _delivered(star, used, scored="avg_review_score" in measures)
+    facts = _sliced(star_join(facts, star, used), where)
     person = ["customer_unique_id"] if per_person and "customer_unique_id" not in by else []
     # one row per order in each group: order values count once
     per_order = facts.groupBy(*by, *person, "order_id").agg(
         F.sum("revenue").alias("revenue"), F.max("days").alias("days"),
-        F.max("late").alias("late"), F.max("score").alias("score"))
+        F.max("late").alias("late"), F.max("review_score").alias("score"))
     sums = (F.sum("revenue").alias("revenue"), F.count("*").alias("orders"),
             F.sum("days").alias("days"), F.count("days").alias("days_n"),
             F.sum("late").alias("late"), F.sum("score").alias("score"),
@@ -107,7 +112,7 @@ def _growth(star: Star, by: Sequence[str], where: Slicers) -> DataFrame:
     rest_where = {c: v for c, v in where.items() if c not in MONTH_COLUMNS}
     date_where = {c: v for c, v in where.items() if c in MONTH_COLUMNS}
     used = {*rest, *rest_where}
-    facts = _sliced(star_join(star, used, _delivered(star, used)), rest_where)
+    facts = _sliced(star_join(_delivered(star, used, scored=False), star, used), rest_where)
     monthly = facts.groupBy(*rest, F.trunc("order_date", "MM").alias("year_month")).agg(
         F.sum("revenue").alias("revenue"))
     nothing = F.lit(None).cast(monthly.schema["revenue"].dataType)
@@ -131,7 +136,7 @@ def evaluate(star: Star, measures: Sequence[str], by: Sequence[str] = (),
     plain = [m for m in measures if m != "mom_growth"]
     out = None
     if plain:
-        sums = _additive(star, by, where, per_person="repeat_customer_rate" in plain)
+        sums = _additive(star, plain, by, where)
         out = sums.select(*by, *[_formula(m).alias(m) for m in plain])
     if "mom_growth" in measures:
         growth = _growth(star, by, where)

@@ -21,19 +21,27 @@ CALENDAR = (date(2016, 9, 1), date(2018, 12, 31))
 _MAX_CALENDAR_DAYS = 366_000
 
 
+def order_facts(orders: DataFrame) -> DataFrame:
+    """What the fact rows know about their order, one row per order."""
+    return orders.select(
+        "order_id", "customer_id", F.to_date("order_purchase_timestamp").alias("order_date"),
+        "order_status", C.is_delivered().alias("is_delivered"),
+        C.order_delivery_days().alias("delivery_days"),
+        C.order_delay_days().alias("delivery_delay_days"), C.order_is_late().alias("is_late"))
+
+
+def order_scores(reviews: DataFrame) -> DataFrame:
+    return reviews.select("order_id", "review_score")
+
+
 def fact_order_items(items: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row per item unit, all statuses kept.
 
     Delivery days, delay and score belong to the order and repeat on each of its
-    rows; measures over them aggregate per order first.
+    rows; measures over them count every order once.
     """
-    placed = orders.select(
-        "order_id", "customer_id", F.to_date("order_purchase_timestamp").alias("order_date"),
-        "order_status", C.is_delivered().alias("is_delivered"),
-        C.order_delivery_days().alias("delivery_days"),
-        C.order_delay_days().alias("delivery_delay_days"), C.order_is_late().alias("is_late"))
-    scored = placed.join(reviews.select("order_id", "review_score"), "order_id", "left")
-    return items.join(scored, "order_id").select(
+    placed = order_facts(orders).join(order_scores(reviews), "order_id", "left")
+    return items.join(placed, "order_id").select(
         "order_id", "order_item_id", "customer_id", "product_id", "seller_id", "order_date",
         "order_status", "is_delivered", "price", "freight_value", C.revenue().alias("revenue"),
         "delivery_days", "delivery_delay_days", "is_late", "review_score")
@@ -90,7 +98,16 @@ def dim_date_of(orders: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Star:
+    """The five views, and the tables behind the fact.
+
+    Measures start from the latter, so that items are summed before they meet
+    their order and reviews are only read where a score is asked for.
+    """
+
     fact: DataFrame
+    items: DataFrame
+    orders: DataFrame
+    scores: DataFrame
     customer: DataFrame
     product: DataFrame
     seller: DataFrame
@@ -110,6 +127,8 @@ def build_star(spark: SparkSession, tables: Mapping[str, DataFrame],
     """
     customers, sellers = tables["customers"], tables["sellers"]
     return Star(
+        items=tables["order_items"], orders=order_facts(tables["orders"]),
+        scores=order_scores(tables["reviews"]),
         fact=fact_order_items(tables["order_items"], tables["orders"], tables["reviews"]),
         customer=dim_customer(customers, tables["geolocation"]) if with_places else customers,
         product=dim_product(tables["products"]),
@@ -122,21 +141,20 @@ def register_star(spark: SparkSession, star: Star) -> DataFrame:
     return register_views(spark, star.views())
 
 
-def star_join(star: Star, needed: set[str], fact: DataFrame | None = None) -> DataFrame:
-    """The fact with only the dimensions that ``needed`` columns come from.
+def star_join(facts: DataFrame, star: Star, needed: set[str]) -> DataFrame:
+    """Fact rows with only the dimensions that ``needed`` columns come from.
 
     Each dimension is many-to-one, so no fact row multiplies. Spark broadcasts a
     dimension when its size allows; only the calendar is bounded by construction.
     """
-    out = star.fact if fact is None else fact
     dims = ((star.customer, "customer_id"), (star.product, "product_id"),
             (star.seller, "seller_id"))
     for dim, key in dims:
         wanted = [c for c in dim.columns if c in needed and c != key]
         if wanted:
-            out = out.join(dim.select(key, *wanted), key, "left")
+            facts = facts.join(dim.select(key, *wanted), key, "left")
     wanted = [c for c in star.date.columns if c in needed]
     if wanted:
         days = star.date.select(F.col("date").alias("order_date"), *wanted)
-        out = out.join(F.broadcast(days), "order_date", "left")
-    return out
+        facts = facts.join(F.broadcast(days), "order_date", "left")
+    return facts

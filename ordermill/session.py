@@ -22,6 +22,12 @@ def build_session(app: str = "ordermill", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split a skewed join even where that costs one more shuffle
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # checkpoint files go when the frame that owns them does
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # no call-site lookup for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     if master:
