@@ -149,6 +149,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
     for i, (name, p) in enumerate(quantiles.items()):
         at = F.lit(float(p)) * (F.col("__size") - 1)
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        part = at - F.floor(at)
+        between = low * (1.0 - part) + high * part
         out.append(F.when(low == high, low).otherwise(between).alias(name))
     return found.select(*keys, *out)
