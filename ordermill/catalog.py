@@ -228,6 +228,7 @@ EXPLORE: dict[str, Query] = {
     "order_value_hist": _on_clean(explore.order_value_hist, "orders", "order_items",
                                   cap=_VALUE_CAP),
     "monthly_trend": _on_clean(explore.monthly_trend, "orders", "order_items"),
+    "monthly_trend_filled": _on_clean(explore.monthly_trend_filled, "orders", "order_items"),
     "peak_month": _on_clean(explore.peak_month, "orders", "order_items"),
     "state_revenue_share": _on_clean(explore.state_revenue, "orders", "order_items", "customers"),
     "state_concentration": _on_clean(explore.state_concentration, "orders", "order_items",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ordermill.functions import columns as C
-from ordermill.operators.shaping import missing_keys, top_n
+from ordermill.operators.shaping import missing_keys
 from ordermill.schemas import CLEAN_KEYS, Rule
 
 
@@ -240,7 +240,3 @@ def person_repeat_audit(customers: DataFrame) -> DataFrame:
 def seller_audit(sellers: DataFrame) -> DataFrame:
     return sellers.agg(F.count("*").alias("sellers"),
                        F.count_distinct("seller_state").alias("states"))
-
-
-def most_frequent(df: DataFrame, column: str, n: int) -> DataFrame:
-    return top_n(value_counts(df, column), n, [F.col("n").desc(), column])

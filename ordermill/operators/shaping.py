@@ -135,8 +135,13 @@ def day_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
         F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 day"))).alias("date"))
 
 
-def month_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
-    """First day of every month from ``start`` to ``end``."""
-    return spark.range(1).select(F.explode(F.sequence(
-        F.trunc(F.lit(start).cast("date"), "MM"), F.lit(end).cast("date"),
-        F.expr("interval 1 month"))).alias("year_month"))
+def fill_months(df: DataFrame, month: str, values: Sequence[str]) -> DataFrame:
+    """Every month from the first to the last, with 0 where the data has none.
+
+    The input holds one row per month, so both sides are bounded by the calendar.
+    """
+    span = df.agg(F.min(month).alias("__first"), F.max(month).alias("__last"))
+    spine = span.select(F.explode(F.sequence(
+        "__first", "__last", F.expr("interval 1 month"))).alias(month))
+    return spine.join(F.broadcast(df), month, "left").select(
+        month, *[F.coalesce(c, F.lit(0)).alias(c) for c in values])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ordermill.functions import columns as C
 from ordermill.operators.ranking import exact_quantiles, first_rows
 from ordermill.operators.shaping import (attach_row, cumulative_share, equal_width_histogram,
-                                         fixed_width_histogram, keep_keys, share_over, top_n)
+                                         fill_months, fixed_width_histogram, keep_keys, share_over, top_n)
 from ordermill.plans.questions import (delivered_dated, order_revenue, person_orders,
                                        revenue_by_category)
 
@@ -68,6 +68,11 @@ def monthly_trend(orders: DataFrame, items: DataFrame) -> DataFrame:
         F.sum("revenue").alias("revenue")).orderBy("month")
 
 
+def monthly_trend_filled(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """The trend on a continuous month axis."""
+    return fill_months(monthly_trend(orders, items), "month", ["revenue"]).orderBy("month")
+
+
 def peak_month(orders: DataFrame, items: DataFrame) -> DataFrame:
     """The month with most revenue (the earlier one on a tie) and the overall total."""
     monthly = monthly_trend(orders, items)

@@ -155,7 +155,7 @@ def moments(train: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     n = F.count("*").cast("double")
     out = []
     for c in columns:
-        x = F.col(c).cast("decimal(14,2)")
+        x = F.col(c).cast("decimal(18,2)")
         total, squares = F.sum(x).cast("double"), F.sum(x * x).cast("double")
         out += [(total / n).alias(f"{c}__mean"),
                 F.sqrt((squares - total * total / n) / n).alias(f"{c}__std")]

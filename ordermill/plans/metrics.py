@@ -38,6 +38,12 @@ def _sliced(df: DataFrame, where: Slicers) -> DataFrame:
     return df
 
 
+def _item_keys(star: Star, used: set[str]) -> list[str]:
+    """Keys below the order that the used columns need."""
+    return [key for dim, key in ((star.product, "product_id"), (star.seller, "seller_id"))
+            if used & set(dim.columns)]
+
+
 def _delivered(star: Star, used: set[str], scored: bool) -> DataFrame:
     """Delivered orders at the coarsest grain that still carries the used columns.
 
@@ -46,9 +52,7 @@ def _delivered(star: Star, used: set[str], scored: bool) -> DataFrame:
     are only joined for the score measure.
     """
     own = {name: expr() for name, expr in FACT_COLUMNS.items() if name in used}
-    grain = ["order_id"] + [key for dim, key in ((star.product, "product_id"),
-                                                 (star.seller, "seller_id"))
-                            if used & set(dim.columns)]
+    grain = ["order_id", *_item_keys(star, used)]
     sold = star.items.groupBy(*grain).agg(F.sum(C.revenue()).alias("revenue"))
     orders = star.orders.filter(F.col("is_delivered") == 1).withColumns(own)
     if scored:
@@ -66,10 +70,12 @@ def _additive(star: Star, measures: Sequence[str], by: Sequence[str], where: Sli
     facts = _delivered(star, used, scored="avg_review_score" in measures)
     facts = _sliced(star_join(facts, star, used), where)
     person = ["customer_unique_id"] if per_person and "customer_unique_id" not in by else []
-    # one row per order in each group: order values count once
-    per_order = facts.groupBy(*by, *person, "order_id").agg(
-        F.sum("revenue").alias("revenue"), F.max("days").alias("days"),
-        F.max("late").alias("late"), F.max("review_score").alias("score"))
+    per_order = facts.withColumnRenamed("review_score", "score")
+    if _item_keys(star, used):
+        # several rows per order: its own values must count once in each group
+        per_order = per_order.groupBy(*by, *person, "order_id").agg(
+            F.sum("revenue").alias("revenue"), F.max("days").alias("days"),
+            F.max("late").alias("late"), F.max("score").alias("score"))
     sums = (F.sum("revenue").alias("revenue"), F.count("*").alias("orders"),
             F.sum("days").alias("days"), F.count("days").alias("days_n"),
             F.sum("late").alias("late"), F.sum("score").alias("score"),

@@ -1,4 +1,5 @@
 import random
+from datetime import date
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ordermill.operators import ranking
-from ordermill.operators.shaping import (equal_width_histogram, fixed_width_histogram,
+from ordermill.operators.shaping import (equal_width_histogram, fill_months, fixed_width_histogram,
                                          growth_over_previous_row, inline_rows, top_n_with_ties)
 
 
@@ -107,3 +108,9 @@ def test_growth_compares_with_the_previous_row(spark):
 def test_top_n_keeps_ties(spark):
     df = inline_rows(spark, [("a", 5), ("b", 4), ("c", 4), ("d", 3), ("e", None)], "k string, v int")
     assert sorted(r.k for r in top_n_with_ties(df, 2, "v").collect()) == ["a", "b", "c"]
+
+
+def test_missing_months_are_filled_with_zero(spark):
+    df = inline_rows(spark, [(date(2016, 10, 1), 5), (date(2017, 1, 1), 7)], "m date, v int")
+    assert [(r.m.month, r.v) for r in fill_months(df, "m", ["v"]).orderBy("m").collect()] == [
+        (10, 5), (11, 0), (12, 0), (1, 7)]
