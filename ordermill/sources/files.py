@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from ordermill.operators.shaping import inline_rows
 from ordermill.schemas import CLEAN_TABLES, QUOTED_NEWLINES, RAW
 
-# File names of the public source data set without the common parts.
-RAW_FILES = {
-    "orders": "orders.csv", "order_items": "order_items.csv", "payments": "order_payments.csv",
-    "reviews": "order_reviews.csv", "customers": "customers.csv", "products": "products.csv",
-    "sellers": "sellers.csv", "geolocation": "geolocation.csv",
-    "translation": "product_category_name_translation.csv",
+# Stems of the raw file names.
+_STEMS = {
+    "orders": "orders", "order_items": "order_items", "payments": "order_payments",
+    "reviews": "order_reviews", "customers": "customers", "products": "products",
+    "sellers": "sellers", "geolocation": "geolocation",
 }
+_TRANSLATION = "product_category_name_translation.csv"
+
+
+def raw_files(prefix: str = "", suffix: str = "") -> dict[str, str]:
+    """File name per raw table; the translation file carries neither prefix nor suffix."""
+    names = {table: f"{prefix}{stem}{suffix}.csv" for table, stem in _STEMS.items()}
+    return {**names, "translation": _TRANSLATION}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, quoted_newlines: bool = False) -> DataFrame:
@@ -27,8 +33,9 @@ def read_csv(spark: SparkSession, path: str, schema: str, quoted_newlines: bool
 
 
 def read_raw(spark: SparkSession, folder: str,
-             files: Mapping[str, str] = RAW_FILES) -> dict[str, DataFrame]:
+             files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """All raw tables of a folder, one lazy frame each."""
+    files = files or raw_files()
     return {name: read_csv(spark, f"{folder}/{file}", RAW[name], name in QUOTED_NEWLINES)
             for name, file in files.items()}
 

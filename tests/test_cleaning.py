@@ -93,14 +93,14 @@ def _raw_files(folder):
     }
     for name, text in texts.items():
         header = ",".join(c.split()[0] for c in RAW[name].replace("decimal(10,2)", "decimal").split(", "))
-        (folder / files.RAW_FILES[name]).write_text(header + "\n" + text)
+        (folder / files.raw_files()[name]).write_text(header + "\n" + text)
 
 
 def test_raw_folder_to_cleaned_parquet_and_views(spark, tmp_path):
     raw_dir, clean_dir = tmp_path / "raw", tmp_path / "clean"
     raw_dir.mkdir()
     _raw_files(raw_dir)
-    manifest = files.source_manifest(spark, str(raw_dir), [*files.RAW_FILES.values(), "extra.csv"])
+    manifest = files.source_manifest(spark, str(raw_dir), [*files.raw_files().values(), "extra.csv"])
     assert [r.file_name for r in manifest.filter("missing").collect()] == ["extra.csv"]
     with pytest.raises(FileNotFoundError):
         files.require_complete(manifest)
@@ -125,6 +125,12 @@ def test_raw_folder_to_cleaned_parquet_and_views(spark, tmp_path):
         ("o1", 1, 11.75, 2, 1, 1, 2), ("o2", 0, 5.0, None, None, 0, None)]
 
 
+def test_raw_file_names():
+    names = files.raw_files("shop_", "_dataset")
+    assert names["orders"] == "shop_orders_dataset.csv"
+    assert names["translation"] == "product_category_name_translation.csv" and len(names) == 9
+
+
 def test_parity_fails_on_a_difference(spark):
     one, two = spark.range(1), spark.range(2)
     with pytest.raises(ValueError, match="t"):
