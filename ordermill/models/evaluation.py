@@ -21,13 +21,15 @@ def _safe(num: Column, den: Column) -> Column:
     return F.coalesce(C.ratio(num, den), F.lit(0.0))
 
 
-def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
-    """Precision, recall and F1 of the positive class at a threshold."""
+def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall and F1 of the positive class at a threshold, per group."""
     flagged, low = F.col(score) >= threshold, F.col(label) == 1
-    counts = df.agg(F.count_if(flagged & low).alias("tp"), F.count_if(flagged & ~low).alias("fp"),
-                    F.count_if(~flagged & low).alias("fn"))
+    counts = df.groupBy(*by).agg(
+        F.count_if(flagged & low).alias("tp"), F.count_if(flagged & ~low).alias("fp"),
+        F.count_if(~flagged & low).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counts.select(_safe(tp, tp + fp).alias("precision"), _safe(tp, tp + fn).alias("recall"),
+    return counts.select(*by, _safe(tp, tp + fp).alias("precision"), _safe(tp, tp + fn).alias("recall"),
                          _safe(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
@@ -69,9 +71,13 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
     return ranking_metrics(df, score, label, by).select(*by, "pr_auc")
 
 
-def all_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
-    return attach_row(threshold_metrics(df, score, label, threshold),
-                      ranking_metrics(df, score, label))
+def all_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
+                threshold: float = 0.5) -> DataFrame:
+    """All metrics per group, for instance per model over stacked scores."""
+    fixed = threshold_metrics(df, score, label, threshold, by)
+    ranked = ranking_metrics(df, score, label, by)
+    # one row per compared model
+    return fixed.join(F.broadcast(ranked), list(by)) if by else attach_row(fixed, ranked)
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:

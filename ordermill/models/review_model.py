@@ -138,14 +138,14 @@ def fit(train: DataFrame, estimator: str, preparation: Preparation | None = None
 
 def compare(train: DataFrame, test: DataFrame, options: Mapping[str, dict],
             min_count: int = 500) -> DataFrame:
-    """Fit every estimator named in ``options`` and list its test metrics."""
+    """Fit every estimator named in ``options`` and list its test metrics.
+
+    The scores of all models are stacked, so the metrics take one pass.
+    """
     preparation = prepare(train, min_count)
-    rows = []
-    for name, settings in options.items():
-        scored_test = fit(train, name, preparation, **settings).score(test)
-        rows.append(evaluation.all_metrics(scored_test, "risk", LABEL).select(
-            F.lit(name).alias("model"), "*"))
-    return stacked(rows)
+    scores = [fit(train, name, preparation, **settings).score(test).select(
+        F.lit(name).alias("model"), "risk", LABEL) for name, settings in options.items()]
+    return evaluation.all_metrics(stacked(scores), "risk", LABEL, ["model"])
 
 
 def importance(spark: SparkSession, model: ReviewModel, k: int = 12) -> DataFrame:

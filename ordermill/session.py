@@ -45,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     machine-local path would be lost together with its executor.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     if configured:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)

@@ -7,6 +7,7 @@ from ordermill.operators import cleaning, quality
 from ordermill.operators.shaping import inline_rows
 from ordermill.plans import star
 from ordermill.schemas import CONSTRAINTS, RAW, Rule
+from ordermill.session import scratch_path, shared_dir
 from ordermill.sources import files
 
 
@@ -175,3 +176,31 @@ def test_key_reuse(spark):
     df = inline_rows(spark, [("r1", "o1"), ("r1", "o2"), ("r2", "o2"), ("r3", "o3")],
                      "review_id string, order_id string")
     assert quality.key_reuse(df).first() == (1, 1, 2)
+
+
+class _Named:
+    """Stands in for a session or context that was started with a checkpoint folder."""
+
+    def __init__(self, folder, master):
+        self.folder, self.master, self.sparkContext, self.conf = folder, master, self, self
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self.folder
+
+
+def test_intermediates_go_to_the_folder_the_session_names():
+    named = _Named("hdfs:///shared", "yarn")
+    assert shared_dir(named) == "hdfs:///shared"
+    assert scratch_path(named, "x").startswith("hdfs:///shared/x-")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(_Named(None, "yarn"))  # never a machine-local folder on a cluster
+
+
+def test_local_mode_keeps_one_folder(spark):
+    assert shared_dir(spark) == shared_dir(spark)
