@@ -129,11 +129,6 @@ def share_true(predicate: Column) -> Column:
     return F.avg(F.coalesce(predicate, F.lit(False)).cast("int"))
 
 
-def any_true(predicate: Column) -> Column:
-    """Aggregate: 1 when the predicate holds on any row of the group."""
-    return F.max(predicate.cast("int"))
-
-
 def rounded_half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
