@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.llm import packing, rank_merge
+from ordermill.llm import packing, rank_merge, scaled_sketch, warc
 from ordermill.llm.common import table
 
 
@@ -23,5 +23,19 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
                                    public_tokenizers.PATTERN, 512)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_token_counts)}
+def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages through WARC archives and back, equal payloads stored once."""
+    records = table(spark, folder, "pages").select(
+        F.col("page_id").alias("id"), "url", F.col("html").cast("binary").alias("payload"))
+    rows = warc.archived(spark, records, "2024-01-01T00:00:00Z")
+    return rows.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op9_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of every document and its edited text, and how alike they are."""
+    return scaled_sketch.fingerprints(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_token_counts, op8_warc_revisits, op9_scaled_sketch)}
 ORACLES: dict[str, str] = {}
