@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.llm import packing, rank_merge, scaled_sketch, warc
+from ordermill.llm import gam, packing, rank_merge, rules_forest, scaled_sketch, warc
 from ordermill.llm.common import table
 
 
+def op2_rules_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule statistics, base rules and the forest's verdict on every document."""
+    return rules_forest.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces, packed into sequences of at most 4096 tokens."""
     pieces = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -17,6 +22,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.place(slim)
 
 
+def op5_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document."""
+    return gam.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes, tokens and whether there are more than 512, for every document."""
     return rank_merge.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -37,5 +47,6 @@ def op9_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return scaled_sketch.fingerprints(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_token_counts, op8_warc_revisits, op9_scaled_sketch)}
+QUERIES = {f.__name__: f for f in (
+    op2_rules_forest, op3_best_fit_packing, op5_additive_quality, op7_token_counts, op8_warc_revisits, op9_scaled_sketch)}
 ORACLES: dict[str, str] = {}
