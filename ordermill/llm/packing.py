@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from ordermill.llm.common import in_batches, texts_of, written
 
-#: Distinct words a Python worker remembers, at about 200 bytes each.
-CACHE = 1_000_000
+#: Distinct strings between white space that a Python worker remembers, at about 200 bytes each; beyond it the long ones go.
+CACHE = 600_000
+SHORT = 7
 #: How word-level vocabularies of this kind cut lower-cased text; other files of the kind have the same pattern.
-LATIN = "\u024f"  # up to here lower() is all that normalisation does
+LATIN = "\u0233"  # up to here lower() is all that normalisation does
+SUFFIX = "</w>"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -37,24 +39,39 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.find = regex.compile(WORDS).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(SUFFIX)]] = True
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Texts with letters beyond Latin go to the library whole, as its Unicode tables may differ from Python's."""
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
         known, found, whole = self.known, [], []
         for text in texts:
-            if (text.isascii() or max(text) <= LATIN) and "<|" not in text:
-                found.append(self.find(text.lower()))
+            if (text.isascii() or max(text) <= LATIN) and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                found.append(text.lower().split())
             else:
                 found.append(None)
                 whole.append(text)
         new = list(set().union(*filter(None, found)).difference(known))
-        known.update(zip(new, self._encoded(new)))
+        words = [self.find(chunk) for chunk in new]
+        each = list(set().union(*words))
+        ids = dict(zip(each, self._words(each)))
+        known.update((chunk, b"".join(map(ids.__getitem__, row))) for chunk, row in zip(new, words))
         rest = iter(self._encoded(whole))
         return [next(rest) if row is None else b"".join(map(known.__getitem__, row)) for row in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of single words, many words in one call."""
+        lines = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+        coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(c.ids, "<u4") for c in coded]])
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
