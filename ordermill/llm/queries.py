@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.llm import gam, packing, rank_merge, rules_forest, scaled_sketch, warc
+from ordermill.llm import gam, lev_trie, packing, rank_merge, rules_forest, scaled_sketch, warc
 from ordermill.llm.common import table
 
 
@@ -47,6 +47,12 @@ def op9_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return scaled_sketch.fingerprints(table(spark, folder, "documents"))
 
 
+def op10_lev_trie_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return lev_trie.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_rules_forest, op3_best_fit_packing, op5_additive_quality, op7_token_counts, op8_warc_revisits, op9_scaled_sketch)}
+    op2_rules_forest, op3_best_fit_packing, op5_additive_quality, op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
+    op10_lev_trie_toxicity)}
 ORACLES: dict[str, str] = {}
