@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -105,30 +106,42 @@ def lists_of(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.L
 
 # ---- rolling hashes of all substrings ------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     with np.errstate(over="ignore"):
         return np.cumprod(out, dtype=np.uint64)
 
 
-def prefix_sums(data: np.ndarray, power: np.ndarray) -> np.ndarray:
-    """S with S[e] - S[s] = hash of data[s:e] times power[s], modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * power[:len(data)], out=out[1:])
-    return out
+@functools.lru_cache(maxsize=2)
+def _power_tables(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, 1 << bits), _powers(_INVERSE, 1 << bits)
 
 
-def substring_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, power: np.ndarray, last: int) -> np.ndarray:
-    """Equal for equal substrings of one buffer family with the same ``last`` (the greatest start allowed)."""
-    with np.errstate(over="ignore"):
-        return mixed((sums[end] - sums[start]) * power[last - start])
+class Substrings:
+    """Hashes of any substrings of some bytes: the same for equal substrings, wherever they lie."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _power_tables(max(16, int(len(data)).bit_length()))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[data] * power[:len(data)], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+
+    def all_of(self, size: int) -> np.ndarray:
+        """The hash of every substring of ``size`` bytes."""
+        n = max(0, len(self.sums) - size)
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n]) if n else self.sums[:0]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.llm import gam, lev_trie, packing, rank_merge, rules_forest, scaled_sketch, warc
+from ordermill.llm import gam, lev_trie, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, warc
 from ordermill.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.place(slim)
 
 
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document, and how many different texts its own is linked to."""
+    found = order_minhash.document_classes(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "n_links", (F.col("rid") == F.col("class_rid")).alias("kept"))
+
+
 def op5_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every document."""
     return gam.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -53,6 +59,6 @@ def op10_lev_trie_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_rules_forest, op3_best_fit_packing, op5_additive_quality, op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
+    op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
     op10_lev_trie_toxicity)}
 ORACLES: dict[str, str] = {}
