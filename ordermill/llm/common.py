@@ -62,8 +62,8 @@ def kept_lineage_cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_rid(docs: DataFrame, rid: str = "rid") -> DataFrame:
-    """Adds a long that orders the rows by doc_id, nulls first.
+def with_rid(docs: DataFrame, rid: str = "rid") -> tuple[DataFrame, bool]:
+    """Adds a long that orders the rows by doc_id, nulls first; and tells whether equal rows may share one.
 
     It is doc_id itself where that is unique and has no null, which one pass over that column tells. Else it is the
     position of (doc_id, text) among all distinct ones, so that equal rows share one number and act as one document.
@@ -71,14 +71,14 @@ def with_rid(docs: DataFrame, rid: str = "rid") -> DataFrame:
     ids = docs.select("doc_id")
     clash = ids.groupBy("doc_id").count().filter("doc_id is null or `count` > 1").limit(1).count()
     if not clash:
-        return docs.withColumn(rid, F.col("doc_id").cast("long"))
+        return docs.withColumn(rid, F.col("doc_id").cast("long")), False
     keyed = docs.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")), 256)) \
                 .withColumn("__null", F.col("text").isNull())
     names = keyed.select("doc_id", "__h", "__null").distinct().withColumnRenamed("doc_id", "__id") \
                  .withColumnRenamed("__h", "__k").withColumnRenamed("__null", "__n")
     ranked = with_position(globally_sorted(names, [F.col("__id").asc_nulls_first(), "__k", "__n"]), rid)
     same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__h"] == F.col("__k")) & (keyed["__null"] == F.col("__n"))
-    return keyed.join(ranked, same).drop("__id", "__k", "__n", "__h", "__null")
+    return keyed.join(ranked, same).drop("__id", "__k", "__n", "__h", "__null"), True
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

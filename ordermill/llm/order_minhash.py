@@ -262,19 +262,20 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> Dat
     return in_batches(both.select("a", "b", "text_a", "text_b"), check, "a long, b long, similarity double")
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) -> DataFrame:
     """(rid, doc_id, class_rid, class_id, n_links) for every row of rows (rid, doc_id, text).
 
     class_rid is the smallest rid of the class, class_id that row's doc_id; n_links counts the verified links of the
-    row's text to other texts.
+    row's text to other texts. ``repeats``: a rid may stand for several equal rows.
     """
     rows = docs.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digests = rows.select("rid", "doc_id", F.md5("text").alias("digest"))
     first = digests.groupBy("digest").agg(F.min("rid").alias("rep"))
     members = written(digests.join(first, "digest").select("rid", "doc_id", "rep"), "copies")
     reps = members.filter("rid = rep").select("rid").distinct()
-    signs = written(sketch_rows(rows).join(reps, "rid", "left_semi").dropDuplicates(["rid"]), "sketches")
-    edges = written(verified(candidates(signs), rows.dropDuplicates(["rid"]) if _repeats(members) else rows, similar), "links")
+    once = rows.dropDuplicates(["rid"]) if repeats else rows
+    signs = written(sketch_rows(once).join(reps, "rid", "left_semi"), "sketches")
+    edges = written(verified(candidates(signs), once, similar), "links")
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("class_rid"))
     out = members.join(found, "rep", "left").join(links, "rep", "left").select(
@@ -284,10 +285,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return out.join(names, "class_rid").select("rid", "doc_id", "class_rid", "class_id", "n_links")
 
 
-def _repeats(members: DataFrame) -> bool:
-    """Whether any rid stands for several equal rows."""
-    return bool(members.groupBy("rid").count().filter("`count` > 1").limit(1).count())
-
-
 def document_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    return classes(with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), similar)
+    rows, repeats = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return classes(rows, similar, repeats)

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.llm import gam, lev_trie, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, warc
+from ordermill.llm import (
+    gam, lev_trie, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, suffix_levels, warc)
 from ordermill.llm.common import table
 
 
@@ -33,6 +34,12 @@ def op5_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return gam.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier, too."""
+    out = suffix_levels.deduplicated(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes, tokens and whether there are more than 512, for every document."""
     return rank_merge.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -59,6 +66,7 @@ def op10_lev_trie_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
+    op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op6_suffix_levels,
+    op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
     op10_lev_trie_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -105,7 +105,7 @@ def with_next(docs: DataFrame, order: str) -> tuple[DataFrame, WindowSpec]:
 
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Sketches of every text and of the text whose second half the next document's beginning replaces."""
-    rows = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows, _ = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     dealt, within = with_next(rows, "rid")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     out = dealt.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("next_text", F.lead("text").over(within)) \
