@@ -288,3 +288,11 @@ def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) ->
 def document_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows, repeats = with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return classes(rows, similar, repeats)
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are the smallest of their class; of equal rows one."""
+    rows, repeats = with_rid(docs)
+    found = classes(rows.select("rid", "doc_id", "text"), similar, repeats)
+    kept = rows.join(found.filter("rid = class_rid").select("rid").distinct(), "rid", "left_semi")
+    return (kept.dropDuplicates(["rid"]) if repeats else kept).select(*docs.columns)

@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.llm import (
-    gam, lev_trie, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, suffix_levels, warc)
+    gam, lev_trie, mixing, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, suffix_levels, warc)
 from ordermill.llm.common import table
 
 
+def document_levels() -> dict[str, Column]:
+    """The tree of documents; as the table has no domain, one of four is derived from the source's name."""
+    return {"domain": F.concat(F.lit("d"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4),
+            "lang": F.col("lang"), "source": F.col("source")}
+
+
+#: Weights of domains and of languages within each; sources weigh the same.
+DOMAIN_WEIGHTS = {("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0}
+WEIGHTS = DOMAIN_WEIGHTS | {(*d, lang): w for d in DOMAIN_WEIGHTS
+                            for lang, w in (("en", 5.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))}
+
+
+def op1_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a mix of six tenths of all words, each at most three times."""
+    rows = mixing.mixed_rows(table(spark, folder, "documents"), document_levels(), WEIGHTS, 0.6, 3, 17)
+    return rows.select("doc_id", F.array_join("mix_path", "/").alias("leaf"), F.col("mix_epoch").alias("epoch"),
+                       F.col("mix_tokens").alias("n_tokens"), F.col("mix_tokens_taken").alias("n_taken"))
+
+
 def op2_rules_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Rule statistics, base rules and the forest's verdict on every document."""
     return rules_forest.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -18,9 +37,13 @@ def op2_rules_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces, packed into sequences of at most 4096 tokens."""
-    pieces = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.place(slim)
+    return packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def packed(docs: DataFrame, path: str) -> DataFrame:
+    """Pieces with a checksum of their ids instead of these, and their places."""
+    pieces = packing.token_pieces(docs, path)
+    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +89,7 @@ def op10_lev_trie_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op6_suffix_levels,
+    op1_weighted_mix, op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op6_suffix_levels,
     op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
     op10_lev_trie_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -368,3 +368,21 @@ def deduplicated(docs: DataFrame, texts: bool = False, length: int = LENGTH) ->
         out = removed(rows, texts, length)
         return out.withColumn("doc_id", F.col("rid"))
     return rows.select("rid", "doc_id").join(removed(rows.dropDuplicates(["rid"]), texts, length), "rid")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with all columns, the text without its repeated strings.
+
+    A character whose bytes were removed in part is dropped. A null text stays null; a text of which nothing is left is
+    empty.
+    """
+    rows, repeats = with_rid(docs)
+    once = rows.select("rid", "text")
+    left = removed(once.dropDuplicates(["rid"]) if repeats else once, True, length).select("rid", "data")
+
+    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [zstandard.decompress(d).decode("utf-8", "ignore") for d in batch.column("data").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string())], ["rid", "__left"])
+    texts = in_batches(left, decode, "rid long, __left string").withColumnRenamed("rid", "__rid")
+    joined = rows.withColumn("__null", F.col("text").isNull()).drop("text").join(texts, F.col("rid") == F.col("__rid"))
+    return joined.withColumn("text", F.when(~F.col("__null"), F.col("__left"))).select(*docs.columns)
