@@ -8,8 +8,7 @@ merge-scanned against the levels there are, and becomes a level itself; levels o
 logarithmically many. The scan tells a run whose whole context occurred before (all of it goes) and anchors with several
 contexts. Only of these are the bytes fetched, and their windows compared one by one, exactly.
 
-Windows of anchors with very many contexts are compared by a grouped minimum instead, which splits over any number of
-tasks. Runs whose context occurs earlier in the same task's batch are settled before anything is shuffled.
+Windows of anchors with very many contexts are dealt out one by one instead, so these split over any number of tasks. Runs whose context occurs earlier in the same task's batch are settled before anything is shuffled.
 
 "Earlier" is by doc_id (nulls first, then by text), then by position; rows equal in doc_id and text are one document, and
 each is reported. Nulls are empty; texts under ``LENGTH`` bytes have no windows.
@@ -32,7 +31,7 @@ LENGTH = 100
 GRAM = 16
 STEP = 1 << 18  # windows that are sampled at once
 LEVEL_ROWS = 1 << 16
-#: Anchors with more contexts than this have their windows compared by a grouped minimum.
+#: Anchors with more contexts than this have their windows dealt out one by one.
 CONTEXTS = 20_000
 SLICE = 4 << 20
 _C = np.random.default_rng(7).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
@@ -95,9 +94,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         again = np.zeros(len(s), bool)
         again[order[1:]] = both[order][1:] == both[order][:-1]
         # settled runs that follow each other become one span
-        index = np.flatnonzero(again)
-        head = index[np.r_[True, (np.diff(index) != 1) | (doc[index[1:]] != doc[index[:-1]])]] if len(index) else index
-        tail = index[np.r_[(np.diff(index) != 1) | (doc[index[1:]] != doc[index[:-1]]), True]] if len(index) else index
+        head, tail = _ends(again, doc)
         spread = mixed(own[head].astype(np.uint64) * _C[3] + s[head].astype(np.uint64))
         rest = ~again
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (
@@ -315,8 +312,12 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
                    .mapInArrow(run, "rid long, start long, stop long")
 
 
-def _by_minimum(contexts: DataFrame, length: int) -> DataFrame:
-    """The same spans for keys with very many contexts: each window is a row, and the least (rid, start) of equal ones stays."""
+def _spread(contexts: DataFrame, length: int) -> DataFrame:
+    """The same spans for keys with very many contexts, whose windows are dealt out one by one.
+
+    Windows that an earlier context of the same Arrow batch has are settled there, so a window that very many contexts
+    share is a row for each batch; of the others the first in document order stays.
+    """
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, at = utf8(batch.column("data"))
         size = np.diff(at) - length + 1
@@ -325,12 +326,42 @@ def _by_minimum(contexts: DataFrame, length: int) -> DataFrame:
         one = Substrings(data).all_of(length)[index]
         two = Substrings(data[::-1].copy()).all_of(length)[len(data) - length - index]  # of the bytes read backwards
         rid, start = batch.column("rid").to_numpy()[own], batch.column("start").to_numpy()[own] + index - at[own]
-        return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(rid), pa.array(start)],
-                                          ["one", "two", "rid", "start"])
-    windows = in_batches(contexts.select("rid", "start", "data"), explode, "one long, two long, rid long, start long")
-    first = windows.groupBy("one", "two").agg(F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return windows.join(first, ["one", "two"]).filter(F.struct("rid", "start") > F.col("first")) \
-                  .select("rid", "start", (F.col("start") + length).alias("stop"))
+        order = np.lexsort((start, rid, two, one))
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        head, tail = _ends(again, own)
+        rest = ~again
+        stop = np.r_[np.zeros(int(rest.sum()), np.int64), start[tail] + length]
+        spread = mixed(rid[head].astype(np.uint64) * _C[3] + start[head].astype(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (
+            np.r_[one[rest].view(np.int64), spread], np.r_[two[rest].view(np.int64), spread],
+            np.r_[rid[rest], rid[head]], np.r_[start[rest], start[head]], stop)], ["one", "two", "rid", "start", "stop"])
+    schema = "one long, two long, rid long, start long, stop long"
+    windows = in_batches(contexts.select("rid", "start", "data"), explode, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            one, two, rid, start, stop = (batch.column(c).to_numpy() for c in ("one", "two", "rid", "start", "stop"))
+            open_ = np.flatnonzero(stop == 0)
+            key = np.stack([one[open_], two[open_]], axis=1)
+            before = np.vstack([key[:1] - 1 if last is None else last, key])[:-1]
+            again = (key == before).all(axis=1)
+            last = key[-1:] if len(key) else last
+            out = np.r_[open_[again], np.flatnonzero(stop > 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[out]), pa.array(start[out]), pa.array(
+                np.where(stop[out] > 0, stop[out], start[out] + length))], ["rid", "start", "stop"])
+    return windows.repartition("one", "two").sortWithinPartitions("one", "two", "rid", "start") \
+                  .mapInArrow(run, "rid long, start long, stop long")
+
+
+def _ends(marked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run of marked places with one owner."""
+    index = np.flatnonzero(marked)
+    if not len(index):
+        return index, index
+    cut = (np.diff(index) != 1) | (own[index[1:]] != own[index[:-1]])
+    return index[np.r_[True, cut]], index[np.r_[cut, True]]
 
 
 def removed(docs: DataFrame, texts: bool = False, length: int = LENGTH) -> DataFrame:
@@ -344,7 +375,7 @@ def removed(docs: DataFrame, texts: bool = False, length: int = LENGTH) -> DataF
     hot = contexts.groupBy("key").count().filter(F.col("count") > CONTEXTS).select("key", F.lit(True).alias("hot"))
     if hot.limit(1).count():
         marked = contexts.join(hot, "key", "left")
-        spans = _compared(marked.filter("hot is null"), length).unionByName(_by_minimum(marked.filter("hot"), length))
+        spans = _compared(marked.filter("hot is null"), length).unionByName(_spread(marked.filter("hot"), length))
     else:
         spans = _compared(contexts, length)
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
