@@ -17,7 +17,7 @@ from ordermill.session import scratch_path, shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of one Arrow batch; a batch of very long texts stays this small, but for its last row.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -15,12 +15,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm import text_stats
-from ordermill.llm.common import in_batches, texts_of
+from ordermill.llm.common import in_batches, prepare, texts_of
 
 BINS = 48
 GRID = 12
@@ -160,6 +161,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``."""
     model = fitted(docs, labels)
 
-    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(model.scores(_features(texts_of(batch.column("text")))) >= threshold))
-    return in_batches(docs, good, docs.schema)
+    @F.pandas_udf("double")  # only the text goes to Python; the rows stay where they are
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(_features([t if t is not None else "" for t in texts])))
+    prepare(docs.sparkSession)
+    return docs.filter(score("text") >= threshold)
