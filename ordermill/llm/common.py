@@ -137,13 +137,35 @@ class Substrings:
         with np.errstate(over="ignore"):
             return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
 
-    def all_of(self, size: int) -> np.ndarray:
+    def all_of(self, size: int) -> np.ndarray:  # of data of at most BLOCK bytes or so; else see window_hashes
         """The hash of every substring of ``size`` bytes."""
         n = max(0, len(self.sums) - size)
         with np.errstate(over="ignore"):
             return mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n]) if n else self.sums[:0]
 
 
+#: Bytes whose power table is held at once.
+BLOCK = 1 << 19
+
+
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every substring of ``size`` bytes of data of any length."""
+    n = max(0, len(data) - size + 1)
+    parts = [Substrings(data[at:min(at + BLOCK, n) + size - 1]).all_of(size) for at in range(0, n, BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hashes of data[start[i]:stop[i]] for spans in order that do not overlap."""
+    parts, at = [], 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(stop, start[at] + BLOCK, side="right")))
+        low = int(start[at])
+        parts.append(Substrings(data[low:stop[upto - 1]]).hashes(start[at:upto] - low, stop[at:upto] - low))
+        at = upto
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(32))) * _MIX

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.common import (
-    Substrings, in_batches, kept_lineage_cut, lists_of, mixed, prepare, utf8, with_rid, written)
+    in_batches, kept_lineage_cut, lists_of, mixed, prepare, utf8, with_rid, word_hashes, written)
 from ordermill.llm.components import components
 
 SHINGLE = 5
@@ -56,7 +56,7 @@ def labelled_shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     start, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     cut = joint[inside[joint] & inside[joint + 1]]  # two texts touch without white space between
     start, stop = np.sort(np.r_[start, cut]), np.sort(np.r_[stop, cut])
-    words = Substrings(data).hashes(start, stop)
+    words = word_hashes(data, start, stop)
     count = np.diff(np.searchsorted(start, at))
     n = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     first = np.cumsum(count) - count

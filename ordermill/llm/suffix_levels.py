@@ -25,15 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermill.llm.common import Substrings, in_batches, mixed, prepare, utf8, with_rid, written
+from ordermill.llm.common import Substrings, in_batches, mixed, prepare, utf8, window_hashes, with_rid, written
 
 LENGTH = 100
 GRAM = 16
 STEP = 1 << 18  # windows that are sampled at once
 LEVEL_ROWS = 1 << 16
 #: Anchors with more contexts than this have their windows dealt out one by one.
-CONTEXTS = 20_000
-SLICE = 4 << 20
+CONTEXTS = 5_000
+SLICE = 1 << 20
 _C = np.random.default_rng(7).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -260,7 +260,7 @@ def _earlier_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarra
     index = np.repeat(at[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     inside[index] = True
     where = np.flatnonzero(inside[:n])
-    hashed = Substrings(data).all_of(length)[where]
+    hashed = window_hashes(data, length)[where]
     order = np.argsort(hashed, kind="stable")
     same = np.r_[False, hashed[order][1:] == hashed[order][:-1]]
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -323,8 +323,8 @@ def _spread(contexts: DataFrame, length: int) -> DataFrame:
         size = np.diff(at) - length + 1
         own = np.repeat(np.arange(len(size)), size)
         index = at[own] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        one = Substrings(data).all_of(length)[index]
-        two = Substrings(data[::-1].copy()).all_of(length)[len(data) - length - index]  # of the bytes read backwards
+        one = window_hashes(data, length)[index]
+        two = window_hashes(data[::-1].copy(), length)[len(data) - length - index]  # of the bytes read backwards
         rid, start = batch.column("rid").to_numpy()[own], batch.column("start").to_numpy()[own] + index - at[own]
         order = np.lexsort((start, rid, two, one))
         again = np.zeros(len(order), bool)
