@@ -13,6 +13,7 @@ in (doc_id, piece) order.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pandas as pd
@@ -21,17 +22,50 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermill.llm.common import in_batches, texts_of, written
+from ordermill.llm.common import in_batches, texts_of, word_hashes, written
 
-#: Distinct strings between white space that a Python worker remembers, at about 200 bytes each; beyond it the long ones go.
-CACHE = 600_000
-SHORT = 7
+#: Distinct strings between white space that a Python worker remembers; beyond it all go.
+CACHE = 1_500_000
 #: How word-level vocabularies of this kind cut lower-cased text; other files of the kind have the same pattern.
-LATIN = "\u0233"  # up to here lower() is all that normalisation does
+_BEYOND = re.compile("[\u0234-\U0010ffff]").search  # below, lower() is all that normalisation does
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 SUFFIX = "</w>"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Known:
+    """Ids of strings by their hash, in a few sorted arrays: about 30 bytes for each string."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, ...]] = []  # hash, mark, where its ids begin, how many
+        self.flat = np.zeros(0, "<u4")
+
+    def find(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and number of each string's ids, and which are not known."""
+        if sum(len(level[0]) for level in self.levels) > CACHE:
+            self.__init__()
+        begin, size, new = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.ones(len(key), bool)
+        for keys, marks, begins, sizes in self.levels:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = (keys[at] == key) & (marks[at] == mark)
+            begin[hit], size[hit], new[hit] = begins[at[hit]], sizes[at[hit]], False
+        return begin, size, new
+
+    def add(self, key: np.ndarray, mark: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Strings in order of their hash, with their ids."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        level = (key, mark, begin, size.astype(np.int32))
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):  # like sizes merge
+            both = [np.concatenate(c) for c in zip(self.levels.pop(), level)]
+            order = np.argsort(both[0], kind="stable")
+            level = tuple(c[order] for c in both)
+        self.levels.append(level)
+        return begin, size
+
+
 class WordIds:
     """Ids of whole texts as little-endian 32-bit numbers; each distinct word is encoded once by the library."""
 
@@ -42,26 +76,45 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in vocabulary.items() if w.endswith(SUFFIX)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Texts with letters beyond Latin go to the library whole, as its Unicode tables may differ from Python's."""
-        if len(self.known) > CACHE:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
-        known, found, whole = self.known, [], []
-        for text in texts:
-            if (text.isascii() or max(text) <= LATIN) and "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                found.append(text.lower().split())
-            else:
-                found.append(None)
-                whole.append(text)
-        new = list(set().union(*filter(None, found)).difference(known))
-        words = [self.find(chunk) for chunk in new]
-        each = list(set().union(*words))
-        ids = dict(zip(each, self._words(each)))
-        known.update((chunk, b"".join(map(ids.__getitem__, row))) for chunk, row in zip(new, words))
-        rest = iter(self._encoded(whole))
-        return [next(rest) if row is None else b"".join(map(known.__getitem__, row)) for row in found]
+        plain = [None if _BEYOND(t) is not None or "<|" in t else t.lower() for t in texts]
+        coded = iter(self._plain([t for t in plain if t is not None]))
+        whole = iter(self._encoded([t for t, p in zip(texts, plain) if p is None]))
+        return [next(whole) if p is None else next(coded) for p in plain]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Lower-cased texts: what lies between white space is told apart by its hash, and looked up once."""
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"\n".join([*coded, b""])
+        data = np.frombuffer(raw, np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in coded])
+        change = np.diff(np.r_[False, ~_SPACE[data], False].astype(np.int8))
+        start, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        hashed = word_hashes(data, start, stop)
+        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        mark = (stop - start) * 65536 + data[start].astype(np.int64) * 256 + data[stop - 1]
+        if (mark != mark[first][which]).any():  # two strings with one hash: tell them apart by themselves
+            chunks = [raw[s:e] for s, e in zip(start.tolist(), stop.tolist())]
+            _, first, which = np.unique(np.array(chunks, object), return_index=True, return_inverse=True)
+            order = np.argsort(hashed[first], kind="stable")
+            first, which = first[order], np.argsort(order)[which]
+        key, mark = hashed[first], mark[first]
+        begin, size, new = self.known.find(key, mark)
+        if new.any():
+            at = first[new]
+            words = [self.find(raw[s:e].decode("utf-8", "surrogatepass")) for s, e in zip(start[at].tolist(), stop[at].tolist())]
+            each = list(set().union(*words))
+            ids = dict(zip(each, self._words(each)))
+            begin[new], size[new] = self.known.add(key[new], mark[new], [b"".join(map(ids.__getitem__, row)) for row in words])
+        count = size[which]
+        upto = np.cumsum(count)
+        at = np.repeat(begin[which] - (upto - count), count) + np.arange(count.sum())
+        out = self.known.flat[at].tobytes()
+        cuts = np.r_[0, np.r_[0, upto][np.searchsorted(start, ends)]] * 4
+        return [out[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of single words, many words in one call."""
@@ -89,11 +142,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts = _word_ids(path), texts_of(batch.column("text"))
         row, piece, parts = [], [], []
-        for begin in range(0, len(texts), 256):
-            for n, whole in enumerate(ids.ids(texts[begin:begin + 256]), begin):
-                whole += end
-                for k, at in enumerate(range(0, len(whole), 4 * capacity)):
-                    row.append(n), piece.append(k), parts.append(whole[at:at + 4 * capacity])
+        for n, whole in enumerate(ids.ids(texts)):
+            whole += end
+            for k, at in enumerate(range(0, len(whole), 4 * capacity)):
+                row.append(n), piece.append(k), parts.append(whole[at:at + 4 * capacity])
         piece = np.array(piece, np.int32)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(pa.array(row)), pa.array(piece), pa.array(piece.astype(np.int64) * capacity),
