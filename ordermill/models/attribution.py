@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ordermill.models.evaluation import average_precision
 from ordermill.models.review_model import ReviewModel
 from ordermill.operators.quality import stacked
 from ordermill.operators.ranking import globally_sorted, with_position
+from ordermill.operators.shaping import inline_rows
 from ordermill.plans.features import CATEGORICAL, LABEL, NUMERIC, SEED, hash_order
 
 
@@ -29,13 +31,17 @@ def linear_attribution(model: ReviewModel, df: DataFrame) -> DataFrame:
     A contribution is coefficient times distance from the feature's mean, which is
     the exact Shapley value when features are independent.
     """
-    rows = model.preparation.apply(df).select(vector_to_array("features").alias("x"))
+    rows = model.preparation.apply(df).select("features")
     names, weights = model.preparation.names, model.fitted.coefficients.toArray()
-    means = rows.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))])
-    both = rows.crossJoin(F.broadcast(means))
-    return mean_abs(both, {
-        name.split("__", 1)[1]: F.lit(float(weights[i])) * (F.col("x")[i] - F.col(f"m{i}"))
-        for i, name in enumerate(names)})
+    # vectors are summed as vectors, however many columns the levels make
+    mean = rows.agg(Summarizer.mean(F.col("features")).alias("mean"))
+    far = rows.crossJoin(F.broadcast(mean)).select(F.zip_with(
+        vector_to_array("features"), vector_to_array("mean"), lambda x, m: F.abs(x - m)).alias("far"))
+    apart = far.agg(Summarizer.mean(array_to_vector(F.col("far"))).alias("v")).select(F.posexplode(vector_to_array("v")).alias("i", "far"))
+    named = inline_rows(df.sparkSession, [(i, n.split("__", 1)[1], abs(float(w))) for i, (n, w) in enumerate(zip(names, weights))],
+                        "i int, feature string, weight double")
+    return named.join(apart, "i").select("feature", (F.col("weight") * F.col("far")).alias("mean_abs")).orderBy(
+        F.col("mean_abs").desc(), "feature")
 
 
 def permutation_importance(model: ReviewModel, df: DataFrame, key: str = "order_id",
@@ -49,11 +55,16 @@ def permutation_importance(model: ReviewModel, df: DataFrame, key: str = "order_
     """
     order = df.withColumn("__hash", hash_order(key, seed))
     placed = with_position(globally_sorted(order, ["__hash", key]), "__position", "__rows")
+    # every row hands each feature's value to the row so many places before it, in one shuffle
+    kinds = {f: df.schema[f].dataType for f in features}
+    target = [F.struct(F.lit(f).alias("feature"), (F.pmod(F.col("__position") - 1 - i, F.col("__rows")) + 1).alias("__position"),
+                       F.col(f).cast("string").alias("value")) for i, f in enumerate(features, start=1)]
+    moved = placed.select(F.inline(F.array(*target))).groupBy("__position").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("__moved"))  # one value per feature
+    both = placed.join(moved, "__position")
     copies = [placed.select(*df.columns, F.lit("").alias("feature"))]
-    for i, feature in enumerate(features, start=1):
-        shifted = F.pmod(F.col("__position") - 1 - i, F.col("__rows")) + 1
-        donor = placed.select(shifted.alias("__position"), F.col(feature).alias("__moved"))
-        copies.append(placed.join(donor, "__position").withColumn(feature, F.col("__moved")).select(
+    for feature, kind in kinds.items():
+        copies.append(both.withColumn(feature, F.col("__moved")[feature].cast(kind)).select(
             *df.columns, F.lit(feature).alias("feature")))
     scored = model.score(stacked(copies)).select("feature", "risk", LABEL)
     precision = average_precision(scored, "risk", LABEL, ["feature"])

@@ -143,8 +143,12 @@ def compare(train: DataFrame, test: DataFrame, options: Mapping[str, dict],
     The scores of all models are stacked, so the metrics take one pass.
     """
     preparation = prepare(train, min_count)
-    scores = [fit(train, name, preparation, **settings).score(test).select(
-        F.lit(name).alias("model"), "risk", LABEL) for name, settings in options.items()]
+    return compared({name: fit(train, name, preparation, **settings) for name, settings in options.items()}, test)
+
+
+def compared(models: Mapping[str, ReviewModel], test: DataFrame) -> DataFrame:
+    """Test metrics of fitted models, by name."""
+    scores = [model.score(test).select(F.lit(name).alias("model"), "risk", LABEL) for name, model in models.items()]
     return evaluation.all_metrics(stacked(scores), "risk", LABEL, ["model"])
 
 

@@ -64,10 +64,14 @@ def clean_reviews(reviews: DataFrame) -> DataFrame:
 def translate(products: DataFrame, translation: DataFrame) -> DataFrame:
     """Add the English category name; products without a category keep null.
 
-    The translation must hold a category once. Spark broadcasts it when its size
-    allows and otherwise joins by shuffle.
+    A category with more than one translation stops the job, as it would multiply products.
+    Spark broadcasts the translation when its size allows and otherwise joins by shuffle.
     """
-    return products.join(translation, "product_category_name", "left")
+    key, english = "product_category_name", "product_category_name_english"
+    once = translation.groupBy(key).agg(F.count("*").alias("__n"), F.max(english).alias("__english"))
+    checked = F.when(F.col("__n") == 1, F.col("__english")).otherwise(
+        F.raise_error(F.concat(F.lit("translated more than once: "), F.col(key))))
+    return products.join(once.select(key, checked.alias(english)), key, "left")
 
 
 def clean_products(products: DataFrame, translation: DataFrame,

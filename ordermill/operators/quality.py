@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ordermill.functions import columns as C
-from ordermill.operators.shaping import missing_keys
+from ordermill.operators.shaping import inline_rows, missing_keys
 from ordermill.schemas import CLEAN_KEYS, Rule
 
 
@@ -103,6 +103,13 @@ def row_parity(source: Mapping[str, DataFrame], loaded: Mapping[str, DataFrame])
     return counts.withColumn("matches", F.col("source_rows").eqNullSafe(F.col("loaded_rows")))
 
 
+def count_parity(spark: SparkSession, counts: Mapping[str, int], loaded: Mapping[str, DataFrame]) -> DataFrame:
+    """Parity of tables whose rows were counted while they were written."""
+    source = inline_rows(spark, list(counts.items()), "table_name string, source_rows long")
+    both = source.join(_row_counts(loaded, "loaded_rows"), "table_name", "full")
+    return both.withColumn("matches", F.col("source_rows").eqNullSafe(F.col("loaded_rows")))
+
+
 def require_parity(parity: DataFrame) -> None:
     wrong = [r.table_name for r in parity.filter("not matches").collect()]  # one row per table
     if wrong:
@@ -133,50 +140,51 @@ def _broken(rule: Rule) -> Column:
     raise ValueError(f"not a row rule: {rule.kind}")
 
 
-def _violations(counted: DataFrame, rule: Rule) -> DataFrame:
-    return counted.select(F.lit(rule.table).alias("table_name"), F.lit(rule.kind).alias("rule"),
-                          F.lit(",".join(rule.columns)).alias("columns"),
-                          F.coalesce("n", F.lit(0)).alias("violations"))
-
-
-def check_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All row-level rules of one table in one pass."""
-    counts = [F.struct(F.lit(r.table).alias("table_name"), F.lit(r.kind).alias("rule"),
-                       F.lit(",".join(r.columns)).alias("columns"),
-                       F.count_if(_broken(r)).alias("violations")) for r in rules]
-    return df.agg(F.array(*counts).alias("c")).select(F.inline("c"))
-
-
-def check_unique(df: DataFrame, rule: Rule) -> DataFrame:
-    """Rows beyond the first of each key."""
-    return _violations(df.groupBy(*rule.columns).agg(F.count("*").alias("k")).agg(
-        F.sum(F.col("k") - 1).alias("n")), rule)
-
-
-def check_foreign_key(df: DataFrame, parent: DataFrame, rule: Rule) -> DataFrame:
-    """Rows whose key is not in the parent table; a null key passes."""
-    child = df.groupBy(*rule.columns).agg(F.count("*").alias("k"))
-    for c in rule.columns:
-        child = child.filter(F.col(c).isNotNull())
-    keys = parent.select(*[F.col(p).alias(c) for p, c in zip(CLEAN_KEYS[rule.arg[0]], rule.columns)])
-    return _violations(missing_keys(child, keys, list(rule.columns)).agg(
-        F.sum("k").alias("n")), rule)
+def _encoded(columns: Sequence[str]) -> Column:
+    """One text for the values of some columns; different values never give the same text."""
+    parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+             for v in (F.col(c).cast("string") for c in columns)]
+    return F.concat(*parts)
+
+
+def _cells(name: str, rules: Sequence[tuple[int, Rule]]) -> list[Column]:
+    """What one row of a table contributes: (rule, key, rows of its own, whether it is the referenced side)."""
+    def cell(n: int, key: Column, own: Column, parent: bool) -> Column:
+        return F.struct(F.lit(n).alias("rule"), key.alias("key"), own.cast("long").alias("own"), F.lit(parent).alias("parent"))
+    cells = []
+    for n, r in rules:
+        if r.kind == "foreign_key" and r.arg[0] == name:
+            cells.append(cell(n, _encoded(CLEAN_KEYS[name]), F.lit(0), True))
+        if r.table != name:
+            continue
+        if r.kind in ("unique", "foreign_key"):
+            known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
+            own = F.lit(1) if r.kind == "unique" else known.cast("int")
+            cells.append(cell(n, _encoded(r.columns), own, False))
+        else:
+            cells.append(cell(n, F.lit(""), F.coalesce(_broken(r), F.lit(False)).cast("int"), False))
+    return cells
 
 
 def check_constraints(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
-    """One row per rule with its number of violations."""
-    out = []
-    for name in dict.fromkeys(r.table for r in rules):
-        mine = [r for r in rules if r.table == name]
-        row_rules = [r for r in mine if r.kind not in ("unique", "foreign_key")]
-        if row_rules:
-            out.append(check_rows(tables[name], row_rules))
-        for r in mine:
-            if r.kind == "unique":
-                out.append(check_unique(tables[name], r))
-            elif r.kind == "foreign_key":
-                out.append(check_foreign_key(tables[name], tables[r.arg[0]], r))
-    return stacked(out)
+    """One row per rule with its number of violations.
+
+    Every table is read once: its rows contribute to all rules that it has a part in. Counts per
+    rule and key are combined before the one shuffle, so row rules and hot keys cost a row per task.
+    """
+    numbered = list(enumerate(rules))
+    names = [t for t in tables if any(r.table == t or r.kind == "foreign_key" and r.arg[0] == t for r in rules)]
+    rows = stacked(tables[t].select(F.inline(F.array(*_cells(t, numbered)))) for t in names)
+    keys = rows.groupBy("rule", "key").agg(F.sum("own").alias("own"), F.max("parent").alias("parent"))
+    kinds = inline_rows(rows.sparkSession, [(n, r.table, r.kind, ",".join(r.columns)) for n, r in numbered],
+                        "rule int, table_name string, kind string, columns string")
+    per_rule = keys.join(F.broadcast(kinds), "rule")  # one row for each rule
+    wrong = (F.when(F.col("kind") == "unique", F.greatest(F.col("own") - 1, F.lit(0)))
+             .when(F.col("kind") == "foreign_key", F.when(F.col("parent"), F.lit(0)).otherwise(F.col("own")))
+             .otherwise(F.col("own")))
+    found = per_rule.groupBy("rule").agg(F.sum(wrong).alias("n"))
+    return kinds.join(found, "rule", "left").select(
+        "table_name", F.col("kind").alias("rule"), "columns", F.coalesce("n", F.lit(0)).alias("violations"))
 
 
 def require_valid(violations: DataFrame) -> None:

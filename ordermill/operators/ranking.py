@@ -110,7 +110,7 @@ def running_sums(df: DataFrame, order: Sequence[str | Column],
         *[(F.col(name) + F.col(f"{name}__before")).alias(name) for name in sums])
 
 
-def _spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], value: str,
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], value: str,
                  salts: int = 32) -> DataFrame:
     """Join rows to one row per group, each group's rows spread over ``salts`` tasks."""
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(salts)))
@@ -134,7 +134,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
     upto = running_sums(counts, [*keys, value], {"__upto": "__n"})
     groups = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__base"),
                                      F.sum("__n").alias("__size"))
-    placed = _spread_join(upto, groups, keys, value) if keys else upto.crossJoin(
+    placed = spread_join(upto, groups, keys, value) if keys else upto.crossJoin(
         F.broadcast(groups))
     first = F.col("__upto") - F.col("__n") - F.col("__base")
     last = F.col("__upto") - F.col("__base")

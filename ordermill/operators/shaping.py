@@ -8,10 +8,9 @@ from datetime import date
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ordermill.operators.ranking import columns
+from ordermill.operators.ranking import columns, running_sums
 
 
 # ---- joins -----------------------------------------------------------------
@@ -46,26 +45,28 @@ def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # ---- whole-result shares ------------------------------------------------------
-# The inputs below are already aggregated to a reporting dimension (months,
-# states, categories, payment types), which the data does not grow.
+# Totals come as one row; running sums and tops need no task that sees all rows.
 
 def share_over(df: DataFrame, value: str, name: str, scale: float = 1.0) -> DataFrame:
     """Value divided by the total of all rows."""
-    total = F.sum(value).over(Window.partitionBy())
-    share = (F.lit(scale) * F.col(value).cast("double")) / total.cast("double")
-    return df.withColumn(name, share)
+    total = df.agg(F.sum(value).alias("__total"))
+    share = (F.lit(scale) * F.col(value).cast("double")) / F.col("__total").cast("double")
+    return attach_row(df, total).withColumn(name, share).drop("__total")
 
 
 def cumulative_share(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """Running share of the total, largest value first."""
-    window = Window.orderBy(F.col(value).desc(), F.col(tie)).rowsBetween(
-        Window.unboundedPreceding, 0)
-    total = F.sum(value).over(Window.partitionBy())
-    return df.withColumn(name, F.sum(value).over(window).cast("double") / total.cast("double"))
+    upto = running_sums(df, [F.col(value).desc(), tie], {"__upto": value})
+    total = upto.agg(F.sum(value).alias("__total"))
+    return attach_row(upto, total).withColumn(
+        name, F.col("__upto").cast("double") / F.col("__total").cast("double")).drop("__upto", "__total")
 
 
 def growth_over_previous_row(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Percent change against the previous row, whichever month that row holds."""
+    """Percent change against the previous row, whichever month that row holds.
+
+    For one row per month, of which there are few: one task orders them.
+    """
     before = F.lag(value).over(Window.orderBy(order))
     return df.withColumn("__before", before).withColumn(
         name, F.try_divide(F.lit(100.0) * (F.col(value) - F.col("__before")).cast("double"),
@@ -123,10 +124,9 @@ def fixed_width_histogram(df: DataFrame, value: str, width: int, stop: int) -> D
 
 def inline_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Literal rows as a local relation, whose size the optimizer knows."""
-    fields = StructType.fromDDL(schema).fields
-    arrays = [pa.array([row[i] for row in rows], to_arrow_type(field.dataType))
-              for i, field in enumerate(fields)]
-    return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]), schema)
+    names = StructType.fromDDL(schema).names
+    table = pa.table({name: pa.array([row[i] for row in rows]) for i, name in enumerate(names)})
+    return spark.createDataFrame(table, schema)
 
 
 def day_spine(spark: SparkSession, start: date, end: date) -> DataFrame:
@@ -143,5 +143,5 @@ def fill_months(df: DataFrame, month: str, values: Sequence[str]) -> DataFrame:
     span = df.agg(F.min(month).alias("__first"), F.max(month).alias("__last"))
     spine = span.select(F.explode(F.sequence(
         "__first", "__last", F.expr("interval 1 month"))).alias(month))
-    return spine.join(F.broadcast(df), month, "left").select(
+    return spine.join(df, month, "left").select(
         month, *[F.coalesce(c, F.lit(0)).alias(c) for c in values])

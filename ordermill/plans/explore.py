@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.functions import columns as C
-from ordermill.operators.ranking import exact_quantiles, first_rows
+from ordermill.operators.ranking import exact_quantiles, first_rows, global_row_number, spread_join
 from ordermill.operators.shaping import (attach_row, cumulative_share, equal_width_histogram,
                                          fill_months, fixed_width_histogram, keep_keys, share_over, top_n)
 from ordermill.plans.questions import (delivered_dated, order_revenue, person_orders,
@@ -158,24 +158,34 @@ def installment_shares(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 # ---- repeat purchases -----------------------------------------------------------------
 
-def purchase_rank(orders: DataFrame, customers: DataFrame, upto: int) -> DataFrame:
-    """The first ``upto`` delivered orders of every person, numbered from 0.
+_PURCHASE_ORDER = ["order_purchase_timestamp", "order_id"]
 
-    Ties on the purchase time are ordered by order id.
-    """
-    people = person_orders(delivered_dated(orders).select(
+
+def _people(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    return person_orders(delivered_dated(orders).select(
         "order_id", "customer_id", "order_purchase_timestamp"), customers)
-    ranked = first_rows(people, ["customer_unique_id"], ["order_purchase_timestamp", "order_id"],
-                        upto, rank="purchase_rank")
-    return ranked.withColumn("purchase_rank", F.col("purchase_rank") - 1)
+
+
+def purchase_rank(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """All delivered orders, numbered from 0 within each person; ties on the time go by order id.
+
+    A number is the order's position in one sort of all rows minus the position of the
+    person's first order, so a person with very many orders is spread over many tasks.
+    """
+    people = _people(orders, customers)
+    placed = global_row_number(people, ["customer_unique_id", *_PURCHASE_ORDER], "__position")
+    first = placed.groupBy("customer_unique_id").agg(F.min("__position").alias("__first"))
+    return spread_join(placed, first, ["customer_unique_id"], "__position").select(
+        *people.columns, (F.col("__position") - F.col("__first")).alias("purchase_rank"))
 
 
 def first_second(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """First and, if any, second purchase of every person, in one row."""
     bought = F.col("order_purchase_timestamp")
-    return purchase_rank(orders, customers, 2).groupBy("customer_unique_id").agg(
-        F.max(F.when(F.col("purchase_rank") == 0, bought)).alias("first_purchase"),
-        F.max(F.when(F.col("purchase_rank") == 1, bought)).alias("second_purchase"))
+    ranked = first_rows(_people(orders, customers), ["customer_unique_id"], _PURCHASE_ORDER, 2, rank="nth")
+    return ranked.groupBy("customer_unique_id").agg(
+        F.max(F.when(F.col("nth") == 1, bought)).alias("first_purchase"),
+        F.max(F.when(F.col("nth") == 2, bought)).alias("second_purchase"))
 
 
 def repeat_rate(orders: DataFrame, customers: DataFrame) -> DataFrame:

@@ -17,11 +17,14 @@ from ordermill.operators.ranking import globally_sorted, with_position
 from ordermill.operators.shaping import attach_row, left_join_all, top_n
 from ordermill.plans.questions import delivered_dated
 
+# The model's columns.
 NUMERIC = ("delivery_delay_days", "delivery_days", "price_total", "freight_total", "item_count",
            "max_installments", "cross_state")
 CATEGORICAL = ("category", "payment_type")
 LABEL = "is_low_review"
 INFREQUENT = "infrequent"
+# More values than this is no label to stratify by.
+MAX_LABELS = 1000
 SEED = 42
 
 
@@ -101,9 +104,13 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = "order_id",
     """
     marked = df.withColumn("__hash", hash_order(key, seed))
     placed = with_position(globally_sorted(marked, [label, "__hash", key]), "__position")
-    # one row per label value
+    # a row without a label has no side; few labels are what makes them a broadcast
+    placed = placed.withColumn(label, F.coalesce(F.col(label), F.raise_error(F.lit(f"a row has no {label}")).cast(
+        placed.schema[label].dataType)))
     labels = placed.groupBy(label).agg((F.min("__position") - 1).alias("__before"),
                                        F.count("*").alias("__size"))
+    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values")
     wanted = F.round(F.lit(fraction) * F.col("__size"))
     return placed.join(F.broadcast(labels), label).withColumn(
         "is_test", F.col("__position") - F.col("__before") <= wanted).select(
@@ -149,17 +156,20 @@ def fold_level(value: Column, frequent: Sequence[str], other: str = INFREQUENT)
 def moments(train: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     """One row with mean and population standard deviation of every column.
 
-    Both follow from exact sums of values and squares, so the result does not
-    depend on the order in which partitions are merged.
+    The mean comes first; the deviation is taken from distances to the rounded mean, which are
+    exact decimals. Nothing large cancels that way, a constant column has deviation 0, and the
+    result does not depend on the order in which partitions are merged.
     """
     n = F.count("*").cast("double")
+    exact = "decimal(18,2)"
+    means = train.agg(*[(F.sum(F.col(c).cast(exact)).cast("double") / n).alias(f"{c}__mean") for c in columns])
     out = []
     for c in columns:
-        x = F.col(c).cast("decimal(18,2)")
-        total, squares = F.sum(x).cast("double"), F.sum(x * x).cast("double")
-        out += [(total / n).alias(f"{c}__mean"),
-                F.sqrt((squares - total * total / n) / n).alias(f"{c}__std")]
-    return train.agg(*out)
+        far = F.col(c).cast(exact) - F.round(f"{c}__mean", 2).cast(exact)
+        squares, rest = F.sum(far * far).cast("double") / n, F.sum(far).cast("double") / n
+        out += [F.max(f"{c}__mean").alias(f"{c}__mean"),
+                F.sqrt(F.greatest(squares - rest * rest, F.lit(0.0))).alias(f"{c}__std")]
+    return attach_row(train, means).agg(*out)
 
 
 def scaled(column: str, stats: Mapping[str, float]) -> Column:

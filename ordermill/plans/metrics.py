@@ -44,7 +44,33 @@ def _item_keys(star: Star, used: set[str]) -> list[str]:
             if used & set(dim.columns)]
 
 
-def _delivered(star: Star, used: set[str], scored: bool) -> DataFrame:
+def _kept(star: Star, where: Slicers, months_before: int) -> tuple[DataFrame, DataFrame]:
+    """Items and delivered orders that slicers can keep, before anything is summed or joined wide.
+
+    Date slicers become one range of days on the orders, so many months before it as asked for;
+    slicers on a dimension keep that dimension's keys; items then follow the orders that are left.
+    """
+    def on(dim: DataFrame) -> dict[str, Sequence]:
+        return {c: v for c, v in where.items() if c in dim.columns}
+    items, orders = star.items, star.orders.filter(F.col("is_delivered") == 1)
+    narrowed = False
+    if on(star.date):
+        first, last = _sliced(star.date, on(star.date)).agg(  # one row
+            F.add_months(F.min("date"), -months_before), F.max("date")).first()
+        orders = orders.filter(F.col("order_date").between(first, last) if first else F.lit(False))
+        narrowed = True
+    if on(star.customer):
+        orders = orders.join(_sliced(star.customer, on(star.customer)).select("customer_id"), "customer_id", "left_semi")
+        narrowed = True
+    for dim, key in ((star.product, "product_id"), (star.seller, "seller_id")):
+        if on(dim):
+            items = items.join(_sliced(dim, on(dim)).select(key), key, "left_semi")
+    if narrowed:
+        items = items.join(orders.select("order_id"), "order_id", "left_semi")
+    return items, orders
+
+
+def _delivered(star: Star, used: set[str], scored: bool, where: Slicers, months_before: int = 0) -> DataFrame:
     """Delivered orders at the coarsest grain that still carries the used columns.
 
     Item rows are summed to one per order (and product or seller, if asked for)
@@ -53,8 +79,9 @@ def _delivered(star: Star, used: set[str], scored: bool) -> DataFrame:
     """
     own = {name: expr() for name, expr in FACT_COLUMNS.items() if name in used}
     grain = ["order_id", *_item_keys(star, used)]
-    sold = star.items.groupBy(*grain).agg(F.sum(C.revenue()).alias("revenue"))
-    orders = star.orders.filter(F.col("is_delivered") == 1).withColumns(own)
+    items, orders = _kept(star, where, months_before)
+    sold = items.groupBy(*grain).agg(F.sum(C.revenue()).alias("revenue"))
+    orders = orders.withColumns(own)
     if scored:
         orders = orders.join(star.scores, "order_id", "left")
     score = "review_score" if scored else F.lit(None).cast("int").alias("review_score")
@@ -67,7 +94,7 @@ def _additive(star: Star, measures: Sequence[str], by: Sequence[str], where: Sli
     """Sums and counts per group, from which every measure but growth follows."""
     per_person = "repeat_customer_rate" in measures
     used = {*by, *where} | ({"customer_unique_id"} if per_person else set())
-    facts = _delivered(star, used, scored="avg_review_score" in measures)
+    facts = _delivered(star, used, "avg_review_score" in measures, where)
     facts = _sliced(star_join(facts, star, used), where)
     person = ["customer_unique_id"] if per_person and "customer_unique_id" not in by else []
     per_order = facts.withColumnRenamed("review_score", "score")
@@ -118,7 +145,7 @@ def _growth(star: Star, by: Sequence[str], where: Slicers) -> DataFrame:
     rest_where = {c: v for c, v in where.items() if c not in MONTH_COLUMNS}
     date_where = {c: v for c, v in where.items() if c in MONTH_COLUMNS}
     used = {*rest, *rest_where}
-    facts = _sliced(star_join(_delivered(star, used, scored=False), star, used), rest_where)
+    facts = _sliced(star_join(_delivered(star, used, False, where, 1), star, used), rest_where)
     monthly = facts.groupBy(*rest, F.trunc("order_date", "MM").alias("year_month")).agg(
         F.sum("revenue").alias("revenue"))
     nothing = F.lit(None).cast(monthly.schema["revenue"].dataType)
@@ -127,7 +154,7 @@ def _growth(star: Star, by: Sequence[str], where: Slicers) -> DataFrame:
         F.struct(F.add_months("year_month", 1).alias("year_month"), nothing.alias("now"),
                  F.col("revenue").alias("before")))))
     months = star.date.select(*MONTH_COLUMNS).distinct()
-    shifted = _sliced(both.join(F.broadcast(months), "year_month"), date_where)
+    shifted = _sliced(both.join(star.small_days(months), "year_month"), date_where)
     change = F.coalesce(F.sum("now"), F.lit(0)) - F.sum("before")
     return shifted.groupBy(*by).agg(C.ratio(change, F.sum("before")).alias("mom_growth"))
 

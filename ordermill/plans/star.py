@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from ordermill.sources.files import register_views
 # First and last day of the source data's calendar.
 CALENDAR = (date(2016, 9, 1), date(2018, 12, 31))
 
-# Days of a thousand years: above this a calendar is not broadcast.
-_MAX_CALENDAR_DAYS = 366_000
+# A calendar of more days than this (a thousand years) is joined without a broadcast hint.
+_BROADCAST_DAYS = 366_000
 
 
 def order_facts(orders: DataFrame) -> DataFrame:
@@ -83,16 +84,21 @@ def _calendar(days: DataFrame) -> DataFrame:
 
 def dim_date(spark: SparkSession, start: date = CALENDAR[0], end: date = CALENDAR[1]) -> DataFrame:
     """One row per calendar day, both ends included."""
-    if (end - start).days > _MAX_CALENDAR_DAYS:
-        raise ValueError("calendar too long")
     return _calendar(day_spine(spark, start, end))
 
 
-def dim_date_of(orders: DataFrame) -> DataFrame:
-    """The calendar of whole months that covers all purchases."""
+def order_span(orders: DataFrame) -> tuple[date, date] | None:
+    """First and last purchase day; one row reaches the driver. None without any purchase."""
+    bought = F.to_date("order_purchase_timestamp")
+    first, last = orders.agg(F.min(bought), F.max(bought)).first()
+    return (first, last) if first else None
+
+
+def dim_date_of(orders: DataFrame, months_after: int = 0) -> DataFrame:
+    """The calendar of whole months that covers all purchases, and so many months more."""
     bought = F.to_date("order_purchase_timestamp")
     span = orders.agg(F.trunc(F.min(bought), "MM").alias("first"),
-                      F.last_day(F.max(bought)).alias("last"))
+                      F.last_day(F.add_months(F.max(bought), months_after)).alias("last"))
     return _calendar(span.select(F.explode(F.sequence("first", "last")).alias("date")))
 
 
@@ -111,7 +117,19 @@ class Star:
     customer: DataFrame
     product: DataFrame
     seller: DataFrame
-    date: DataFrame
+    calendar: Callable[[], tuple[DataFrame, int]]
+
+    @cached_property
+    def _days(self) -> tuple[DataFrame, int]:
+        return self.calendar()
+
+    @property
+    def date(self) -> DataFrame:
+        return self._days[0]
+
+    def small_days(self, days: DataFrame) -> DataFrame:
+        """Calendar rows with a broadcast hint, as long as the calendar's known length allows."""
+        return F.broadcast(days) if self._days[1] <= _BROADCAST_DAYS else days
 
     def views(self) -> dict[str, DataFrame]:
         return {"fact_order_items": self.fact, "dim_customer": self.customer,
@@ -119,13 +137,24 @@ class Star:
 
 
 def build_star(spark: SparkSession, tables: Mapping[str, DataFrame],
-               calendar: tuple[date, date] = CALENDAR, with_places: bool = True) -> Star:
+               calendar: tuple[date, date] | None = None, with_places: bool = True) -> Star:
     """All five views of the cleaned tables.
 
+    Without ``calendar`` the days come from the orders: whole months, and one more, in which
+    growth sees the last month as the one before. A given calendar that misses a purchase
+    raises an error.
     ``with_places=False`` leaves the coordinates out of the dimensions, so that
     measures do not start the geolocation jobs.
     """
-    customers, sellers = tables["customers"], tables["sellers"]
+    customers, sellers, orders = tables["customers"], tables["sellers"], tables["orders"]
+
+    def days() -> tuple[DataFrame, int]:
+        span = order_span(orders)
+        if calendar and span and not calendar[0] <= span[0] <= span[1] <= calendar[1]:
+            raise ValueError(f"the calendar {calendar} misses purchases between {span[0]} and {span[1]}")
+        if calendar:
+            return dim_date(spark, *calendar), (calendar[1] - calendar[0]).days + 1
+        return dim_date_of(orders, 1), (span[1] - span[0]).days + 93 if span else 0
     return Star(
         items=tables["order_items"], orders=order_facts(tables["orders"]),
         scores=order_scores(tables["reviews"]),
@@ -133,7 +162,7 @@ def build_star(spark: SparkSession, tables: Mapping[str, DataFrame],
         customer=dim_customer(customers, tables["geolocation"]) if with_places else customers,
         product=dim_product(tables["products"]),
         seller=dim_seller(sellers, tables["geolocation"]) if with_places else sellers,
-        date=dim_date(spark, *calendar))
+        calendar=days)
 
 
 def register_star(spark: SparkSession, star: Star) -> DataFrame:
@@ -145,7 +174,7 @@ def star_join(facts: DataFrame, star: Star, needed: set[str]) -> DataFrame:
     """Fact rows with only the dimensions that ``needed`` columns come from.
 
     Each dimension is many-to-one, so no fact row multiplies. Spark broadcasts a
-    dimension when its size allows; only the calendar is bounded by construction.
+    dimension when its size allows; only the calendar's length is known.
     """
     dims = ((star.customer, "customer_id"), (star.product, "product_id"),
             (star.seller, "seller_id"))
@@ -156,5 +185,5 @@ def star_join(facts: DataFrame, star: Star, needed: set[str]) -> DataFrame:
     wanted = [c for c in star.date.columns if c in needed]
     if wanted:
         days = star.date.select(F.col("date").alias("order_date"), *wanted)
-        facts = facts.join(F.broadcast(days), "order_date", "left")
+        facts = facts.join(star.small_days(days), "order_date", "left")
     return facts

@@ -41,7 +41,7 @@ DATE_COLUMNS = {
     "reviews": ("review_creation_date", "review_answer_timestamp"),
 }
 
-# Load order: tables that others refer to come first.
+# Load order, tables that others refer to come first.
 CLEAN_TABLES = ("customers", "sellers", "products", "geolocation",
                 "orders", "order_items", "payments", "reviews")
 
@@ -69,54 +69,91 @@ class Rule:
     arg: tuple = ()
 
 
-def _declared(table: str, ids=(), required=(), widths=(), small=(), tiny=(), money=()):
-    """Rules of one table from lists of column names."""
-    rules = [Rule(table, "not_null", (c,)) for c in (*ids, *required)]
-    rules += [Rule(table, "length", (c,), (32,)) for c in ids]
-    rules += [Rule(table, "max_length", (c,), (n,)) for c, n in widths]
-    rules += [Rule(table, "between", (c,), (-32768, 32767)) for c in small]
-    rules += [Rule(table, "between", (c,), (0, 255)) for c in tiny]
-    rules += [Rule(table, "fits", (c,), ("decimal(10,2)",)) for c in money]
-    rules.append(Rule(table, "unique", CLEAN_KEYS[table]))
-    return rules
-
-
-CONSTRAINTS = tuple(
-    _declared("customers", ids=("customer_id", "customer_unique_id"),
-              required=("customer_zip_code_prefix", "customer_city", "customer_state"),
-              widths=(("customer_city", 50), ("customer_state", 2)))
-    + _declared("sellers", ids=("seller_id",),
-                required=("seller_zip_code_prefix", "seller_city", "seller_state"),
-                widths=(("seller_city", 50), ("seller_state", 2)))
-    + _declared("products", ids=("product_id",),
-                widths=(("product_category_name", 50), ("product_category_name_english", 50)),
-                small=("product_name_length", "product_description_length", "product_length_cm",
-                       "product_height_cm", "product_width_cm"),
-                tiny=("product_photos_qty",))
-    + _declared("geolocation",
-                required=("geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng"))
-    + _declared("orders", ids=("order_id", "customer_id"),
-                required=("order_status", "order_purchase_timestamp",
-                          "order_estimated_delivery_date"),
-                widths=(("order_status", 15),))
-    + _declared("order_items", ids=("order_id", "product_id", "seller_id"),
-                required=("order_item_id", "shipping_limit_date", "price", "freight_value"),
-                tiny=("order_item_id",), money=("price", "freight_value"))
-    + _declared("payments", ids=("order_id",),
-                required=("payment_sequential", "payment_type", "payment_installments",
-                          "payment_value"),
-                widths=(("payment_type", 15),),
-                tiny=("payment_sequential", "payment_installments"), money=("payment_value",))
-    + _declared("reviews", ids=("order_id", "review_id"),
-                required=("review_score", "review_creation_date", "review_answer_timestamp"),
-                widths=(("review_comment_title", 50), ("review_comment_message", 300)))
-    + [
-        Rule("reviews", "between", ("review_score",), (1, 5)),
-        Rule("payments", "between", ("payment_installments",), (1, 255)),
-        Rule("orders", "foreign_key", ("customer_id",), ("customers",)),
-        Rule("order_items", "foreign_key", ("order_id",), ("orders",)),
-        Rule("order_items", "foreign_key", ("product_id",), ("products",)),
-        Rule("order_items", "foreign_key", ("seller_id",), ("sellers",)),
-        Rule("payments", "foreign_key", ("order_id",), ("orders",)),
-        Rule("reviews", "foreign_key", ("order_id",), ("orders",)),
-    ])
+# The declared constraints of the cleaned tables.
+CONSTRAINTS = (
+    Rule("customers", "not_null", ("customer_id",)),
+    Rule("customers", "not_null", ("customer_unique_id",)),
+    Rule("customers", "not_null", ("customer_zip_code_prefix",)),
+    Rule("customers", "not_null", ("customer_city",)),
+    Rule("customers", "not_null", ("customer_state",)),
+    Rule("customers", "length", ("customer_id",), (32,)),
+    Rule("customers", "length", ("customer_unique_id",), (32,)),
+    Rule("customers", "max_length", ("customer_city",), (50,)),
+    Rule("customers", "max_length", ("customer_state",), (2,)),
+    Rule("customers", "unique", ("customer_id",)),
+    Rule("sellers", "not_null", ("seller_id",)),
+    Rule("sellers", "not_null", ("seller_zip_code_prefix",)),
+    Rule("sellers", "not_null", ("seller_city",)),
+    Rule("sellers", "not_null", ("seller_state",)),
+    Rule("sellers", "length", ("seller_id",), (32,)),
+    Rule("sellers", "max_length", ("seller_city",), (50,)),
+    Rule("sellers", "max_length", ("seller_state",), (2,)),
+    Rule("sellers", "unique", ("seller_id",)),
+    Rule("products", "not_null", ("product_id",)),
+    Rule("products", "length", ("product_id",), (32,)),
+    Rule("products", "max_length", ("product_category_name",), (50,)),
+    Rule("products", "max_length", ("product_category_name_english",), (50,)),
+    Rule("products", "between", ("product_name_length",), (-32768, 32767)),
+    Rule("products", "between", ("product_description_length",), (-32768, 32767)),
+    Rule("products", "between", ("product_length_cm",), (-32768, 32767)),
+    Rule("products", "between", ("product_height_cm",), (-32768, 32767)),
+    Rule("products", "between", ("product_width_cm",), (-32768, 32767)),
+    Rule("products", "between", ("product_photos_qty",), (0, 255)),
+    Rule("products", "unique", ("product_id",)),
+    Rule("geolocation", "not_null", ("geolocation_zip_code_prefix",)),
+    Rule("geolocation", "not_null", ("geolocation_lat",)),
+    Rule("geolocation", "not_null", ("geolocation_lng",)),
+    Rule("geolocation", "unique", ("geolocation_zip_code_prefix",)),
+    Rule("orders", "not_null", ("order_id",)),
+    Rule("orders", "not_null", ("customer_id",)),
+    Rule("orders", "not_null", ("order_status",)),
+    Rule("orders", "not_null", ("order_purchase_timestamp",)),
+    Rule("orders", "not_null", ("order_estimated_delivery_date",)),
+    Rule("orders", "length", ("order_id",), (32,)),
+    Rule("orders", "length", ("customer_id",), (32,)),
+    Rule("orders", "max_length", ("order_status",), (15,)),
+    Rule("orders", "unique", ("order_id",)),
+    Rule("order_items", "not_null", ("order_id",)),
+    Rule("order_items", "not_null", ("product_id",)),
+    Rule("order_items", "not_null", ("seller_id",)),
+    Rule("order_items", "not_null", ("order_item_id",)),
+    Rule("order_items", "not_null", ("shipping_limit_date",)),
+    Rule("order_items", "not_null", ("price",)),
+    Rule("order_items", "not_null", ("freight_value",)),
+    Rule("order_items", "length", ("order_id",), (32,)),
+    Rule("order_items", "length", ("product_id",), (32,)),
+    Rule("order_items", "length", ("seller_id",), (32,)),
+    Rule("order_items", "between", ("order_item_id",), (0, 255)),
+    Rule("order_items", "fits", ("price",), ("decimal(10,2)",)),
+    Rule("order_items", "fits", ("freight_value",), ("decimal(10,2)",)),
+    Rule("order_items", "unique", ("order_id", "order_item_id")),
+    Rule("payments", "not_null", ("order_id",)),
+    Rule("payments", "not_null", ("payment_sequential",)),
+    Rule("payments", "not_null", ("payment_type",)),
+    Rule("payments", "not_null", ("payment_installments",)),
+    Rule("payments", "not_null", ("payment_value",)),
+    Rule("payments", "length", ("order_id",), (32,)),
+    Rule("payments", "max_length", ("payment_type",), (15,)),
+    Rule("payments", "between", ("payment_sequential",), (0, 255)),
+    Rule("payments", "between", ("payment_installments",), (0, 255)),
+    Rule("payments", "fits", ("payment_value",), ("decimal(10,2)",)),
+    Rule("payments", "unique", ("order_id", "payment_sequential")),
+    Rule("reviews", "not_null", ("order_id",)),
+    Rule("reviews", "not_null", ("review_id",)),
+    Rule("reviews", "not_null", ("review_score",)),
+    Rule("reviews", "not_null", ("review_creation_date",)),
+    Rule("reviews", "not_null", ("review_answer_timestamp",)),
+    Rule("reviews", "length", ("order_id",), (32,)),
+    Rule("reviews", "length", ("review_id",), (32,)),
+    Rule("reviews", "max_length", ("review_comment_title",), (50,)),
+    Rule("reviews", "max_length", ("review_comment_message",), (300,)),
+    Rule("reviews", "unique", ("order_id",)),
+    Rule("reviews", "between", ("review_score",), (1, 5)),
+    Rule("payments", "between", ("payment_installments",), (1, 255)),
+    Rule("orders", "foreign_key", ("customer_id",), ("customers",)),
+    Rule("order_items", "foreign_key", ("order_id",), ("orders",)),
+    Rule("order_items", "foreign_key", ("product_id",), ("products",)),
+    Rule("order_items", "foreign_key", ("seller_id",), ("sellers",)),
+    Rule("payments", "foreign_key", ("order_id",), ("orders",)),
+    Rule("reviews", "foreign_key", ("order_id",), ("orders",)),
+)

@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="ordermill-")
     context.setCheckpointDir(folder)

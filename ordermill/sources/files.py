@@ -5,27 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.operators.shaping import inline_rows
 from ordermill.schemas import CLEAN_TABLES, QUOTED_NEWLINES, RAW
 
-# Stems of the raw file names.
-_STEMS = {
-    "orders": "orders", "order_items": "order_items", "payments": "order_payments",
-    "reviews": "order_reviews", "customers": "customers", "products": "products",
-    "sellers": "sellers", "geolocation": "geolocation",
-}
-_TRANSLATION = "product_category_name_translation.csv"
-
-
-def raw_files(prefix: str = "", suffix: str = "") -> dict[str, str]:
-    """File name per raw table; the translation file carries neither prefix nor suffix."""
-    names = {table: f"{prefix}{stem}{suffix}.csv" for table, stem in _STEMS.items()}
-    return {**names, "translation": _TRANSLATION}
-
-
 def read_csv(spark: SparkSession, path: str, schema: str, quoted_newlines: bool = False) -> DataFrame:
     """A headered CSV with a given schema; empty fields are null, doubled quotes are one quote."""
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
@@ -33,9 +18,12 @@ def read_csv(spark: SparkSession, path: str, schema: str, quoted_newlines: bool
 
 
 def read_raw(spark: SparkSession, folder: str,
-             files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
-    """All raw tables of a folder, one lazy frame each."""
-    files = files or raw_files()
+             files: Mapping[str, str]) -> dict[str, DataFrame]:
+    """One lazy frame for each raw table, from the files that the caller names for them.
+
+    Reviews have line breaks in their text, so one task parses each of their files whole;
+    have them delivered in many files.
+    """
     return {name: read_csv(spark, f"{folder}/{file}", RAW[name], name in QUOTED_NEWLINES)
             for name, file in files.items()}
 
@@ -45,10 +33,24 @@ def read_clean(spark: SparkSession, folder: str,
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
-def write_clean(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Write every table as parquet, replacing what was there; never write where you read."""
+def write_clean(tables: Mapping[str, DataFrame], folder: str, by_month: bool = False) -> dict[str, int]:
+    """Write every table as parquet, replacing what was there, and tell how many rows each got.
+
+    Rows are counted while they are written. ``by_month`` lays orders out by purchase month, so
+    that a date range reads only its months. Never write where you read.
+    """
+    counts = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        seen = Observation(f"rows-{name}")
+        rows = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        if by_month and "order_purchase_timestamp" in df.columns:
+            month = F.date_format("order_purchase_timestamp", "yyyy-MM")
+            rows = rows.withColumn("purchase_month", month).repartition("purchase_month", F.spark_partition_id() % 16)
+            rows.write.mode("overwrite").partitionBy("purchase_month").parquet(f"{folder}/{name}.parquet")
+        else:
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        counts[name] = seen.get["n"]
+    return counts
 
 
 def load_tables(tables: Mapping[str, DataFrame], database: str, folder: str | None = None,
@@ -97,8 +99,11 @@ def source_manifest(spark: SparkSession, folder: str, expected: Sequence[str]) -
 
     Only file listings are read, not their contents.
     """
-    base = folder.rstrip("/").rsplit("/", 1)[-1]
-    entry = F.regexp_extract("path", f"/{re.escape(base)}/([^/]+)", 1)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath()
+    # the first name below the folder itself, wherever its own name occurs again in the path
+    entry = F.regexp_extract("path", f"^(?:[a-zA-Z][^/]*:(?://[^/]*)?)?{re.escape(base.rstrip('/'))}/([^/]+)", 1)
     present = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
                .groupBy(entry.alias("file_name")).agg(F.sum("length").alias("file_size")))
     wanted = inline_rows(spark, [(f,) for f in expected], "file_name string")
@@ -108,6 +113,6 @@ def source_manifest(spark: SparkSession, folder: str, expected: Sequence[str]) -
 
 def require_complete(manifest: DataFrame) -> None:
     """Fail when an expected file is missing."""
-    missing = [r.file_name for r in manifest.filter("missing").limit(20).collect()]
+    missing = [r.file_name for r in manifest.filter("missing").collect()]  # as many as were expected at most
     if missing:
         raise FileNotFoundError(f"missing source files: {', '.join(missing)}")

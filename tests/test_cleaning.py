@@ -76,6 +76,9 @@ def test_csv_text_with_breaks_quotes_and_empty_fields(spark, tmp_path):
     assert reviews.count() == 1
 
 
+RAW_FILES = {name: f"{name}.csv" for name in RAW}
+
+
 def _raw_files(folder):
     """A tiny raw data set with the planted defects."""
     texts = {
@@ -94,31 +97,34 @@ def _raw_files(folder):
     }
     for name, text in texts.items():
         header = ",".join(c.split()[0] for c in RAW[name].replace("decimal(10,2)", "decimal").split(", "))
-        (folder / files.raw_files()[name]).write_text(header + "\n" + text)
+        (folder / RAW_FILES[name]).write_text(header + "\n" + text)
 
 
 def test_raw_folder_to_cleaned_parquet_and_views(spark, tmp_path):
-    raw_dir, clean_dir = tmp_path / "raw", tmp_path / "clean"
-    raw_dir.mkdir()
+    raw_dir, clean_dir = tmp_path / "raw" / "x" / "raw", tmp_path / "clean"
+    raw_dir.mkdir(parents=True)
     _raw_files(raw_dir)
-    manifest = files.source_manifest(spark, str(raw_dir), [*files.raw_files().values(), "extra.csv"])
+    manifest = files.source_manifest(spark, str(raw_dir), [*RAW_FILES.values(), "extra.csv"])
     assert [r.file_name for r in manifest.filter("missing").collect()] == ["extra.csv"]
     with pytest.raises(FileNotFoundError):
         files.require_complete(manifest)
 
-    raw = files.read_raw(spark, str(raw_dir))
+    raw = files.read_raw(spark, str(raw_dir), RAW_FILES)
     clean = cleaning.clean_all(raw)
-    files.write_clean(clean, str(clean_dir))
+    counts = files.write_clean(clean, str(clean_dir))
     loaded = files.read_clean(spark, str(clean_dir))
-    parity = quality.row_parity(clean, loaded)
-    quality.require_parity(parity)
+    quality.require_parity(quality.row_parity(clean, loaded))
+    quality.require_parity(quality.count_parity(spark, counts, loaded))
+    files.write_clean({"orders": clean["orders"]}, str(tmp_path / "months"), by_month=True)
+    assert sorted(p.name for p in (tmp_path / "months" / "orders.parquet").glob("purchase_month=*")) == [
+        "purchase_month=2018-01", "purchase_month=2018-02"]
     deltas = {r.table_name: r.rows_removed for r in quality.row_delta(raw, loaded).collect()}
     assert deltas == {"orders": 0, "order_items": 0, "payments": 1, "reviews": 1, "customers": 0,
                       "products": 0, "sellers": 0, "geolocation": 2}
     built = star.build_star(spark, loaded)
     assert {r.view for r in star.register_star(spark, built).filter("created").collect()} == {
         "fact_order_items", "dim_customer", "dim_product", "dim_seller", "dim_date"}
-    assert spark.sql("select count(*) from dim_date").first()[0] == 852
+    assert spark.sql("select count(*) from dim_date").first()[0] == 31 + 28 + 31  # and the month after
     fact = spark.sql("select order_id, is_delivered, revenue, delivery_days, delivery_delay_days, is_late,"
                      " review_score from fact_order_items where order_item_id = 1 order by order_id").collect()
     assert [(r.order_id, r.is_delivered, float(r.revenue), r.delivery_days, r.delivery_delay_days,
@@ -126,10 +132,12 @@ def test_raw_folder_to_cleaned_parquet_and_views(spark, tmp_path):
         ("o1", 1, 11.75, 2, 1, 1, 2), ("o2", 0, 5.0, None, None, 0, None)]
 
 
-def test_raw_file_names():
-    names = files.raw_files("shop_", "_dataset")
-    assert names["orders"] == "shop_orders_dataset.csv"
-    assert names["translation"] == "product_category_name_translation.csv" and len(names) == 9
+def test_a_category_translated_twice_stops_the_job(spark):
+    products = inline_rows(spark, [("p1", "a"), ("p2", "b"), ("p3", None)], "product_id string, product_category_name string")
+    once = inline_rows(spark, [("a", "x"), ("b", "y")], "product_category_name string, product_category_name_english string")
+    assert cleaning.translate(products, once).count() == 3
+    with pytest.raises(Exception, match="more than once"):
+        cleaning.translate(products, once.union(once)).collect()
 
 
 def test_parity_fails_on_a_difference(spark):
@@ -197,6 +205,8 @@ class _Named:
 def test_intermediates_go_to_the_folder_the_session_names():
     named = _Named("hdfs:///shared", "yarn")
     assert shared_dir(named) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Named(None, "local-cluster[2,1,1024]"))  # its executors are processes of their own
     assert scratch_path(named, "x").startswith("hdfs:///shared/x-")
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(_Named(None, "yarn"))  # never a machine-local folder on a cluster

@@ -149,3 +149,18 @@ def test_preparation_names_match_the_vector(spark, planted):
                                      "cat__payment_type_credit_card", "cat__payment_type_infrequent"]
     unseen = preparation.apply(planted.limit(1).withColumn("category", F.lit("new"))).first()
     assert unseen.features.toArray()[8] == 1.0
+
+
+def test_moments_of_constant_and_nearly_constant_columns(spark):
+    rows = [(12345.67, 1e6 + 0.01 * (i % 2)) for i in range(3 * 4)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    stats = features.moments(df, ["a", "b"]).first().asDict()
+    assert stats["a__std"] == 0.0
+    assert abs(stats["b__std"] - 0.005) < 1e-9
+    assert df.select(features.scaled("a", stats)).distinct().collect() == [(0.0,)]
+
+
+def test_a_row_without_label_stops_the_split(spark):
+    df = spark.createDataFrame([(1, 0), (2, None)], "order_id int, is_low_review int")
+    with pytest.raises(Exception, match="has no"):
+        features.stratified_split(df).collect()
