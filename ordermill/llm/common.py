@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from ordermill.session import scratch_path, shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of one Arrow batch; a batch of very long texts stays this small, but for its last row.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,16 +38,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def in_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` over every Arrow batch; it gets and returns whole record batches."""
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers outlive their tasks and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with bounded batches, and nothing freed held on to at the end of a task."""
     prepare(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+    return df.mapInArrow(run, schema)
+
+
+def in_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``function`` over every Arrow batch; it gets and returns whole record batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = function(batch)
             if out is not None and out.num_rows:
                 yield out
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -12,6 +12,7 @@ The fit uses at most ``fit_rows`` labelled rows; equal texts get equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm import text_stats
-from ordermill.llm.common import in_batches, prepare, texts_of
+from ordermill.llm.common import give_back, in_batches, prepare, texts_of
 
 BINS = 48
 GRID = 12
@@ -162,7 +163,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     model = fitted(docs, labels)
 
     @F.pandas_udf("double")  # only the text goes to Python; the rows stay where they are
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(_features([t if t is not None else "" for t in texts])))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.scores(_features([t if t is not None else "" for t in texts])))
+        give_back()
     prepare(docs.sparkSession)
     return docs.filter(score("text") >= threshold)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.common import (
-    in_batches, kept_lineage_cut, lists_of, mixed, prepare, utf8, with_rid, word_hashes, written)
+    in_batches, kept_lineage_cut, lists_of, map_arrow, mixed, utf8, with_rid, word_hashes, written)
 from ordermill.llm.components import components
 
 SHINGLE = 5
@@ -155,7 +155,6 @@ def _linked(rid: np.ndarray, n: np.ndarray, sign: np.ndarray) -> tuple[list[tupl
 
 def _buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Edges (leader false, a, b) and leaders (leader true, rid, n, sign, key) of the buckets in sorted partitions."""
-    prepare(rows.sparkSession)
     order = [*keys, "rid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +197,8 @@ def _buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
             done = emit(table, table.num_rows)
             if done is not None:
                 yield done
-    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*order) \
-               .mapInArrow(run, "leader boolean, a long, b long, key long, n long, sign binary")
+    return map_arrow(rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*order), run,
+                     "leader boolean, a long, b long, key long, n long, sign binary")
 
 
 _OUT = pa.schema([("leader", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sign", pa.binary())])

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermill.llm.common import Substrings, in_batches, mixed, prepare, utf8, window_hashes, with_rid, written
+from ordermill.llm.common import Substrings, in_batches, map_arrow, mixed, utf8, window_hashes, with_rid, written
 
 LENGTH = 100
 GRAM = 16
@@ -162,8 +162,6 @@ class Levels:
 
 def scanned(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows (rid, start, stop, key): bytes to remove (key null), or windows start..stop to compare within their key."""
-    prepare(rows.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, n = Levels(), [], 0
 
@@ -189,8 +187,8 @@ def scanned(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield take()
         for key, rid, span in index.several():
             yield out(rid, span >> 8, (span >> 8) + ((span & 255) >> 1), key)
-    return rows.repartition("key").sortWithinPartitions("rid", "span") \
-               .mapInArrow(run, "rid long, start long, stop long, key long")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("rid", "span"), run,
+                     "rid long, start long, stop long, key long")
 
 
 def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,9 +305,8 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
                     size = sum(b.nbytes for b in held)
         if held and sum(b.num_rows for b in held):
             yield emit(pa.Table.from_batches(held))
-    prepare(contexts.sparkSession)
-    return contexts.select("key", "rid", "start", "data").repartition("key").sortWithinPartitions("key", "rid", "start") \
-                   .mapInArrow(run, "rid long, start long, stop long")
+    sorted_ = contexts.select("key", "rid", "start", "data").repartition("key").sortWithinPartitions("key", "rid", "start")
+    return map_arrow(sorted_, run, "rid long, start long, stop long")
 
 
 def _spread(contexts: DataFrame, length: int) -> DataFrame:
@@ -351,8 +348,8 @@ def _spread(contexts: DataFrame, length: int) -> DataFrame:
             out = np.r_[open_[again], np.flatnonzero(stop > 0)]
             yield pa.RecordBatch.from_arrays([pa.array(rid[out]), pa.array(start[out]), pa.array(
                 np.where(stop[out] > 0, stop[out], start[out] + length))], ["rid", "start", "stop"])
-    return windows.repartition("one", "two").sortWithinPartitions("one", "two", "rid", "start") \
-                  .mapInArrow(run, "rid long, start long, stop long")
+    return map_arrow(windows.repartition("one", "two").sortWithinPartitions("one", "two", "rid", "start"), run,
+                     "rid long, start long, stop long")
 
 
 def _ends(marked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
