@@ -73,6 +73,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lower_part(total: int, rows: int) -> int:
+    """A bound below which about twice ``rows`` of ``total`` evenly spread 64-bit hashes lie.
+
+    A draw of the ``rows`` smallest filters by it first, so that tasks hand on few rows in all, however many tasks there are.
+    """
+    return (1 << 63) - 1 if total <= 2 * rows else (1 << 65) * rows // total - (1 << 63)
+
+
 def kept_lineage_cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, whose files go when the frame does (cleanCheckpoints)."""
     shared_dir(df.sparkSession)

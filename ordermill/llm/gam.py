@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm import text_stats
-from ordermill.llm.common import give_back, in_batches, prepare, texts_of
+from ordermill.llm.common import give_back, in_batches, lower_part, prepare, texts_of
 
 BINS = 48
 GRID = 12
@@ -121,9 +121,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, folds: int, h
 
     The drawn ids, at most ``rows`` of them, are broadcast; only their texts are read on.
     """
-    drawn = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(mark).cast("int").alias("__mark")) \
-                  .filter(F.col("__id").isNotNull() & F.col("__mark").isNotNull() & (fold_of(F.col("__id"), folds) != held)) \
-                  .groupBy("__id").agg(F.max("__mark").alias("__mark")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(mark).cast("int").alias("__mark")) \
+                  .filter(F.col("__id").isNotNull() & F.col("__mark").isNotNull() & (fold_of(F.col("__id"), folds) != held))
+    drawn = marks.filter(F.xxhash64("__id") <= lower_part(marks.count(), rows)) \
+                 .groupBy("__id").agg(F.max("__mark").alias("__mark")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
     return texts.join(F.broadcast(drawn), texts["__doc"] == drawn["__id"]) \
                 .select(F.col("__text").alias("text"), F.col("__mark").alias("mark"))

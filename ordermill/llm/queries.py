@@ -92,4 +92,13 @@ QUERIES = {f.__name__: f for f in (
     op1_weighted_mix, op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op6_suffix_levels,
     op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
     op10_lev_trie_toxicity)}
-ORACLES: dict[str, str] = {}
+#: Five hex digits of a SHA-1 are four letters of base 32.
+_FIVES = [f"cast('0x' || substr(h, {at}, 5) as integer)" for at in range(1, 41, 5)]
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({v} >> {s}) & 31) + 1, 1)" for v in _FIVES for s in (15, 10, 5, 0))
+ORACLES: dict[str, str] = {"op8_warc_revisits": f"""
+    with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+      d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {_BASE32} as payload_digest from p),
+      f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+    select page_id, payload_bytes, payload_digest,
+      case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+      case when page_id is distinct from first then first end as refers_to from f"""}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm import text_stats
-from ordermill.llm.common import in_batches, texts_of, written
+from ordermill.llm.common import in_batches, lower_part, texts_of, written
 
 TREES = 200
 TREE_ROWS = 256
@@ -123,7 +123,8 @@ def judged(docs: DataFrame, labels: DataFrame, seed: int = 11) -> DataFrame:
     """doc_id, base statistics, base_failed, the anomaly score and kept, for every row."""
     stats = written(statistics(docs), "rule-stats")
     order = F.xxhash64(F.lit(seed), *[F.col(n) for n in ("doc_id", *text_stats.NAMES)])
-    drawn = stats.select(*text_stats.NAMES).orderBy(order).limit(SAMPLE_ROWS).toPandas()
+    lower = stats.filter(order <= lower_part(stats.count(), SAMPLE_ROWS))
+    drawn = lower.orderBy(order).limit(SAMPLE_ROWS).select(*text_stats.NAMES).toPandas()
     forest = Forest(split_shares(drawn.to_numpy(np.int64).reshape(-1, len(text_stats.NAMES))), seed=seed)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:

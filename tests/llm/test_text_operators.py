@@ -14,7 +14,7 @@ import public_tokenizers
 from ordermill.llm import (
     gam, lev_trie, mixing, order_minhash, packing, queries, rank_merge, rules_forest, scaled_sketch, suffix_levels,
     text_stats, warc)
-from ordermill.llm.common import Substrings, utf8, window_hashes, word_hashes
+from ordermill.llm.common import Substrings, lower_part, utf8, window_hashes, word_hashes
 
 ODD = [None, "", " ", "\n\n", "a", "word", "a a a a a", "naïve café 한국어 🤖", "x" * 5000, "ab " * 4000, "<|endoftext|> a<|endoftext|>",
        "it's we'll\u00a0DON'T 12345", "\x1c\x1d split \x85 here", "İstanbul ΣΑΣ"]
@@ -184,6 +184,15 @@ def test_classifiers_on_held_out_rows(spark, docs, nothing):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in gam.scored(some, labels).collect() if r.predicted}
 
 
+def test_a_draw_filters_by_the_hash_first_and_stays_the_same(spark):
+    ids = spark.range(20_000)
+    rows = ids.orderBy(F.xxhash64("id")).limit(500).collect()
+    lower = ids.filter(F.xxhash64("id") <= lower_part(ids.count(), 500))
+    assert 800 < lower.count() < 1200 and lower.orderBy(F.xxhash64("id")).limit(500).collect() == rows
+    for total, n in ((0, 5), (10, 5), (11, 5), (10 ** 15, 1)):
+        assert -(1 << 63) <= lower_part(total, n) < 1 << 63
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -476,6 +485,18 @@ def test_registry():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+def test_archive_query_equals_its_sql(spark):
+    import duckdb
+    folder = "/root/testdata/sf0.001"
+    rows = queries.op8_warc_revisits(spark, folder)
+    with duckdb.connect() as db:
+        db.execute(f"create view pages as select * from '{folder}/pages.parquet'")
+        expected = db.execute(queries.ORACLES["op8_warc_revisits"]).fetchall()
+    order = lambda r: r[0]
+    assert sorted(map(tuple, rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()),
+                  key=order) == sorted(expected, key=order)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"
