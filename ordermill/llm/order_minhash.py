@@ -2,14 +2,20 @@
 
 A text's five-word shingles are labelled with their occurrence (first, second, ...). Each of ``BANDS`` hash functions
 picks the two smallest labelled shingles and keeps them in text order; texts that share such a pair are candidates,
-which favours few edits over the same words in another order. Within a bucket of candidates no all-pairs list is made:
-a maximum spanning tree under the sketches' estimate joins the members, and as components at any threshold are the
-same for that tree as for all pairs, only its edges (and each member's best other neighbour) go on. These are verified
-by banded alignment of the labelled shingles: the longest common subsequence M within the band that a pair of the
-wanted similarity cannot leave, and M / (n + m - M) >= 0.8. Verified edges make classes, as connected components.
+which favours few edits over the same words in another order. Pairs are verified by banded alignment of the labelled
+shingles: the longest common subsequence M within the band that a pair of the wanted similarity cannot leave, and
+M / (n + m - M) >= 0.8. Verified pairs make classes, as connected components.
 
-Exact copies are put together first, by digest, so that any number of them is one member; buckets of more than
-``BUCKET`` members are split by salt, each part is linked, and the leaders of its parts are linked in a second round.
+Within a bucket not all pairs are aligned: first a maximum spanning tree under the sketches' estimate and each member's
+two likest. As the estimate does not decide, rounds follow in which members of different classes are put against each
+other, a tree over the classes and each member's 8, 64, 512 and at last all others, until no plausible pair (estimate
+of ``PLAUSIBLE`` or more) between two classes of a bucket is untried. So the classes are those that all plausible pairs
+would make; where very many texts are nearly similar all of these pairs are aligned.
+
+Exact copies are put together first, by digest, so that any number of them is one member. Buckets of more than
+``BUCKET`` members are dealt into parts by size and salt; each part is a block, and so are any two parts whose sizes allow
+similar texts, so that no task holds more than two parts and no pair of a bucket goes unseen. The number of blocks
+grows with the square of such a bucket.
 
 Nulls count as empty texts, which are all copies of each other; texts of one to four words are a single shingle. Repeated
 rows are copies. A class is named after its smallest doc_id.
@@ -35,6 +41,10 @@ BANDS = 14
 MINIMA = 40
 BUCKET = 1500
 PLAUSIBLE = 0.5
+#: A text of less than this share of another's shingles cannot be similar to it; below SIMILAR for what rounding may do.
+SIZES = 0.75
+#: How many members of other classes each member is held against, round after round; no block has more than the last.
+FANS = (8, 64, 512, 1 << 40)
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
 _C = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE + 4, dtype=np.uint64) | np.uint64(1)
@@ -125,62 +135,70 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("rid", "text"), make, "rid long, n long, keys array<long>, sign binary")
 
 
-def _linked(rid: np.ndarray, n: np.ndarray, sign: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Spanning-tree edges of one bucket, and a leader for each part that the estimate holds together."""
+def _block_pairs(rid: np.ndarray, n: np.ndarray, sign: np.ndarray, label: np.ndarray, part: np.ndarray,
+                 cross: bool, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a, b) of one block to align next, and whether plausible ones between its classes are left.
+
+    They are the edges of a maximum spanning tree over the classes (``label``) of the members, and each member's ``fan``
+    likest members of other classes. With ``cross`` only members of different parts are compared.
+    """
     size = len(rid)
     inside = np.zeros(size, bool)
     best, parent = np.full(size, -1.0), np.full(size, -1)
-    second, other = np.full(size, -1.0), np.full(size, -1)
-    edges, leaders = [], []
+    codes, plausible = [], 0
     for _ in range(size):
-        open_best = np.where(inside, -2.0, best)
-        at = int(open_best.argmax())
-        if best[at] >= PLAUSIBLE:
-            edges.append((at, int(parent[at])))
-        else:
-            leaders.append(at)
+        at = int(np.where(inside, -2.0, best).argmax())
+        if PLAUSIBLE <= best[at] <= 1.0:
+            codes.append(np.array([min(at, parent[at]) * size + max(at, parent[at])]))
         inside[at] = True
-        like = (sign == sign[at]).mean(axis=1)
+        same = label == label[at]
         # sizes bound the share: what cannot reach the threshold is no neighbour
-        like = np.where(np.minimum(n, n[at]) < 0.75 * np.maximum(n, n[at]), 0.0, like)
-        closer = like > best
-        second, other = np.where(closer, best, np.where(like > second, like, second)), np.where(closer, parent, np.where(like > second, at, other))
-        best, parent = np.where(closer & ~inside, like, best), np.where(closer & ~inside, at, parent)
-    own = np.arange(size)
-    more = (other >= 0) & (other != own) & (second >= PLAUSIBLE)
-    edges += list(zip(own[more].tolist(), other[more].tolist()))
-    pairs = {(int(min(rid[a], rid[b])), int(max(rid[a], rid[b]))) for a, b in edges if rid[a] != rid[b]}
-    return sorted(pairs), leaders
-
-
-def _buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (leader false, a, b) and leaders (leader true, rid, n, sign, key) of the buckets in sorted partitions."""
-    order = [*keys, "rid"]
+        apart = ~same & (np.minimum(n, n[at]) >= SIZES * np.maximum(n, n[at]))
+        if cross:
+            apart &= part != part[at]
+        like = np.where(apart, (sign == sign[at]).mean(axis=1), 0.0)
+        near = np.flatnonzero(like >= PLAUSIBLE)
+        plausible += len(near)
+        if len(near) > fan:
+            near = near[np.lexsort((rid[near], -like[near]))[:fan]]
+        codes.append(np.minimum(near, at) * size + np.maximum(near, at))
+        joined = np.where(same, 2.0, like)  # members of one class are one node of the tree
+        closer = (joined > best) & ~inside
+        best, parent = np.where(closer, joined, best), np.where(closer, at, parent)
+    code = np.unique(np.concatenate(codes).astype(np.int64))
+    one, two = rid[code // size], rid[code % size]
+    return np.minimum(one, two), np.maximum(one, two), plausible // 2 > len(code)
+
+
+def _buckets(rows: DataFrame, fan: int) -> DataFrame:
+    """Pairs (open false, a, b) of all blocks (key, p, q), and the keys of blocks with more (open true, key)."""
+    keys = ["key", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the rows of the last bucket, which may go on
+        held: list[pa.RecordBatch] = []  # the rows of the last block, which may go on
 
-        def emit(table: pa.Table, upto: int) -> pa.RecordBatch | None:
+        def emit(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
             key = np.stack([table.column(k).to_numpy() for k in keys], axis=1)[:upto]
-            rid, n = table.column("rid").to_numpy()[:upto], table.column("n").to_numpy()[:upto]
+            rid, n, label, part = (table.column(c).to_numpy()[:upto] for c in ("rid", "n", "label", "part"))
             begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if upto else np.zeros(0, np.int64)
             end = np.r_[begin[1:], upto]
-            out = {c: [] for c in ("leader", "a", "b", "key", "n", "sign")}
             many = end - begin > 1
-            if keys[-1] == "salt":  # parts of split buckets need a leader even when alone
-                many |= table.column("parts").to_numpy()[begin] > 1
+            out, size = [], 0
             for s, e in zip(begin[many].tolist(), end[many].tolist()):
-                raw = table.column("sign").slice(s, e - s).to_pylist()
-                sign = np.frombuffer(b"".join(raw), np.uint8).reshape(e - s, MINIMA)
-                edges, leaders = _linked(rid[s:e], n[s:e], sign)
-                for a, b in edges:
-                    for c, v in zip(out, (False, a, b, 0, 0, b"")):
-                        out[c].append(v)
-                if keys[-1] == "salt" and table.column("parts")[s].as_py() > 1:
-                    for i in leaders:
-                        for c, v in zip(out, (True, int(rid[s + i]), 0, int(key[s, 0]), int(n[s + i]), raw[i])):
-                            out[c].append(v)
-            return pa.RecordBatch.from_pydict(out, schema=_OUT) if out["a"] else None
+                if (label[s:e] == label[s]).all():
+                    continue
+                sign = np.frombuffer(b"".join(table.column("sign").slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, MINIMA)
+                a, b, more = _block_pairs(rid[s:e], n[s:e], sign, label[s:e], part[s:e], key[s, 1] != key[s, 2], fan)
+                if more:
+                    a, b = np.r_[a, 0], np.r_[b, 0]
+                opened = np.zeros(len(a), bool)
+                opened[len(a) - more:] = True
+                out.append((opened, np.full(len(a), key[s, 0]), a, b))
+                size += len(a)
+                if size > 50_000:
+                    yield from sent(out)
+                    out, size = [], 0
+            yield from sent(out)
 
         for batch in batches:
             held.append(batch)
@@ -188,33 +206,78 @@ def _buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
             last = np.stack([table.column(k).to_numpy() for k in keys], axis=1)
             start = len(last) - int((last[::-1] == last[-1]).all(axis=1).argmin() or len(last)) if len(last) else 0
             if start:
-                done = emit(table, start)
-                if done is not None:
-                    yield done
+                yield from emit(table, start)
                 held = table.slice(start).combine_chunks().to_batches()
         if held:
             table = pa.Table.from_batches(held)
-            done = emit(table, table.num_rows)
-            if done is not None:
-                yield done
-    return map_arrow(rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*order), run,
-                     "leader boolean, a long, b long, key long, n long, sign binary")
-
-
-_OUT = pa.schema([("leader", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sign", pa.binary())])
-
-
-def candidates(signs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) worth aligning, from sketch rows."""
-    members = signs.select("rid", "n", "sign", F.explode("keys").alias("key"))
-    hot = members.groupBy("key").count().filter(F.col("count") > BUCKET).select(
-        "key", F.ceil(F.col("count") / BUCKET).cast("long").alias("parts"))
-    split = members.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) \
-                   .withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("parts")))
-    first = written(_buckets(split, ["key", "salt"]), "buckets")
-    again = _buckets(first.filter("leader").select("key", F.col("a").alias("rid"), "n", "sign"), ["key"])
-    pairs = first.filter("not leader").select("a", "b").unionByName(again.select("a", "b"))
-    return pairs.distinct()
+            yield from emit(table, table.num_rows)
+
+    def sent(out: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if out:
+            columns = [np.concatenate(c) for c in zip(*out)]
+            for at in range(0, len(columns[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in columns], ["open", "key", "a", "b"])
+    return map_arrow(rows.select(*keys, "rid", "n", "sign", "label", "part").repartition(*keys).sortWithinPartitions(*keys, "rid"),
+                     run, "open boolean, key long, a long, b long")
+
+
+def members_of(signs: DataFrame) -> DataFrame:
+    """One row for each bucket that a text is in; ``bin`` numbers ranges of size."""
+    return signs.select("rid", "n", "sign", F.explode("keys").alias("key"),
+                        F.floor(F.log("n") / float(-np.log(SIZES))).cast("long").alias("bin"))
+
+
+def hot_parts(members: DataFrame) -> DataFrame:
+    """(key, bin, parts): of buckets over BUCKET members, into how many parts each range of size goes."""
+    hot = members.groupBy("key").count().filter(F.col("count") > BUCKET).select("key")
+    return members.join(hot, "key", "left_semi").groupBy("key", "bin").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("long").alias("parts"))
+
+
+def own_blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members with their ``part``; block (p, q) is the part itself, or the whole bucket where that is not split."""
+    part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.shiftleft("bin", 24) + F.pmod(F.xxhash64("rid"), F.col("parts")))
+    return members.join(parts, ["key", "bin"], "left").withColumn("part", part.cast("long")).drop("parts") \
+                  .withColumn("p", F.col("part")).withColumn("q", F.col("part"))
+
+
+def all_blocks(own: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of split buckets once for each part they have to meet: any two texts of near size share a block."""
+    other = parts.select(F.col("key").alias("__key"), F.col("bin").alias("__bin"), "parts")
+    near = parts.select("key", "bin").join(other, (F.col("key") == F.col("__key")) & (F.abs(F.col("bin") - F.col("__bin")) <= 1)) \
+                .select("key", "bin", F.col("__bin"), F.col("parts").alias("__parts"))
+    met = F.shiftleft("__bin", 24) + F.col("__salt")
+    split = own.filter("part >= 0").join(near, ["key", "bin"]) \
+               .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))) \
+               .withColumn("p", F.least("part", met)).withColumn("q", F.greatest("part", met))
+    return own.filter("part < 0").unionByName(split.select(*own.columns))
+
+
+def links(signs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Verified pairs (a, b, similarity) that join the same texts as all plausible pairs of all buckets would."""
+    members = members_of(signs)
+    parts = written(hot_parts(members), "hot-parts")
+    own = own_blocks(members, parts)
+    found = written(_buckets(own.withColumn("label", F.col("rid")), 2), "buckets")
+    tried = found.filter("not open").select("a", "b").distinct()
+    edges = written(verified(tried, docs, similar), "links")
+    crowded = parts.limit(1).count() > 0
+    left = found.filter("open").select("key").unionByName(parts.select("key")).distinct()
+    fresh, labels = True, None
+    for fan in (0, *FANS) if crowded else FANS:
+        left = written(left, "open-buckets")
+        if not left.limit(1).count():
+            break
+        if fresh:
+            labels = components(edges).select(F.col("node").alias("rid"), "label")
+        rows = own.join(left, "key", "left_semi")
+        rows = (all_blocks(rows, parts) if crowded else rows).join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        found = written(_buckets(rows, fan), "buckets")
+        asked = written(found.filter("not open").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "asked")
+        new = written(verified(asked, docs, similar), "links")
+        fresh = new.limit(1).count() > 0
+        edges, tried = edges.unionByName(new), tried.unionByName(asked)
+        left = found.filter("open").select("key").distinct()
+    return edges
 
 
 def aligned(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
@@ -264,8 +327,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> Dat
 def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) -> DataFrame:
     """(rid, doc_id, class_rid, class_id, n_links) for every row of rows (rid, doc_id, text).
 
-    class_rid is the smallest rid of the class, class_id that row's doc_id; n_links counts the verified links of the
-    row's text to other texts. ``repeats``: a rid may stand for several equal rows.
+    class_rid is the smallest rid of the class, class_id that row's doc_id; n_links counts the links of the
+    row's text to other texts that the search verified; texts already in one class are not aligned any more. ``repeats``: a rid may stand for several equal rows.
     """
     rows = docs.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digests = rows.select("rid", "doc_id", F.md5("text").alias("digest"))
@@ -274,10 +337,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) ->
     reps = members.filter("rid = rep").select("rid").distinct()
     once = rows.dropDuplicates(["rid"]) if repeats else rows
     signs = written(sketch_rows(once).join(reps, "rid", "left_semi"), "sketches")
-    edges = written(verified(candidates(signs), once, similar), "links")
-    links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    edges = links(signs, once, similar)
+    counts = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     found = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("class_rid"))
-    out = members.join(found, "rep", "left").join(links, "rep", "left").select(
+    out = members.join(found, "rep", "left").join(counts, "rep", "left").select(
         "rid", "doc_id", F.coalesce("class_rid", "rep").alias("class_rid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = kept_lineage_cut(out)
     names = out.filter("rid = class_rid").groupBy("class_rid").agg(F.min("doc_id").alias("class_id"))

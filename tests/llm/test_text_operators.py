@@ -353,6 +353,36 @@ def test_crowded_buckets_are_split_and_linked(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
+def _true_classes(rows):
+    """The smallest id of each text's component over all pairs of aligned similarity 0.8 or more."""
+    found = []
+    for _, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        found.append(order_minhash.labelled_shingles(data, np.array([0, len(data)]))[0])
+    label = [i for i, _ in rows]
+    for i, x in enumerate(found):
+        for j in range(i):
+            if order_minhash.aligned(found[j], x) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    return {i: v for (i, _), v in zip(rows, label)}
+
+
+def test_members_whose_likest_fail_go_on(spark):
+    rng = random.Random(21)
+    w = prose(rng, 400).split()
+    v = list(w)
+    for k in range(20, 400, 50):
+        v[k] = f"edit{k}"
+    rows = []  # rotations estimate as alike but do not align; the same rotation of an edited text does
+    for turn in range(0, 400, 50):
+        for x in (w, v):
+            rows.append((len(rows), " ".join(x[turn:] + x[:turn])))
+    got = order_minhash.document_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == _true_classes(rows)
+    assert len({r.class_id for r in got}) == 8
+
+
 def test_alignment_minds_the_order():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1.0
