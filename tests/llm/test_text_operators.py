@@ -383,6 +383,23 @@ def test_members_whose_likest_fail_go_on(spark):
     assert len({r.class_id for r in got}) == 8
 
 
+def test_blocks_of_a_hot_bucket_are_bounded_and_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BUCKET", 20)
+    rng = random.Random(23)
+    size = {i: rng.choice((100, 101, 133, 134, 5000)) for i in range(300)}
+    signs = spark.createDataFrame([(i, n, [7, 1000 + i], bytes(40)) for i, n in size.items()], "rid long, n long, keys array<long>, sign binary")
+    members = order_minhash.members_of(signs)
+    parts = order_minhash.hot_parts(members)
+    rows = order_minhash.all_blocks(order_minhash.own_blocks(members, parts), parts).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r.key, r.p, r.q), []).append(r.rid)
+    assert max(map(len, blocks.values())) <= 4 * 20 and all(len(b) == len(set(b)) for b in blocks.values())
+    met = {(a, b) for block in blocks.values() for a in block for b in block}
+    assert all((a, b) in met for a in size for b in size if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
+    assert {(1000 + i, -1, -1) for i in size} < set(blocks)
+
+
 def test_alignment_minds_the_order():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1.0
