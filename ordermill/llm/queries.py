@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.llm import (
-    gam, lev_trie, mixing, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, suffix_levels, warc)
+    byte_bpe, gam, lev_trie, mixing, order_minhash, packing, rank_merge, rules_forest, scaled_sketch, suffix_levels,
+    turn_repair, warc, zone_negatives)
 from ordermill.llm.common import table
 
 
@@ -88,10 +89,30 @@ def op10_lev_trie_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return lev_trie.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation, after planted damage."""
+    return turn_repair.repairs(turn_repair.damaged(table(spark, folder, "conversations")), "alive")
+
+
+def op12_zone_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, some labels raised by one."""
+    rows = table(spark, folder, "embeddings")
+    return zone_negatives.hard_negatives(rows.withColumn("label", zone_negatives.relabelled(rows)), 50)
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and their bytes put together again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.decoded(byte_bpe.encoded(table(spark, folder, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weighted_mix, op2_rules_forest, op3_best_fit_packing, op4_order_minhash, op5_additive_quality, op6_suffix_levels,
     op7_token_counts, op8_warc_revisits, op9_scaled_sketch,
-    op10_lev_trie_toxicity)}
+    op10_lev_trie_toxicity, op11_turn_repair, op12_zone_negatives, op13_byte_bpe)}
 #: Five hex digits of a SHA-1 are four letters of base 32.
 _FIVES = [f"cast('0x' || substr(h, {at}, 5) as integer)" for at in range(1, 41, 5)]
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({v} >> {s}) & 31) + 1, 1)" for v in _FIVES for s in (15, 10, 5, 0))
@@ -101,4 +122,18 @@ ORACLES: dict[str, str] = {"op8_warc_revisits": f"""
       f as (select *, min(page_id) over (partition by payload_digest) as first from d)
     select page_id, payload_bytes, payload_digest,
       case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
-      case when page_id is distinct from first then first end as refers_to from f"""}
+      case when page_id is distinct from first then first end as refers_to from f""",
+    "op12_zone_negatives": """
+    with v as (select row_number() over () as place, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+      s as (select a.place as a_place, a.vec_id as anchor_id, b.place, b.vec_id, a.label = b.label as same,
+        cast(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) as bigint) as score
+        from v a join v b on a.vec_id % 50 = 0 and a.place <> b.place and len(a.x) = len(b.x)),
+      p as (select a_place, anchor_id, place as p_place, vec_id as positive_id, score as positive_score from s where same
+        qualify row_number() over (partition by a_place order by score desc, vec_id nulls last, place) <= 5),
+      n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (
+          partition by p.a_place, p.p_place order by s.score desc, s.vec_id nulls last, s.place) as rank
+        from p join s on s.a_place = p.a_place and not s.same and 50 * p.positive_score <= 100 * s.score
+          and 100 * s.score <= 95 * p.positive_score)
+    select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3"""}
