@@ -87,6 +87,11 @@ def kept_lineage_cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): whole rows as one struct, so that working columns cannot meet names of the user's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def with_rid(docs: DataFrame, rid: str = "rid") -> tuple[DataFrame, bool]:
     """Adds a long that orders the rows by doc_id, nulls first; and tells whether equal rows may share one.
 

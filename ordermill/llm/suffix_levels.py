@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermill.llm.common import Substrings, in_batches, map_arrow, mixed, utf8, window_hashes, with_rid, written
+from ordermill.llm.common import Substrings, in_batches, map_arrow, mixed, packed_rows, utf8, window_hashes, with_rid, written
 
 LENGTH = 100
 GRAM = 16
@@ -404,13 +404,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character whose bytes were removed in part is dropped. A null text stays null; a text of which nothing is left is
     empty.
     """
-    rows, repeats = with_rid(docs)
+    rows, repeats = with_rid(packed_rows(docs))
     once = rows.select("rid", "text")
     left = removed(once.dropDuplicates(["rid"]) if repeats else once, True, length).select("rid", "data")
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [zstandard.decompress(d).decode("utf-8", "ignore") for d in batch.column("data").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string())], ["rid", "__left"])
-    texts = in_batches(left, decode, "rid long, __left string").withColumnRenamed("rid", "__rid")
-    joined = rows.withColumn("__null", F.col("text").isNull()).drop("text").join(texts, F.col("rid") == F.col("__rid"))
-    return joined.withColumn("text", F.when(~F.col("__null"), F.col("__left"))).select(*docs.columns)
+        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string())], ["rid", "left"])
+    texts = in_batches(left, decode, "rid long, left string")
+    kept = rows.select("rid", F.col("row").dropFields("text").alias("others") if len(docs.columns) > 2 else F.lit(None).alias("others"),
+                       "doc_id", F.col("text").isNull().alias("none")).join(texts, "rid")
+    columns = [F.when(~F.col("none"), F.col("left")).alias(c) if c == "text" else F.col("doc_id") if c == "doc_id" else
+               F.col("others").getField(c).alias(c) for c in docs.columns]
+    return kept.select(*columns)
