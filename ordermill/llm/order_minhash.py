@@ -2,23 +2,27 @@
 
 A text's five-word shingles are labelled with their occurrence (first, second, ...). Each of ``BANDS`` hash functions
 picks the two smallest labelled shingles and keeps them in text order; texts that share such a pair are candidates,
-which favours few edits over the same words in another order. Pairs are verified by banded alignment of the labelled
-shingles: the longest common subsequence M within the band that a pair of the wanted similarity cannot leave, and
-M / (n + m - M) >= 0.8. Verified pairs make classes, as connected components.
-
-Within a bucket not all pairs are aligned: first a maximum spanning tree under the sketches' estimate and each member's
-two likest. As the estimate does not decide, rounds follow in which members of different classes are put against each
-other, a tree over the classes and each member's 8, 64, 512 and at last all others, until no plausible pair (estimate
-of ``PLAUSIBLE`` or more) between two classes of a bucket is untried. So the classes are those that all plausible pairs
-would make; where very many texts are nearly similar all of these pairs are aligned.
-
-Exact copies are put together first, by digest, so that any number of them is one member. Buckets of more than
-``BUCKET`` members are dealt into parts by size and salt; each part is a block, and so are any two parts whose sizes allow
-similar texts, so that no task holds more than two parts and no pair of a bucket goes unseen. The number of blocks
-grows with the square of such a bucket.
-
-Nulls count as empty texts, which are all copies of each other; texts of one to four words are a single shingle. Repeated
-rows are copies. A class is named after its smallest doc_id.
+which favours few edits over the same words in another order. Two texts are near when the banded alignment of their
+labelled shingles reaches the threshold: the longest common subsequence M within the band that a pair of the wanted
+similarity cannot leave, and M / (n + m - M) >= 0.8. Near pairs make classes, as connected components.
+
+Pairs are never written out. First the members of a bucket are joined to each other where their sketches estimate
+``PLAUSIBLE`` or more, by a search that returns one edge per member; the components of these edges are families, and no
+plausible pair lies between two families. Buckets of over ``BUCKET`` members are dealt again by pairs of ordered minima
+of ``VARIANTS`` further hash functions, so unlike members part while near ones meet in one of them; what is still crowded
+then is taken as one family as it is. Then each family's texts come together once, in one block: an index of shingles
+gives the exact overlap, which bounds the alignment, and pairs of different classes whose overlap reaches the threshold
+are aligned until one class is left or no such pair is. A block returns one link per merge.
+
+Families of over ``BUCKET`` members or ``SHINGLES`` shingles are dealt into parts by hash and each part is a block. Then
+the members go into parts by the classes found, and parts of different classes meet two by two; parts of one and the same
+class do not, so a family that is one large class costs little more than its size. Between many classes of one such family
+the number of blocks grows with the square of its parts; nothing is left out.
+
+Exact copies are put together first, by digest, so that any number of them is one member. Nulls count as empty texts,
+which are all copies of each other; texts of one to four words are a single shingle. Repeated rows are copies, ties go to
+the smaller row number. A class is named after its smallest doc_id. Extra columns stay as they are, whatever their names;
+an empty table gives no rows. A very long text needs memory in proportion to itself.
 """
 
 from __future__ import annotations
@@ -28,23 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.common import (
-    in_batches, kept_lineage_cut, lists_of, map_arrow, mixed, utf8, with_rid, word_hashes, written)
+    in_batches, kept_lineage_cut, lists_of, map_arrow, mixed, packed_rows, utf8, with_rid, word_hashes, written)
 from ordermill.llm.components import components
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 14
-MINIMA = 40
+MINIMA = 64
 BUCKET = 1500
-PLAUSIBLE = 0.5
+VARIANTS = 4
+#: Shingles of one part of a large family.
+SHINGLES = 400_000
+#: Four deviations of the estimate below SIMILAR.
+PLAUSIBLE = 0.6
 #: A text of less than this share of another's shingles cannot be similar to it; below SIMILAR for what rounding may do.
 SIZES = 0.75
-#: How many members of other classes each member is held against, round after round; no block has more than the last.
-FANS = (8, 64, 512, 1 << 40)
 #: Bytes that are hashed at once.
 CHUNK = 1 << 20
 _C = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE + 4, dtype=np.uint64) | np.uint64(1)
@@ -135,150 +141,96 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("rid", "text"), make, "rid long, n long, keys array<long>, sign binary")
 
 
-def _block_pairs(rid: np.ndarray, n: np.ndarray, sign: np.ndarray, label: np.ndarray, part: np.ndarray,
-                 cross: bool, fan: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (a, b) of one block to align next, and whether plausible ones between its classes are left.
-
-    They are the edges of a maximum spanning tree over the classes (``label``) of the members, and each member's ``fan``
-    likest members of other classes. With ``cross`` only members of different parts are compared.
-    """
-    size = len(rid)
-    inside = np.zeros(size, bool)
-    best, parent = np.full(size, -1.0), np.full(size, -1)
-    codes, plausible = [], 0
-    for _ in range(size):
-        at = int(np.where(inside, -2.0, best).argmax())
-        if PLAUSIBLE <= best[at] <= 1.0:
-            codes.append(np.array([min(at, parent[at]) * size + max(at, parent[at])]))
-        inside[at] = True
-        same = label == label[at]
-        # sizes bound the share: what cannot reach the threshold is no neighbour
-        apart = ~same & (np.minimum(n, n[at]) >= SIZES * np.maximum(n, n[at]))
-        if cross:
-            apart &= part != part[at]
-        like = np.where(apart, (sign == sign[at]).mean(axis=1), 0.0)
-        near = np.flatnonzero(like >= PLAUSIBLE)
-        plausible += len(near)
-        if len(near) > fan:
-            near = near[np.lexsort((rid[near], -like[near]))[:fan]]
-        codes.append(np.minimum(near, at) * size + np.maximum(near, at))
-        joined = np.where(same, 2.0, like)  # members of one class are one node of the tree
-        closer = (joined > best) & ~inside
-        best, parent = np.where(closer, joined, best), np.where(closer, at, parent)
-    code = np.unique(np.concatenate(codes).astype(np.int64))
-    one, two = rid[code // size], rid[code % size]
-    return np.minimum(one, two), np.maximum(one, two), plausible // 2 > len(code)
-
-
-def _buckets(rows: DataFrame, fan: int) -> DataFrame:
-    """Pairs (open false, a, b) of all blocks (key, p, q), and the keys of blocks with more (open true, key)."""
-    keys = ["key", "p", "q"]
-
+# ---- families --------------------------------------------------------------------------------
+
+def _joined(n: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) of a forest over members that joins all whose estimate is plausible, directly or through others."""
+    left = np.arange(len(n))
+    one, two = [], []
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            # sizes bound the share: what cannot reach the threshold is no neighbour
+            near = np.minimum(n[left], n[at]) >= SIZES * np.maximum(n[left], n[at])
+            near[near] = (sign[left[near]] == sign[at]).mean(axis=1) >= PLAUSIBLE
+            found = left[near]
+            one.append(np.full(len(found), at))
+            two.append(found)
+            todo += found.tolist()
+            left = left[~near]
+    if not one:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, which lie one after another, as one table."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
+        for s, e in zip(starts, [*starts[1:], len(key)]):
+            if last is not None and tuple(key[s].tolist()) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(key[s].tolist())
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sent(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) in batches of some thousands."""
+    held, size = [], 0
+    for a, b in pairs:
+        held.append((a, b))
+        size += len(a)
+        if size >= 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], ["a", "b"])
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], ["a", "b"])
+
+
+def bucket_edges(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the plausible members of each bucket, for rows (key, rid, n, sign)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the rows of the last block, which may go on
-
-        def emit(table: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
-            key = np.stack([table.column(k).to_numpy() for k in keys], axis=1)[:upto]
-            rid, n, label, part = (table.column(c).to_numpy()[:upto] for c in ("rid", "n", "label", "part"))
-            begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if upto else np.zeros(0, np.int64)
-            end = np.r_[begin[1:], upto]
-            many = end - begin > 1
-            out, size = [], 0
-            for s, e in zip(begin[many].tolist(), end[many].tolist()):
-                if (label[s:e] == label[s]).all():
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for table in _runs(batches, ["key"]):
+                if table.num_rows < 2:
                     continue
-                sign = np.frombuffer(b"".join(table.column("sign").slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, MINIMA)
-                a, b, more = _block_pairs(rid[s:e], n[s:e], sign, label[s:e], part[s:e], key[s, 1] != key[s, 2], fan)
-                if more:
-                    a, b = np.r_[a, 0], np.r_[b, 0]
-                opened = np.zeros(len(a), bool)
-                opened[len(a) - more:] = True
-                out.append((opened, np.full(len(a), key[s, 0]), a, b))
-                size += len(a)
-                if size > 50_000:
-                    yield from sent(out)
-                    out, size = [], 0
-            yield from sent(out)
-
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            last = np.stack([table.column(k).to_numpy() for k in keys], axis=1)
-            start = len(last) - int((last[::-1] == last[-1]).all(axis=1).argmin() or len(last)) if len(last) else 0
-            if start:
-                yield from emit(table, start)
-                held = table.slice(start).combine_chunks().to_batches()
-        if held:
-            table = pa.Table.from_batches(held)
-            yield from emit(table, table.num_rows)
-
-    def sent(out: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        if out:
-            columns = [np.concatenate(c) for c in zip(*out)]
-            for at in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in columns], ["open", "key", "a", "b"])
-    return map_arrow(rows.select(*keys, "rid", "n", "sign", "label", "part").repartition(*keys).sortWithinPartitions(*keys, "rid"),
-                     run, "open boolean, key long, a long, b long")
-
-
-def members_of(signs: DataFrame) -> DataFrame:
-    """One row for each bucket that a text is in; ``bin`` numbers ranges of size."""
-    return signs.select("rid", "n", "sign", F.explode("keys").alias("key"),
-                        F.floor(F.log("n") / float(-np.log(SIZES))).cast("long").alias("bin"))
-
-
-def hot_parts(members: DataFrame) -> DataFrame:
-    """(key, bin, parts): of buckets over BUCKET members, into how many parts each range of size goes."""
-    hot = members.groupBy("key").count().filter(F.col("count") > BUCKET).select("key")
-    return members.join(hot, "key", "left_semi").groupBy("key", "bin").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("long").alias("parts"))
-
-
-def own_blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members with their ``part``; block (p, q) is the part itself, or the whole bucket where that is not split."""
-    part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.shiftleft("bin", 24) + F.pmod(F.xxhash64("rid"), F.col("parts")))
-    return members.join(parts, ["key", "bin"], "left").withColumn("part", part.cast("long")).drop("parts") \
-                  .withColumn("p", F.col("part")).withColumn("q", F.col("part"))
-
-
-def all_blocks(own: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of split buckets once for each part they have to meet: any two texts of near size share a block."""
-    other = parts.select(F.col("key").alias("__key"), F.col("bin").alias("__bin"), "parts")
-    near = parts.select("key", "bin").join(other, (F.col("key") == F.col("__key")) & (F.abs(F.col("bin") - F.col("__bin")) <= 1)) \
-                .select("key", "bin", F.col("__bin"), F.col("parts").alias("__parts"))
-    met = F.shiftleft("__bin", 24) + F.col("__salt")
-    split = own.filter("part >= 0").join(near, ["key", "bin"]) \
-               .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))) \
-               .withColumn("p", F.least("part", met)).withColumn("q", F.greatest("part", met))
-    return own.filter("part < 0").unionByName(split.select(*own.columns))
-
-
-def links(signs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Verified pairs (a, b, similarity) that join the same texts as all plausible pairs of all buckets would."""
-    members = members_of(signs)
-    parts = written(hot_parts(members), "hot-parts")
-    own = own_blocks(members, parts)
-    found = written(_buckets(own.withColumn("label", F.col("rid")), 2), "buckets")
-    tried = found.filter("not open").select("a", "b").distinct()
-    edges = written(verified(tried, docs, similar), "links")
-    crowded = parts.limit(1).count() > 0
-    left = found.filter("open").select("key").unionByName(parts.select("key")).distinct()
-    fresh, labels = True, None
-    for fan in (0, *FANS) if crowded else FANS:
-        left = written(left, "open-buckets")
-        if not left.limit(1).count():
-            break
-        if fresh:
-            labels = components(edges).select(F.col("node").alias("rid"), "label")
-        rows = own.join(left, "key", "left_semi")
-        rows = (all_blocks(rows, parts) if crowded else rows).join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        found = written(_buckets(rows, fan), "buckets")
-        asked = written(found.filter("not open").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "asked")
-        new = written(verified(asked, docs, similar), "links")
-        fresh = new.limit(1).count() > 0
-        edges, tried = edges.unionByName(new), tried.unionByName(asked)
-        left = found.filter("open").select("key").distinct()
-    return edges
-
+                rid = table.column("rid").to_numpy()
+                sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(len(rid), -1)
+                one, two = _joined(table.column("n").to_numpy(), sign)
+                if len(one):
+                    yield rid[one], rid[two]
+        yield from _sent(pairs())
+    dealt = members.select("key", "rid", "n", "sign").repartition("key").sortWithinPartitions("key", "rid")
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def family_edges(signs: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are the families of rows (rid, n, keys, sign)."""
+    at = signs.select("rid", "n", "sign", "keys", F.posexplode("keys").alias("band", "key"))
+    hot = written(at.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"), "hot-buckets")
+    if not hot.limit(1).count():
+        return bucket_edges(at)
+    further = F.transform(F.sequence(F.lit(1), F.lit(VARIANTS)), lambda k: F.xxhash64(
+        "key", F.element_at("keys", ((F.col("band") + k) % F.size("keys") + 1).cast("int")), k))
+    again = at.join(hot, "key", "left_semi").select("rid", "n", "sign", F.explode(further).alias("key"))
+    crowded = written(again.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("rid").alias("first"))
+                      .filter(F.col("count") > BUCKET).select("key", "first"), "crowded-buckets")
+    whole = again.select("rid", "key").join(crowded, "key").filter("rid != first").select(F.col("first").alias("a"), F.col("rid").alias("b"))
+    calm = at.join(hot, "key", "left_anti").select("key", "rid", "n", "sign") \
+             .unionByName(again.join(crowded, "key", "left_anti").select("key", "rid", "n", "sign"))
+    return bucket_edges(calm).unionByName(whole)
+
+
+# ---- classes ---------------------------------------------------------------------------------
 
 def aligned(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
     """The share of labelled shingles that two texts have in common in the same order, within the band."""
@@ -304,31 +256,155 @@ def aligned(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
     return common / (n + m - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b, similarity) whose texts align to at least ``similar``."""
-    texts = docs.select("rid", "text")
-    left = pairs.join(texts.withColumnRenamed("rid", "a").withColumnRenamed("text", "text_a"), "a")
-    both = left.join(texts.withColumnRenamed("rid", "b").withColumnRenamed("text", "text_b"), "b")
+class _Classes:
+    """Classes of a block's members, merged as links are found."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[of].tolist()
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def merge(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+
+    def all(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.up))])
+
+
+def block_links(shingles: list[np.ndarray], labels: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """Near pairs that make one class of all members that near pairs, or equal labels, join; one for each merge."""
+    m = len(shingles)
+    classes, links = _Classes(labels), []
+    size = np.fromiter(map(len, shingles), np.int64, m)
+    owner = np.repeat(np.arange(m), size)
+    _, code = np.unique(np.concatenate(shingles) if m else np.zeros(0, np.uint64), return_inverse=True)
+    at = np.r_[0, np.cumsum(size)]
+    tried: set[tuple[int, int]] = set()
+
+    def meet(i: int, j: int) -> None:
+        tried.add((min(i, j), max(i, j)))
+        if aligned(shingles[i], shingles[j]) >= similar:
+            links.append((i, j))
+            classes.merge(i, j)
+
+    # each member meets the one that owns most of its shingles, and owns those that nobody does
+    owned = np.full(int(code.max(initial=-1)) + 1, -1)
+    for i in range(m):
+        own = code[at[i]:at[i + 1]]
+        have = owned[own]
+        have = have[have >= 0]
+        if len(have):
+            j = int(np.bincount(have).argmax())
+            if classes.root(i) != classes.root(j) and min(size[i], size[j]) >= similar * max(size[i], size[j]):
+                common = len(np.intersect1d(own, code[at[j]:at[j + 1]]))
+                if common >= similar * (size[i] + size[j] - common):
+                    meet(i, j)
+        owned[own[owned[own] < 0]] = i
+    # then all pairs of different classes: one of the two is not in the largest class
+    now = classes.all()
+    largest = np.bincount(now).argmax() if m else 0
+    rest = np.flatnonzero(now != largest)
+    if not len(rest):
+        return links
+    order = np.argsort(code, kind="stable")
+    holders = owner[order]
+    begin = np.searchsorted(code[order], np.arange(len(owned) + 1))
+    for i in rest.tolist():
+        own = code[at[i]:at[i + 1]]
+        if not len(own):
+            continue
+        count = begin[own + 1] - begin[own]
+        index = np.repeat(begin[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        common = np.bincount(holders[index], minlength=m)
+        share = common / (size + size[i] - common)
+        share[i] = 0
+        near = np.flatnonzero(share >= similar)
+        for j in near[np.argsort(-share[near], kind="stable")].tolist():
+            if classes.root(i) != classes.root(j) and (min(i, j), max(i, j)) not in tried:
+                meet(i, j)
+    return links
+
+
+def block_edges(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Near pairs (a, b) that make the classes of each block, for rows (family, p, q, rid, label, text)."""
+    keys = ["family", "p", "q"]
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sides = []
-        for name in ("text_a", "text_b"):
-            rows = []
-            for _, _, part, offsets in chunks(*utf8(batch.column(name))):
-                hashes, n = labelled_shingles(part, offsets)
-                rows += np.split(hashes, np.cumsum(n)[:-1])
-            sides.append(rows)
-        like = np.array([aligned(x, y) for x, y in zip(*sides)])
-        keep = pa.array(like >= similar)
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like)], ["a", "b", "similarity"]).filter(keep)
-    return in_batches(both.select("a", "b", "text_a", "text_b"), check, "a long, b long, similarity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for table in _runs(batches, keys):
+                rid, label = table.column("rid").to_numpy(), table.column("label").to_numpy()
+                if len(rid) < 2 or (label == label[0]).all():
+                    continue
+                shingles = []
+                for column in table.column("text").chunks:
+                    for _, _, part, offsets in chunks(*utf8(column)):
+                        hashes, n = labelled_shingles(part, offsets)
+                        shingles += np.split(hashes, np.cumsum(n)[:-1])
+                found = block_links(shingles, label, similar)
+                if found:
+                    one, two = np.array(found).T
+                    yield rid[one], rid[two]
+        yield from _sent(pairs())
+    dealt = rows.select(*keys, "rid", "label", "text").repartition(*keys).sortWithinPartitions(*keys, "rid")
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def met_blocks(members: DataFrame) -> DataFrame:
+    """Blocks (family, p, q, rid, label) of large families, for rows (family, rid, n, label): all members of two classes meet.
+
+    Classes that fill a part have parts of their own; the others share parts, each class in one.
+    """
+    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")) \
+        .withColumn("own", _parts("count", "shingles"))
+    shared = sizes.filter("own = 1").groupBy("family").agg(_parts(F.sum("count"), F.sum("shingles")).alias("all"))
+    named = sizes.join(shared, "family", "left").select("family", "label", "own", "all")
+    pure = F.col("own") > 1
+    part = F.when(pure, F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("rid"), F.col("own"))), F.lit(1 << 40))) \
+        .otherwise(F.pmod(F.xxhash64("label"), F.col("all")) - (1 << 20))
+    placed = written(members.join(named, ["family", "label"]).select(
+        "family", "rid", "label", part.cast("long").alias("part"), F.when(pure, F.col("label")).alias("only")), "family-parts")
+    parts = placed.groupBy("family", "part").agg(F.when(F.min("only") == F.max("only"), F.max("only")).alias("only"))
+    other = parts.select("family", F.col("part").alias("other"), F.col("only").alias("other_only"))
+    meets = parts.join(other, "family").filter(
+        F.when(F.col("part") == F.col("other"), F.col("only").isNull())
+        .otherwise(~F.coalesce(F.col("only") == F.col("other_only"), F.lit(False)))) \
+        .select("family", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    return placed.join(meets, ["family", "part"]).select("family", "p", "q", "rid", "label")
+
+
+def _parts(count: str | Column, shingles: str | Column) -> Column:
+    count, shingles = (F.col(c) if isinstance(c, str) else c for c in (count, shingles))
+    return F.greatest(F.ceil(count / BUCKET), F.ceil(shingles / SHINGLES), F.lit(1)).cast("long")
+
+
+def links(signs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Near pairs (a, b) whose components are the classes, for sketches and rows (rid, text)."""
+    families = components(written(family_edges(signs).distinct(), "family-edges")) \
+        .select(F.col("node").alias("rid"), F.col("label").alias("family"))
+    members = families.join(signs.select("rid", "n"), "rid")
+    sizes = members.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    members = written(members.join(sizes, "family"), "families")
+    texts = docs.select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    first = members.withColumn("p", F.pmod(F.xxhash64("rid"), F.col("parts"))).select(
+        "family", "p", F.col("p").alias("q"), "rid", F.col("rid").alias("label"))
+    edges = written(block_edges(first.join(texts, "rid"), similar), "links")
+    large = members.filter("parts > 1")
+    if not large.limit(1).count():
+        return edges
+    found = components(edges).select(F.col("node").alias("rid"), "label")
+    blocks = met_blocks(large.join(found, "rid", "left").select("family", "rid", "n", F.coalesce("label", "rid").alias("label")))
+    return edges.unionByName(written(block_edges(blocks.join(texts, "rid"), similar), "links"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) -> DataFrame:
-    """(rid, doc_id, class_rid, class_id, n_links) for every row of rows (rid, doc_id, text).
+    """(rid, doc_id, class_rid, class_id) for every row of rows (rid, doc_id, text).
 
-    class_rid is the smallest rid of the class, class_id that row's doc_id; n_links counts the links of the
-    row's text to other texts that the search verified; texts already in one class are not aligned any more. ``repeats``: a rid may stand for several equal rows.
+    class_rid is the smallest rid of the class, class_id that row's doc_id. ``repeats``: a rid may stand for several equal rows.
     """
     rows = docs.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digests = rows.select("rid", "doc_id", F.md5("text").alias("digest"))
@@ -337,14 +413,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) ->
     reps = members.filter("rid = rep").select("rid").distinct()
     once = rows.dropDuplicates(["rid"]) if repeats else rows
     signs = written(sketch_rows(once).join(reps, "rid", "left_semi"), "sketches")
-    edges = links(signs, once, similar)
-    counts = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("class_rid"))
-    out = members.join(found, "rep", "left").join(counts, "rep", "left").select(
-        "rid", "doc_id", F.coalesce("class_rid", "rep").alias("class_rid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = kept_lineage_cut(out)
+    found = components(links(signs, once, similar)).select(F.col("node").alias("rep"), F.col("label").alias("class_rid"))
+    out = kept_lineage_cut(members.join(found, "rep", "left").select("rid", "doc_id", F.coalesce("class_rid", "rep").alias("class_rid")))
     names = out.filter("rid = class_rid").groupBy("class_rid").agg(F.min("doc_id").alias("class_id"))
-    return out.join(names, "class_rid").select("rid", "doc_id", "class_rid", "class_id", "n_links")
+    return out.join(names, "class_rid").select("rid", "doc_id", "class_rid", "class_id")
 
 
 def document_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -354,7 +426,7 @@ def document_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that are the smallest of their class; of equal rows one."""
-    rows, repeats = with_rid(docs)
+    rows, repeats = with_rid(packed_rows(docs))
     found = classes(rows.select("rid", "doc_id", "text"), similar, repeats)
-    kept = rows.join(found.filter("rid = class_rid").select("rid").distinct(), "rid", "left_semi")
-    return (kept.dropDuplicates(["rid"]) if repeats else kept).select(*docs.columns)
+    kept = rows.select("rid", "row").join(found.filter("rid = class_rid").select("rid").distinct(), "rid", "left_semi")
+    return (kept.dropDuplicates(["rid"]) if repeats else kept).select("row.*")

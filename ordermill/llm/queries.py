@@ -48,9 +48,9 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    """The near-duplicate class of every document, and how many different texts its own is linked to."""
+    """The near-duplicate class of every document; the first of a class is kept."""
     found = order_minhash.document_classes(table(spark, folder, "documents"))
-    return found.select("doc_id", "class_id", "n_links", (F.col("rid") == F.col("class_rid")).alias("kept"))
+    return found.select("doc_id", "class_id", (F.col("rid") == F.col("class_rid")).alias("kept"))
 
 
 def op5_additive_quality(spark: SparkSession, folder: str) -> DataFrame:

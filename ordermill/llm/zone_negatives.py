@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordermill.llm.common import map_arrow, written
+from ordermill.llm.common import lower_part, map_arrow, written
 
 BLOCK = 512
 UNIT = 32
@@ -106,7 +106,9 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def curves_of(rows: DataFrame) -> dict[int, Curve]:
     """A curve for every length of vectors with enough rows in the sample; others lie in the order of their ids."""
-    drawn = rows.select("embedding").orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE).toPandas()["embedding"]
+    hashed = rows.select("embedding", F.xxhash64("vec_id", "embedding").alias("hash"))
+    some = hashed.filter(F.col("hash") <= lower_part(rows.count(), SAMPLE))  # so that tasks hand on few rows in all
+    drawn = some.orderBy("hash").limit(SAMPLE).toPandas()["embedding"]
     by_size: dict[int, list] = {}
     for x in drawn:
         by_size.setdefault(len(x), []).append(x)

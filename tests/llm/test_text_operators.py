@@ -383,21 +383,58 @@ def test_members_whose_likest_fail_go_on(spark):
     assert len({r.class_id for r in got}) == 8
 
 
-def test_blocks_of_a_hot_bucket_are_bounded_and_hold_every_pair(spark, monkeypatch):
+def test_every_pair_of_classes_of_a_large_family_meets(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "BUCKET", 20)
     rng = random.Random(23)
-    size = {i: rng.choice((100, 101, 133, 134, 5000)) for i in range(300)}
-    signs = spark.createDataFrame([(i, n, [7, 1000 + i], bytes(40)) for i, n in size.items()], "rid long, n long, keys array<long>, sign binary")
-    members = order_minhash.members_of(signs)
-    parts = order_minhash.hot_parts(members)
-    rows = order_minhash.all_blocks(order_minhash.own_blocks(members, parts), parts).collect()
+    label = {i: 0 if i < 130 else rng.randrange(130, i + 1) for i in range(300)}
+    rows = order_minhash.met_blocks(spark.createDataFrame([(5, i, 10, v) for i, v in label.items()], "family long, rid long, n long, label long")).collect()
     blocks = {}
     for r in rows:
-        blocks.setdefault((r.key, r.p, r.q), []).append(r.rid)
+        blocks.setdefault((r.p, r.q), []).append(r.rid)
     assert max(map(len, blocks.values())) <= 4 * 20 and all(len(b) == len(set(b)) for b in blocks.values())
     met = {(a, b) for block in blocks.values() for a in block for b in block}
-    assert all((a, b) in met for a in size for b in size if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
-    assert {(1000 + i, -1, -1) for i in size} < set(blocks)
+    assert all((a, b) in met for a in label for b in label if a != b and label[a] != label[b])
+    assert not any({label[i] for i in block} == {0} for block in blocks.values())
+
+
+def test_blocks_make_the_classes_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(6)]
+    for _ in range(30):
+        rows = []
+        for _ in range(int(rng.integers(0, 40))):
+            x = base[rng.integers(0, 6)].copy()
+            x[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(0, 1 << 60, 1).astype(np.uint64)
+            rows.append(x[:rng.integers(40, 61)] if rng.random() < 0.5 else np.roll(x, int(rng.integers(0, 2)) * 30))
+        rows = [np.unique(x, return_index=True) for x in rows]
+        rows = [v[np.argsort(at)] for v, at in rows]
+        given = np.where(rng.random(len(rows)) < 0.2, -1, np.arange(len(rows)))
+        want, got = order_minhash._Classes(given), order_minhash._Classes(given)
+        for i in range(len(rows)):
+            for j in range(i):
+                if order_minhash.aligned(rows[i], rows[j]) >= 0.8:
+                    want.merge(i, j)
+        found = order_minhash.block_links(rows, given)
+        for i, j in found:
+            assert order_minhash.aligned(rows[i], rows[j]) >= 0.8 and got.root(i) != got.root(j)
+            got.merge(i, j)
+        assert got.all().tolist() == want.all().tolist()
+
+
+@pytest.mark.parametrize("shingles", [400_000, 900])
+def test_loose_families_in_crowded_buckets(spark, monkeypatch, shingles):
+    monkeypatch.setattr(order_minhash, "BUCKET", 6)
+    monkeypatch.setattr(order_minhash, "SHINGLES", shingles)
+    rng = random.Random(31)
+    w = prose(rng, 300).split()
+    rows = []
+    for i in range(40):
+        v = list(w)
+        for _ in range(rng.choice((2, 4, 8))):
+            v[rng.randrange(len(v))] = f"z{i}"
+        rows.append((i, " ".join(v)))
+    got = order_minhash.document_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == _true_classes(rows)
 
 
 def test_alignment_minds_the_order():
