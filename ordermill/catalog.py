@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.models import attribution, evaluation, review_model
+from ordermill.models import attribution, evaluation, node_table, review_model
 from ordermill.operators import cleaning, quality, shaping
 from ordermill.operators.shaping import inline_rows, union_rows
 from ordermill.plans import explore, features, metrics, pages, questions, star
 from ordermill.schemas import CLEAN_TABLES, CONSTRAINTS, DATE_COLUMNS, RAW, Rule
-from ordermill.session import scratch_path
+from ordermill.session import scratch_path, written
 from ordermill.sources import files, roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,42 +317,24 @@ FEATURES: dict[str, Query] = {
 }
 
 # ---- models ----------------------------------------------------------------------------------
-# All at their full size (300 trees, 300 rounds), on all rows; a model is fitted once per session and folder.
+# All at their full size (300 trees, 300 rounds), on all rows; a model is fitted once for the same training rows and saved.
 
-_FITTED: dict[tuple[str, str, str], review_model.ReviewModel] = {}
 
-
-def _fit(spark, folder, estimator: str) -> tuple[review_model.ReviewModel, DataFrame]:
-    train, test = _train_test(spark, folder)
-    key = (spark.sparkContext.applicationId, folder, estimator)
-    if key not in _FITTED:
-        _FITTED[key] = review_model.fit(train, estimator, review_model.prepare(train, _MIN_LEVEL_ROWS))
-    return _FITTED[key], test
+def _models(spark, folder, *estimators: str) -> tuple[dict[str, node_table.SavedModel], DataFrame]:
+    split = written(_split(spark, folder), "split")
+    train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test")
+    return review_model.saved_models(train, {e: {} for e in estimators}, _MIN_LEVEL_ROWS), test
 
 
 def _model_compare(spark, folder):
-    fitted = {name: _fit(spark, folder, name) for name in review_model.ESTIMATORS}
-    return review_model.compared({name: model for name, (model, _) in fitted.items()},
-                                 fitted["logistic_regression"][1])
-
-
-def _risk_top(spark, folder):
-    model, test = _fit(spark, folder, "boosted_trees")
-    return review_model.risk_rank(model, test, 100)
-
-
-def _feature_importance(spark, folder):
-    return review_model.importance(spark, _fit(spark, folder, "boosted_trees")[0])
-
+    return review_model.compared(*_models(spark, folder, *review_model.ESTIMATORS))
 
-def _attribution_linear(spark, folder):
-    model, test = _fit(spark, folder, "logistic_regression")
-    return attribution.linear_attribution(model, test)
 
-
-def _attribution_permutation(spark, folder):
-    model, test = _fit(spark, folder, "boosted_trees")
-    return attribution.permutation_importance(model, test)
+def _on_model(function: Callable[..., DataFrame], estimator: str, *options) -> Query:
+    def run(spark, folder):
+        models, test = _models(spark, folder, estimator)
+        return function(models[estimator], test, *options)
+    return run
 
 
 # A fixed linear model over scaled features, so that its scores and contributions can be stated in SQL.
@@ -382,12 +364,76 @@ def _literal_mean_abs(spark, folder):
     return out.withColumn("mean_abs", F.round("mean_abs", 6))
 
 
+# A fixed ensemble over the first four features, so that scores, gains and contributions of trees can be stated in SQL.
+_LITERAL_NODES = [  # tree, node, feature, cut, low, high, value, gain
+    (0, 0, 0, 0.5, 1, 2, 0.125, 40.0), (0, 1, 2, -0.25, 3, 4, -0.25, 8.0), (0, 2, None, None, None, None, 1.0, None),
+    (0, 3, None, None, None, None, -0.5, None), (0, 4, None, None, None, None, -0.125, None),
+    (1, 0, 1, 0.0, 1, 2, 0.0625, 24.0), (1, 1, None, None, None, None, -0.1875, None), (1, 2, 0, -0.5, 3, 4, 0.375, 16.0),
+    (1, 3, None, None, None, None, 0.125, None), (1, 4, None, None, None, None, 0.5, None),
+    (2, 0, 3, 0.75, 1, 2, -0.0625, 12.0), (2, 1, None, None, None, None, -0.125, None), (2, 2, None, None, None, None, 0.25, None)]
+
+
+def _literal_trees(spark, folder) -> tuple[node_table.SavedModel, DataFrame]:
+    train, test = _train_test(spark, folder)
+    levels = {c: features.frequent_levels(train, c, _MIN_LEVEL_ROWS) for c in features.CATEGORICAL}
+    nodes = inline_rows(spark, _LITERAL_NODES, node_table.NODES)
+    return node_table.SavedModel(nodes, features.moments(train).first().asDict(), levels, node_table.LOG_ODDS, 2), test
+
+
+def _tree_scores(spark, folder):
+    model, test = _literal_trees(spark, folder)
+    return model.scored(test).select("order_id", "score")
+
+
+def _tree_parts(spark, folder):
+    """Every test row's contributions, which add up to its score."""
+    model, test = _literal_trees(spark, folder)
+    return model.contributions(test).select("order_id", "base", F.posexplode(F.slice("parts", 1, 4)).alias("i", "part")) \
+        .join(node_table.named_features(spark, model.names), F.col("i") == F.col("feature")) \
+        .select("order_id", "base", F.split_part("name", F.lit("__"), F.lit(2)).alias("feature"), "part")
+
+
+def _tree_mean_abs(spark, folder):
+    model, test = _literal_trees(spark, folder)
+    return attribution.tree_attribution(model, test, 4).withColumn("mean_abs", F.round("mean_abs", 6))
+
+
+def _tree_importance(spark, folder):
+    """Shares of gain, and how many test rows lie above each feature's mean."""
+    model, test = _literal_trees(spark, folder)
+    above = test.select(F.posexplode(F.slice(model.features(), 1, 4)).alias("i", "x")).groupBy("i").agg(
+        F.count_if(F.col("x") > 0).alias("rows_above"))
+    named = node_table.named_features(spark, model.names).select(
+        F.split_part("name", F.lit("__"), F.lit(2)).alias("feature"), F.col("feature").alias("i"))
+    return model.importance(4).join(named, "feature").join(above, "i").select("feature", "importance", "rows_above")
+
+
+def _tree_metrics(spark, folder):
+    model, test = _literal_trees(spark, folder)
+    out = evaluation.all_metrics(model.score(test), "risk", features.LABEL)
+    return out.withColumns({c: F.round(c, 9) for c in out.columns})
+
+
+def _tree_risk_top(spark, folder):
+    """The riskiest orders, riskiest last."""
+    model, test = _literal_trees(spark, folder)
+    top = review_model.risk_rank(model, test, 50).select("order_id", F.round("risk", 9).alias("risk"))
+    return top.orderBy("risk", F.col("order_id").desc())
+
+
 MODELS: dict[str, Query] = {
     "model_compare": _model_compare,
-    "risk_top": _risk_top,
-    "feature_importance": _feature_importance,
-    "attribution_linear": _attribution_linear,
-    "attribution_permutation": _attribution_permutation,
+    "risk_top": _on_model(review_model.risk_rank, "boosted_trees", 100),
+    "feature_importance": _on_model(lambda model, test: model.importance(), "boosted_trees"),
+    "attribution_trees": _on_model(attribution.tree_attribution, "boosted_trees"),
+    "attribution_linear": _on_model(attribution.linear_attribution, "logistic_regression"),
+    "attribution_permutation": _on_model(attribution.permutation_importance, "boosted_trees"),
+    "literal_tree_scores": _tree_scores,
+    "literal_tree_parts": _tree_parts,
+    "literal_tree_mean_abs": _tree_mean_abs,
+    "literal_tree_importance": _tree_importance,
+    "literal_tree_metrics": _tree_metrics,
+    "literal_tree_risk_top": _tree_risk_top,
     "literal_risk_top": _literal_risk_top,
     "literal_mean_abs": _literal_mean_abs,
 }

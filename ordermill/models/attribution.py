@@ -1,4 +1,4 @@
-"""What drives a model's scores: exact linear contributions, and permutation importance."""
+"""What drives a model's scores: exact contributions of linear models and of trees, and permutation importance."""
 
 from __future__ import annotations
 
@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.models.evaluation import average_precision
-from ordermill.models.review_model import ReviewModel
+from ordermill.models.node_table import SavedModel, mean_parts, named_features, ranked_features
 from ordermill.operators.quality import stacked
 from ordermill.operators.ranking import globally_sorted, with_position
-from ordermill.operators.shaping import inline_rows
 from ordermill.plans.features import CATEGORICAL, LABEL, NUMERIC, SEED, hash_order
 
 
@@ -25,26 +24,29 @@ def mean_abs(df: DataFrame, values: dict[str, Column]) -> DataFrame:
         F.col("mean_abs").desc(), "feature")
 
 
-def linear_attribution(model: ReviewModel, df: DataFrame) -> DataFrame:
+def linear_attribution(model: SavedModel, df: DataFrame) -> DataFrame:
     """Mean absolute contribution to the log-odds per feature of a linear model.
 
     A contribution is coefficient times distance from the feature's mean, which is
     the exact Shapley value when features are independent.
     """
-    rows = model.preparation.apply(df).select("features")
-    names, weights = model.preparation.names, model.fitted.coefficients.toArray()
+    rows = df.select(model.features().alias("x"))
     # vectors are summed as vectors, however many columns the levels make
-    mean = rows.agg(Summarizer.mean(F.col("features")).alias("mean"))
+    mean = rows.agg(Summarizer.mean(array_to_vector(F.col("x"))).alias("mean"))
     far = rows.crossJoin(F.broadcast(mean)).select(F.zip_with(
-        vector_to_array("features"), vector_to_array("mean"), lambda x, m: F.abs(x - m)).alias("far"))
-    apart = far.agg(Summarizer.mean(array_to_vector(F.col("far"))).alias("v")).select(F.posexplode(vector_to_array("v")).alias("i", "far"))
-    named = inline_rows(df.sparkSession, [(i, n.split("__", 1)[1], abs(float(w))) for i, (n, w) in enumerate(zip(names, weights))],
-                        "i int, feature string, weight double")
-    return named.join(apart, "i").select("feature", (F.col("weight") * F.col("far")).alias("mean_abs")).orderBy(
-        F.col("mean_abs").desc(), "feature")
+        "x", vector_to_array("mean"), lambda x, m: F.abs(x - m)).alias("far"))
+    apart = far.agg(Summarizer.mean(array_to_vector(F.col("far"))).alias("v")).select(F.posexplode(vector_to_array("v")).alias("feature", "far"))
+    weights = model.nodes.filter("feature is not null").select("feature", F.abs("value").alias("weight"))
+    named = named_features(df.sparkSession, model.names).join(weights, "feature").join(apart, "feature")
+    return ranked_features(named.select("name", (F.col("weight") * F.col("far")).alias("mean_abs")), "mean_abs", len(model.names))
+
+
+def tree_attribution(model: SavedModel, df: DataFrame, k: int = 12) -> DataFrame:
+    """Mean absolute contribution to the score per feature of a tree ensemble, over all rows, largest first."""
+    return mean_parts(model.contributions(df), model.names, k)
 
 
-def permutation_importance(model: ReviewModel, df: DataFrame, key: str = "order_id",
+def permutation_importance(model: SavedModel, df: DataFrame, key: str = "order_id",
                            features: Sequence[str] = (*NUMERIC, *CATEGORICAL),
                            seed: int = SEED) -> DataFrame:
     """Loss of average precision when one feature's values move to other rows.

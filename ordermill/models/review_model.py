@@ -12,13 +12,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.models import evaluation
+from ordermill.models import evaluation, node_table
 from ordermill.operators.quality import stacked
 from ordermill.operators.shaping import inline_rows, top_n
-from ordermill.plans.features import (CATEGORICAL, INFREQUENT, LABEL, NUMERIC, SEED,
-                                      balanced_weights, fold_level, frequent_levels, moments,
-                                      scaled)
-from ordermill.session import shared_dir
+from ordermill.plans.features import (CATEGORICAL, LABEL, NUMERIC, SEED, balanced_weights, fold_level,
+                                      frequent_levels, moments, scaled)
+from ordermill.session import scratch_path, shared_dir
+
+#: Training rows of one partition; small data are fitted without a shuffle between tasks.
+PART_ROWS = 100_000
+#: Rows on which trees of any depth may be fitted.
+MAX_ROWS = 1_000_000
+#: Changes whenever the same rows would give another model.
+VERSION = 1
 
 @dataclass(frozen=True)
 class Preparation:
@@ -35,8 +41,7 @@ class Preparation:
     @property
     def names(self) -> list[str]:
         """Feature names in vector order, as ``kind__column`` or ``kind__column_level``."""
-        return [f"num__{c}" for c in NUMERIC] + [
-            f"cat__{c}_{level}" for c in CATEGORICAL for level in _with_folded(self.levels[c])]
+        return node_table.vector_names(self.levels)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Add a ``features`` vector; the input columns keep their values."""
@@ -46,10 +51,6 @@ class Preparation:
         return self.encoder.transform(ready).select(*df.columns, "features")
 
 
-def _with_folded(levels: Sequence[str]) -> list[str]:
-    return sorted({*levels, INFREQUENT})
-
-
 def prepare(train: DataFrame, min_count: int = 500) -> Preparation:
     """Learn the preparation from training rows only."""
     stats = moments(train, NUMERIC).first().asDict()
@@ -57,18 +58,18 @@ def prepare(train: DataFrame, min_count: int = 500) -> Preparation:
     stages = []
     for c in CATEGORICAL:
         stages += [
-            StringIndexerModel.from_labels(_with_folded(levels[c]), inputCol=f"__{c}",
+            StringIndexerModel.from_labels(node_table.with_folded(levels[c]), inputCol=f"__{c}",
                                            outputCol=f"__{c}_index"),
             OneHotEncoder(inputCol=f"__{c}_index", outputCol=f"__{c}_hot", dropLast=False)]
     stages.append(VectorAssembler(
         inputCols=[*[f"__{c}" for c in NUMERIC], *[f"__{c}_hot" for c in CATEGORICAL]],
         outputCol="features"))
-    widest = max(len(_with_folded(v)) for v in levels.values())
+    widest = max(len(node_table.with_folded(v)) for v in levels.values())
     # one row per level is enough to tell the encoder how many levels there are
     shown = train.sparkSession.range(widest).select(
         *[F.lit(0.0).alias(f"__{c}") for c in NUMERIC],
-        *[F.element_at(F.array(*[F.lit(v) for v in _with_folded(levels[c])]),
-                       (F.col("id") % len(_with_folded(levels[c]))).cast("int") + 1).alias(f"__{c}")
+        *[F.element_at(F.array(*[F.lit(v) for v in node_table.with_folded(levels[c])]),
+                       (F.col("id") % len(node_table.with_folded(levels[c]))).cast("int") + 1).alias(f"__{c}")
           for c in CATEGORICAL])
     return Preparation(stats, levels, Pipeline(stages=stages).fit(shown))
 
@@ -108,9 +109,17 @@ def logistic(train: DataFrame, max_iter: int = 1000) -> object:
 
 
 def random_forest(train: DataFrame, trees: int = 300, max_depth: int = 30) -> object:
+    """Trees as deep as their rows go; node ids are kept with the rows, so deep levels need no walk from the root.
+
+    A forest has at most two nodes for every ``minInstancesPerNode`` rows and tree, and its nodes live on the driver, so
+    rows are bounded: beyond ``MAX_ROWS`` deep trees raise an error instead of filling it. Use a lower depth there.
+    """
+    if max_depth > 16 and train.count() > MAX_ROWS:
+        raise ValueError(f"trees of depth {max_depth} on more than {MAX_ROWS} rows need too many nodes; lower max_depth")
+    shared_dir(train.sparkSession)
     return RandomForestClassifier(
-        labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=max_depth,
-        minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=SEED).fit(weighted(train))
+        labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=5,
+        featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10).fit(weighted(train))
 
 
 def boosted_trees(train: DataFrame, rounds: int = 300, max_depth: int = 5,
@@ -127,40 +136,86 @@ ESTIMATORS: dict[str, Callable[..., object]] = {
 }
 
 
+def prepared(train: DataFrame, preparation: Preparation, key: str = "order_id") -> DataFrame:
+    """The training vectors, written once, in a partitioning and order that only depend on the rows."""
+    path = scratch_path(train.sparkSession, "training")
+    parts = max(1, -(-train.count() // PART_ROWS))
+    preparation.apply(train).select(key, LABEL, "features").repartition(parts, key).sortWithinPartitions(key).write.parquet(path)
+    spark = train.sparkSession
+    return spark.read.parquet(path).repartition(parts, key).sortWithinPartitions(key)
+
+
 def fit(train: DataFrame, estimator: str, preparation: Preparation | None = None,
-        key: str = "order_id", **options) -> ReviewModel:
-    """Fit on rows in a fixed partitioning and order, so that a seed repeats its result."""
+        key: str = "order_id", rows: DataFrame | None = None, **options) -> ReviewModel:
+    """Fit on rows in a fixed partitioning and order, so that a seed repeats its result.
+
+    ``rows`` are the training vectors, if they are prepared already.
+    """
     preparation = preparation or prepare(train)
-    rows = preparation.apply(train).select(key, LABEL, "features").repartition(
-        key).sortWithinPartitions(key)
+    rows = prepared(train, preparation, key) if rows is None else rows
     return ReviewModel(preparation, ESTIMATORS[estimator](rows, **options))
 
 
+def as_saved(model: ReviewModel, path: str) -> node_table.SavedModel:
+    """The model saved below ``path`` as a table of its nodes or coefficients, and read again."""
+    fitted, preparation = model.fitted, model.preparation
+    if hasattr(fitted, "coefficients"):
+        spark = SparkSession.getActiveSession()
+        weights = [(i, 0, i, None, None, None, float(w), None) for i, w in enumerate(fitted.coefficients.toArray())]
+        nodes = inline_rows(spark, [*weights, (-1, 0, None, None, None, None, float(fitted.intercept), None)], node_table.NODES)
+        link, depth = node_table.LOG_ODDS, 0
+    else:
+        raw = f"{path}/spark"
+        fitted.write().overwrite().save(raw)
+        spark = SparkSession.getActiveSession()
+        nodes, link = node_table.nodes_of(spark, raw)
+        depth = fitted.getMaxDepth()
+    node_table.SavedModel(nodes, preparation.stats, preparation.levels, link, depth).save(path)
+    return node_table.load(spark, path)
+
+
+def digest(df: DataFrame) -> str:
+    """A name for the rows of a table, whatever their order."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("a"),
+                 F.sum(F.xxhash64(*df.columns, F.lit(1)).cast("decimal(38,0)")).alias("b")).first()
+    return f"{row.n}-{row.a}-{row.b}"
+
+
+def saved_models(train: DataFrame, options: Mapping[str, dict], min_count: int = 500,
+                 key: str = "order_id") -> dict[str, node_table.SavedModel]:
+    """The named estimators fitted on ``train``, each once: models live in the shared folder, by the rows and options
+    they come from, and are read again wherever these are the same."""
+    spark = train.sparkSession
+    home = f"{shared_dir(spark).rstrip('/')}/models/{VERSION}-{min_count}-{digest(train)}"
+    out, todo = {}, {}
+    for name, settings in options.items():
+        path = "-".join([f"{home}/{name}", *(f"{k}_{v}" for k, v in sorted(settings.items()))])
+        out[name] = node_table.load(spark, path)
+        if out[name] is None:
+            todo[name] = path
+    if todo:
+        preparation = prepare(train, min_count)
+        rows = prepared(train, preparation, key)
+        for name, path in todo.items():
+            out[name] = as_saved(fit(train, name, preparation, key, rows, **options[name]), path)
+    return out
+
+
 def compare(train: DataFrame, test: DataFrame, options: Mapping[str, dict],
             min_count: int = 500) -> DataFrame:
-    """Fit every estimator named in ``options`` and list its test metrics.
+    """Fit every estimator named in ``options``, or take it as saved, and list its test metrics.
 
     The scores of all models are stacked, so the metrics take one pass.
     """
-    preparation = prepare(train, min_count)
-    return compared({name: fit(train, name, preparation, **settings) for name, settings in options.items()}, test)
+    return compared(saved_models(train, options, min_count), test)
 
 
-def compared(models: Mapping[str, ReviewModel], test: DataFrame) -> DataFrame:
+def compared(models: Mapping[str, node_table.SavedModel], test: DataFrame) -> DataFrame:
     """Test metrics of fitted models, by name."""
     scores = [model.score(test).select(F.lit(name).alias("model"), "risk", LABEL) for name, model in models.items()]
     return evaluation.all_metrics(stacked(scores), "risk", LABEL, ["model"])
 
 
-def importance(spark: SparkSession, model: ReviewModel, k: int = 12) -> DataFrame:
-    """Share of the total gain per feature, largest first."""
-    values = model.fitted.featureImportances.toArray()
-    rows = inline_rows(spark, [(n, float(v)) for n, v in zip(model.preparation.names, values)],
-                       "name string, importance double")
-    named = rows.select(F.split_part("name", F.lit("__"), F.lit(2)).alias("feature"), "importance")
-    return top_n(named, k, [F.col("importance").desc(), "feature"])
-
-
-def risk_rank(model: ReviewModel, df: DataFrame, n: int, key: str = "order_id") -> DataFrame:
+def risk_rank(model: ReviewModel | node_table.SavedModel, df: DataFrame, n: int, key: str = "order_id") -> DataFrame:
     """The ``n`` orders with the highest risk."""
     return top_n(model.score(df).select(key, "risk"), n, [F.col("risk").desc(), key])

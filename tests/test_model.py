@@ -1,11 +1,13 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from market import tables
-from ordermill.models import attribution, evaluation, review_model
+from ordermill.models import attribution, evaluation, node_table, review_model
 from ordermill.operators.shaping import inline_rows
 from ordermill.plans import features
+from ordermill.session import written
 
 
 def test_feature_table(spark):
@@ -114,31 +116,93 @@ def planted(spark):
         "cast(h < if(order_id * 7 % 40 - 20 > 5, 0.8D, 0.1D) as int) as is_low_review")
 
 
-def test_models_find_the_planted_signal(spark, planted):
-    split = features.stratified_split(planted)
+@pytest.fixture(scope="module")
+def fitted(spark, planted):
+    """Small models of every kind, saved, with the rows that they were fitted on and those they were not."""
+    split = written(features.stratified_split(planted), "split")
     train, test = split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
+    options = {"logistic_regression": {"max_iter": 50}, "random_forest": {"trees": 10, "max_depth": 5},
+               "boosted_trees": {"rounds": 5, "max_depth": 3}}
+    return train, test, options, review_model.saved_models(train, options, 100)
+
+
+def test_models_find_the_planted_signal(spark, fitted):
+    train, test, options, models = fitted
     prevalence = test.agg(F.avg("is_low_review")).first()[0]
-    out = {r.model: r for r in review_model.compare(train, test, {
-        "logistic_regression": {"max_iter": 50}, "random_forest": {"trees": 10, "max_depth": 5},
-        "boosted_trees": {"rounds": 5, "max_depth": 3}}, min_count=100).collect()}
+    out = {r.model: r for r in review_model.compare(train, test, options, min_count=100).collect()}
     assert set(out) == {"logistic_regression", "random_forest", "boosted_trees"}
     for row in out.values():
         assert row.pr_auc > prevalence * 1.3 and row.roc_auc > 0.75
-
-    preparation = review_model.prepare(train, 100)
-    model = review_model.fit(train, "boosted_trees", preparation, rounds=5, max_depth=3)
-    again = review_model.fit(train.repartition(5), "boosted_trees", preparation, rounds=5, max_depth=3)
-    top = review_model.risk_rank(model, test, 10).collect()
-    assert top == review_model.risk_rank(again, test, 10).collect()
-    first = review_model.importance(spark, model, 12).first()
-    assert first.feature == "delivery_delay_days"
-    drops = attribution.permutation_importance(model, features.sample_rows(test, 400)).collect()
+    for name in ("random_forest", "boosted_trees"):
+        assert models[name].importance(12).first().feature == "delivery_delay_days"
+        parts = attribution.tree_attribution(models[name], test).collect()
+        assert parts[0].feature == "delivery_delay_days" and parts[0].mean_abs > 3 * parts[1].mean_abs
+    drops = attribution.permutation_importance(models["boosted_trees"], features.sample_rows(test, 400)).collect()
     assert len(drops) == 9 and drops[0].feature == "delivery_delay_days"
     assert drops[0].pr_auc_drop > 0.1 > abs(drops[-1].pr_auc_drop)
-
-    linear = review_model.fit(train, "logistic_regression", preparation, max_iter=50)
+    linear = models["logistic_regression"]
     parts = attribution.linear_attribution(linear, test).collect()
-    assert parts[0].feature == "delivery_delay_days" and len(parts) == len(preparation.names)
+    assert parts[0].feature == "delivery_delay_days" and len(parts) == len(linear.names)
+
+
+def test_a_fit_repeats_and_is_read_again(spark, fitted, monkeypatch):
+    train, test, options, models = fitted
+    preparation = review_model.prepare(train, 100)
+    again = review_model.fit(train.repartition(5), "boosted_trees", preparation, rounds=5, max_depth=3)
+    top = review_model.risk_rank(again, test, 10).collect()
+    assert [r.order_id for r in top] == [r.order_id for r in review_model.risk_rank(models["boosted_trees"], test, 10).collect()]
+    monkeypatch.setattr(review_model, "ESTIMATORS", {})  # nothing is fitted any more
+    read = review_model.saved_models(train.repartition(3), options, 100)
+    assert read["boosted_trees"].nodes.count() == models["boosted_trees"].nodes.count()
+    with pytest.raises(KeyError):
+        review_model.saved_models(train.limit(100), {"boosted_trees": options["boosted_trees"]}, 100)
+
+
+@pytest.mark.parametrize("name", ["random_forest", "boosted_trees", "logistic_regression"])
+def test_saved_models_score_as_the_library_does(spark, fitted, name):
+    train, test, options, models = fitted
+    model = review_model.fit(train, name, review_model.prepare(train, 100), **options[name])
+    want = {r.order_id: r.risk for r in model.score(test).collect()}
+    got = {r.order_id: r.risk for r in models[name].score(test).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    if name == "logistic_regression":
+        return
+    shares = model.fitted.featureImportances.toArray()
+    named = {n.split("__")[1]: float(v) for n, v in zip(models[name].names, shares)}
+    assert {r.feature: r.importance for r in models[name].importance(99).collect()} == pytest.approx(named, abs=1e-9)
+
+
+@pytest.mark.parametrize("name", ["random_forest", "boosted_trees"])
+def test_contributions_add_up_on_every_row(spark, fitted, name):
+    _, test, _, models = fitted
+    model = models[name]
+    both = model.contributions(model.scored(test)).select(
+        "score", (F.col("base") + F.aggregate("parts", F.lit(0.0), lambda a, b: a + b)).alias("sum"), "parts").collect()
+    assert len(both) == test.count()
+    assert [r["sum"] for r in both] == pytest.approx([r.score for r in both], abs=1e-9)
+    assert any(abs(p) > 0.01 for p in both[0].parts)
+
+
+def test_nodes_follow_plain_sql(spark, fitted, tmp_path):
+    """The written nodes of a fitted ensemble, scored by another engine."""
+    _, test, _, models = fitted
+    model = models["boosted_trees"]
+    model.nodes.toPandas().to_parquet(f"{tmp_path}/nodes.parquet")
+    test.select("order_id", F.posexplode(model.features()).alias("feature", "x")).toPandas().to_parquet(f"{tmp_path}/cells.parquet")
+    want = duckdb.sql(f"""with recursive n as (select * from '{tmp_path}/nodes.parquet'), c as (select * from '{tmp_path}/cells.parquet'),
+        walk as (select order_id, n.* from (select distinct order_id from c) cross join n where node = 0
+          union all select w.order_id, m.* from walk w join c on c.order_id = w.order_id and c.feature = w.feature
+            join n m on m.tree = w.tree and m.node = case when c.x <= w.cut then w.low else w.high end where w.low is not null)
+        select order_id, sum(value) from walk where low is null group by 1""").fetchall()
+    got = {r.order_id: r.score for r in model.scored(test).collect()}
+    assert got == pytest.approx(dict(want), abs=1e-12)
+
+
+def test_too_many_nodes_are_not_broadcast(spark, fitted, monkeypatch):
+    _, test, _, models = fitted
+    monkeypatch.setattr(node_table, "MAX_NODES", 10)
+    with pytest.raises(ValueError, match="too many"):
+        models["boosted_trees"].score(test)
 
 
 def test_preparation_names_match_the_vector(spark, planted):
