@@ -206,7 +206,14 @@ def _visual(page: Callable[..., dict[str, DataFrame]], visual: str) -> Query:
     return lambda s, d: page(_star(s, d), _YEAR)[visual]
 
 
+def _whole(visuals) -> Query:
+    return lambda s, d: pages.whole_page(_star(s, d), visuals, _YEAR)
+
+
 PAGES: dict[str, Query] = {
+    "page_overview": _whole(pages.OVERVIEW),
+    "page_customers": _whole(pages.CUSTOMERS),
+    "page_delivery": _whole(pages.DELIVERY),
     "overview_cards": _visual(pages.page_overview, "cards"),
     "overview_monthly_revenue": _visual(pages.page_overview, "monthly_revenue"),
     "overview_top_categories_of_year": _visual(pages.page_overview, "top_categories"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.functions import columns as C
@@ -18,10 +18,6 @@ from ordermill.sources.files import register_views
 # First and last day of the source data's calendar.
 CALENDAR = (date(2016, 9, 1), date(2018, 12, 31))
 
-# A calendar of more days than this (a thousand years) is joined without a broadcast hint.
-_BROADCAST_DAYS = 366_000
-
-
 def order_facts(orders: DataFrame) -> DataFrame:
     """What the fact rows know about their order, one row per order."""
     return orders.select(
@@ -73,13 +69,16 @@ def dim_seller(sellers: DataFrame, geolocation: DataFrame) -> DataFrame:
         "seller_id", "seller_city", "seller_state", "geolocation_lat", "geolocation_lng")
 
 
+#: What the calendar says of a day.
+DATE_COLUMNS: dict[str, Callable[[Column], Column]] = {
+    "date": lambda day: day, "year": F.year, "quarter": F.quarter, "month_number": F.month,
+    "month_name": lambda day: F.date_format(day, "MMMM"), "year_month": lambda day: F.trunc(day, "MM"),
+    "day_name": lambda day: F.date_format(day, "EEEE"), "is_weekend": C.is_weekend,
+}
+
+
 def _calendar(days: DataFrame) -> DataFrame:
-    day = F.col("date")
-    return days.select(
-        "date", F.year(day).alias("year"), F.quarter(day).alias("quarter"),
-        F.month(day).alias("month_number"), F.date_format(day, "MMMM").alias("month_name"),
-        F.trunc(day, "MM").alias("year_month"), F.date_format(day, "EEEE").alias("day_name"),
-        C.is_weekend(day).alias("is_weekend"))
+    return days.select(*[of(F.col("date")).alias(name) for name, of in DATE_COLUMNS.items()])
 
 
 def dim_date(spark: SparkSession, start: date = CALENDAR[0], end: date = CALENDAR[1]) -> DataFrame:
@@ -117,19 +116,12 @@ class Star:
     customer: DataFrame
     product: DataFrame
     seller: DataFrame
-    calendar: Callable[[], tuple[DataFrame, int]]
+    calendar: Callable[[], DataFrame]
+    fixed: tuple[date, date] | None = None
 
     @cached_property
-    def _days(self) -> tuple[DataFrame, int]:
-        return self.calendar()
-
-    @property
     def date(self) -> DataFrame:
-        return self._days[0]
-
-    def small_days(self, days: DataFrame) -> DataFrame:
-        """Calendar rows with a broadcast hint, as long as the calendar's known length allows."""
-        return F.broadcast(days) if self._days[1] <= _BROADCAST_DAYS else days
+        return self.calendar()
 
     def views(self) -> dict[str, DataFrame]:
         return {"fact_order_items": self.fact, "dim_customer": self.customer,
@@ -148,13 +140,13 @@ def build_star(spark: SparkSession, tables: Mapping[str, DataFrame],
     """
     customers, sellers, orders = tables["customers"], tables["sellers"], tables["orders"]
 
-    def days() -> tuple[DataFrame, int]:
+    def days() -> DataFrame:
+        if not calendar:
+            return dim_date_of(orders, 1)
         span = order_span(orders)
-        if calendar and span and not calendar[0] <= span[0] <= span[1] <= calendar[1]:
+        if span and not calendar[0] <= span[0] <= span[1] <= calendar[1]:
             raise ValueError(f"the calendar {calendar} misses purchases between {span[0]} and {span[1]}")
-        if calendar:
-            return dim_date(spark, *calendar), (calendar[1] - calendar[0]).days + 1
-        return dim_date_of(orders, 1), (span[1] - span[0]).days + 93 if span else 0
+        return dim_date(spark, *calendar)
     return Star(
         items=tables["order_items"], orders=order_facts(tables["orders"]),
         scores=order_scores(tables["reviews"]),
@@ -162,7 +154,7 @@ def build_star(spark: SparkSession, tables: Mapping[str, DataFrame],
         customer=dim_customer(customers, tables["geolocation"]) if with_places else customers,
         product=dim_product(tables["products"]),
         seller=dim_seller(sellers, tables["geolocation"]) if with_places else sellers,
-        calendar=days)
+        calendar=days, fixed=calendar)
 
 
 def register_star(spark: SparkSession, star: Star) -> DataFrame:
@@ -171,10 +163,10 @@ def register_star(spark: SparkSession, star: Star) -> DataFrame:
 
 
 def star_join(facts: DataFrame, star: Star, needed: set[str]) -> DataFrame:
-    """Fact rows with only the dimensions that ``needed`` columns come from.
+    """Fact rows with only the customer, product and seller columns in ``needed``.
 
     Each dimension is many-to-one, so no fact row multiplies. Spark broadcasts a
-    dimension when its size allows; only the calendar's length is known.
+    dimension when its size allows. What the calendar says of a day follows from the day itself (``DATE_COLUMNS``).
     """
     dims = ((star.customer, "customer_id"), (star.product, "product_id"),
             (star.seller, "seller_id"))
@@ -182,8 +174,4 @@ def star_join(facts: DataFrame, star: Star, needed: set[str]) -> DataFrame:
         wanted = [c for c in dim.columns if c in needed and c != key]
         if wanted:
             facts = facts.join(dim.select(key, *wanted), key, "left")
-    wanted = [c for c in star.date.columns if c in needed]
-    if wanted:
-        days = star.date.select(F.col("date").alias("order_date"), *wanted)
-        facts = facts.join(star.small_days(days), "order_date", "left")
     return facts

@@ -68,3 +68,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, whose files go when the frame does (cleanCheckpoints)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
