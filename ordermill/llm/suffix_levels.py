@@ -1,17 +1,25 @@
 """Removal of repeated byte strings by a logarithmic family of sparse suffix arrays.
 
-Suffixes are sampled by content: of every window of ``LENGTH`` bytes the leftmost 16 bytes with the smallest hash are its
-anchor, so equal windows have equal anchors at the same place, and a run of windows shares one. The suffixes that begin at
-anchors are dealt to index parts by the hash of their first bytes. An index part takes its suffixes in document order,
+Suffixes are sampled by content: of every window of ``LENGTH`` bytes the leftmost ``GRAM`` bytes with the smallest hash are
+its anchor, so equal windows have equal anchors at the same place, and a run of windows shares one. The suffixes that begin
+at anchors are dealt to index parts by the hash of their first bytes. An index part takes its suffixes in document order,
 batch by batch: each batch is sorted into a suffix array (by anchor, then by context, which is the whole run of windows),
 merge-scanned against the levels there are, and becomes a level itself; levels of like size merge, so there are
-logarithmically many. The scan tells a run whose whole context occurred before (all of it goes) and anchors with several
-contexts. Only of these are the bytes fetched, and their windows compared one by one, exactly.
+logarithmically many. The order among suffixes is that of the hashes of their first bytes and of their runs, not that of
+the bytes: the scan only asks for equal ones. Runs whose context occurs earlier in the same task's batch are settled before
+anything is shuffled.
 
-Windows of anchors with very many contexts are dealt out one by one instead, so these split over any number of tasks. Runs whose context occurs earlier in the same task's batch are settled before anything is shuffled.
+The scan tells a run whose whole context occurred before (all of it goes) and anchors with several contexts. Only of these
+are the bytes fetched, and their windows compared one by one, byte by byte. Anchors with over ``CONTEXTS`` contexts are dealt
+again first, by a second anchor of each window under another hash, so that unlike surroundings part; what is still that
+many then has its windows dealt out one by one, so it splits over any number of tasks.
+
+Whole contexts, and windows that are dealt out one by one, count as equal where 128 bits of hashes are (anchor and context,
+or two of the window); nothing else rests on hashes.
 
 "Earlier" is by doc_id (nulls first, then by text), then by position; rows equal in doc_id and text are one document, and
-each is reported. Nulls are empty; texts under ``LENGTH`` bytes have no windows.
+each is reported. Nulls are empty; texts under ``LENGTH`` bytes have no windows; an empty table gives no rows. Extra columns
+stay as they are, whatever their names. A very long text is sampled in pieces and needs memory in proportion to itself.
 """
 
 from __future__ import annotations
@@ -28,25 +36,31 @@ from pyspark.sql import functions as F
 from ordermill.llm.common import Substrings, in_batches, map_arrow, mixed, packed_rows, utf8, window_hashes, with_rid, written
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32
 STEP = 1 << 18  # windows that are sampled at once
 LEVEL_ROWS = 1 << 16
-#: Anchors with more contexts than this have their windows dealt out one by one.
+#: Anchors with more contexts than this are dealt again.
 CONTEXTS = 5_000
 SLICE = 1 << 20
 _C = np.random.default_rng(7).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows that share an anchor: (text number, first window, last window, anchor hash, context hash)."""
+def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, again: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows that share an anchor: (text number, first window, last window, anchor hash, context hash).
+
+    ``again`` orders by another hash, so that most windows get another anchor.
+    """
+    if not GRAM < length <= GRAM + 96:
+        raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 96}")  # a run's size is kept in 7 bits
     span = length - GRAM + 1
     for begin in range(0, max(0, len(data) - length + 1), STEP):
         part = data[begin:begin + STEP + length - 1]
         n = len(part) - length + 1
         sub = Substrings(part)
         gram = sub.all_of(GRAM)
-        low = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            low = ((mixed(gram * _C[4]) if again else gram) & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
         width = 1
         while width * 2 <= span:  # minima of doubling widths, then of the span as two that overlap
             low = np.minimum(low[:-width], low[width:])
@@ -92,7 +106,8 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         both = mixed(key * _C[2] + context)
         order = np.lexsort((s, own, both))
         again = np.zeros(len(s), bool)
-        again[order[1:]] = both[order][1:] == both[order][:-1]
+        k, c = key[order], context[order]
+        again[order[1:]] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
         # settled runs that follow each other become one span
         head, tail = _ends(again, doc)
         spread = mixed(own[head].astype(np.uint64) * _C[3] + s[head].astype(np.uint64))
@@ -128,7 +143,7 @@ class Levels:
                 continue
             both = mixed(k[met].astype(np.uint64) * _C[2] + c[met].astype(np.uint64))
             at = np.minimum(np.searchsorted(level["both"], both), len(level["both"]) - 1)
-            same = level["both"][at] == both
+            same = (level["both"][at] == both) & (level["check"][at] == c[met])
             known[met[same]] = True
             other = met[~same]
             several[other] = True
@@ -138,8 +153,9 @@ class Levels:
             level["several"] |= np.cumsum(change[:-1]) > 0
         seen[order[known]] = True
         new = ~known
-        self._put({"key": k[new], "both": np.sort(mixed(k[new].astype(np.uint64) * _C[2] + c[new].astype(np.uint64))),
-                   "rid": rid[order][new], "span": span[order][new], "several": several[new]})
+        both = mixed(k[new].astype(np.uint64) * _C[2] + c[new].astype(np.uint64))
+        by_both = np.argsort(both, kind="stable")
+        self._put({"key": k[new], "both": both[by_both], "check": c[new][by_both], "rid": rid[order][new], "span": span[order][new], "several": several[new]})
         return seen
 
     def _put(self, level: dict[str, np.ndarray]) -> None:
@@ -150,7 +166,8 @@ class Levels:
             b, a = self.levels.pop(), self.levels.pop()
             order = np.argsort(np.r_[a["key"], b["key"]], kind="stable")
             merged = {n: np.r_[a[n], b[n]][order] for n in ("key", "rid", "span", "several")}
-            merged["both"] = np.sort(np.r_[a["both"], b["both"]], kind="stable")
+            order = np.argsort(np.r_[a["both"], b["both"]], kind="stable")
+            merged |= {n: np.r_[a[n], b[n]][order] for n in ("both", "check")}
             self.levels.append(merged)
 
     def several(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -220,8 +237,7 @@ def _first_pass(docs: DataFrame, found: DataFrame, texts: bool, length: int) ->
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = {n: [] for n in _SCHEMA.names}
-        data, at = utf8(batch.column("text"))
-        rid = batch.column("rid").to_pylist()
+        rid, packed = batch.column("rid").to_pylist(), batch.column("packed").to_pylist()
         marks_of = batch.column("marks")
         inner = marks_of.flatten()
         begin = np.r_[0, np.cumsum([len(m) if m.is_valid else 0 for m in marks_of])] if marks_of.null_count else \
@@ -230,18 +246,23 @@ def _first_pass(docs: DataFrame, found: DataFrame, texts: bool, length: int) ->
         open_ = np.asarray(inner.field("key").is_valid())
         key = inner.field("key").fill_null(0).to_numpy(zero_copy_only=False)
         for i, r in enumerate(rid):
-            raw = data[at[i]:at[i + 1]].tobytes()
+            raw = zstandard.decompress(packed[i])
             part = slice(int(begin[i]), int(begin[i + 1]))
             s, e, o, k = start[part], stop[part], open_[part], key[part]
             if o.any():
                 for a, b, c in zip(s[o].tolist(), e[o].tolist(), k[o].tolist()):
                     _append(out, {"kind": CONTEXT, "rid": r, "start": a, "key": c, "data": raw[a:b + length]})
                 sure = np.stack(merged_spans(s[~o], e[~o]), axis=1).astype("<i8")
-                _append(out, {"kind": WAITING, "rid": r, "n_spans": len(sure), "data": sure.tobytes() + zstandard.compress(raw, 1)})
+                _append(out, {"kind": WAITING, "rid": r, "n_spans": len(sure), "data": sure.tobytes() + packed[i]})
             else:
                 _append(out, {"kind": DONE, "rid": r} | _result(raw, s, e, texts))
         return pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
-    joined = docs.select("rid", "text").join(marks, "rid", "left")
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, at = utf8(batch.column("text"))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        packed = [squeeze.compress(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(packed, pa.binary())], ["rid", "packed"])
+    joined = in_batches(docs.select("rid", "text"), pack, "rid long, packed binary").join(marks, "rid", "left")
     return in_batches(joined, cut, _FIELDS)
 
 
@@ -309,6 +330,59 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
     return map_arrow(sorted_, run, "rid long, start long, stop long")
 
 
+def _redealt(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of crowded keys as shorter ones (key, rid, start, data) by a second anchor of each window, and the spans
+    (rid, start, stop) of those that an earlier one of the same Arrow batch equals."""
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        data, at = utf8(batch.column("data"))
+        found = list(runs(data, at, length, again=True))
+        if not found:
+            return None
+        own, s, e, key, _ = (np.concatenate(c) for c in zip(*found))
+        with np.errstate(over="ignore"):
+            key = mixed(key * _C[5] + batch.column("key").to_numpy()[own].view(np.uint64)).view(np.int64)
+        rid, start = batch.column("rid").to_numpy()[own], batch.column("start").to_numpy()[own] + s
+        order = np.lexsort((start, rid))
+        known: set[tuple[int, bytes]] = set()
+        out, stop = [None] * len(order), start + (e - s) + length
+        first = (at[own] + s).tolist()
+        size = (e - s + length).tolist()
+        for i in order.tolist():
+            part = data[first[i]:first[i] + size[i]].tobytes()
+            name = (int(key[i]), part)
+            if name not in known:
+                known.add(name)
+                out[i] = part
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(start), pa.array(stop), pa.array(out, pa.binary())],
+                                          ["key", "rid", "start", "stop", "data"])
+    rows = written(in_batches(contexts.select("key", "rid", "start", "data"), deal,
+                              "key long, rid long, start long, stop long, data binary"), "redealt")
+    return rows.filter("data is not null").select("key", "rid", "start", "data"), \
+        rows.filter("data is null").select("rid", "start", "stop")
+
+
+def _crowded(contexts: DataFrame) -> DataFrame | None:
+    """The keys with more than CONTEXTS contexts, if there are any."""
+    hot = contexts.groupBy("key").count().filter(F.col("count") > CONTEXTS).select("key", F.lit(True).alias("hot"))
+    hot = written(hot, "crowded-anchors")
+    return hot if hot.limit(1).count() else None
+
+
+def _spans(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans (rid, start, stop) of windows that an earlier context of their key has."""
+    hot = _crowded(contexts)
+    if hot is None:
+        return _compared(contexts, length)
+    marked = contexts.join(hot, "key", "left")
+    again, settled = _redealt(marked.filter("hot"), length)
+    out = _compared(marked.filter("hot is null"), length).unionByName(settled)
+    hot = _crowded(again)
+    if hot is None:
+        return out.unionByName(_compared(again, length))
+    marked = again.join(hot, "key", "left")
+    return out.unionByName(_compared(marked.filter("hot is null"), length)).unionByName(_spread(marked.filter("hot"), length))
+
+
 def _spread(contexts: DataFrame, length: int) -> DataFrame:
     """The same spans for keys with very many contexts, whose windows are dealt out one by one.
 
@@ -369,12 +443,7 @@ def removed(docs: DataFrame, texts: bool = False, length: int = LENGTH) -> DataF
     found = written(scanned(suffixes(docs, length), length), "suffix-marks")
     first = written(_first_pass(docs, found, texts, length), "suffix-pass")
     contexts = first.filter(F.col("kind") == CONTEXT)
-    hot = contexts.groupBy("key").count().filter(F.col("count") > CONTEXTS).select("key", F.lit(True).alias("hot"))
-    if hot.limit(1).count():
-        marked = contexts.join(hot, "key", "left")
-        spans = _compared(marked.filter("hot is null"), length).unionByName(_spread(marked.filter("hot"), length))
-    else:
-        spans = _compared(contexts, length)
+    spans = _spans(contexts, length)
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
