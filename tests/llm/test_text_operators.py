@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -88,11 +90,66 @@ def test_mix_takes_whole_epochs_and_an_exact_prefix(spark, docs, nothing):
         assert 0 <= r.mix_tokens_taken <= r.mix_tokens
     assert {p: n for p, n in taken.items() if n} == {p: n for p, n in want.items() if n}
     assert max(Counter((r.doc_id, r.mix_epoch) for r in rows).values()) == 1
-    assert all(len(r.text.split()) == r.mix_tokens_taken for r in mixing.cut_texts(out).collect()
-               if r.mix_tokens_taken < r.mix_tokens and r.mix_tokens_taken)
+    packed = mixing.mixed(docs, levels, {("en",): 5.0}, 0.9, 3, 7)
+    cut = Counter((r.doc_id, r.rid, r.text) for r in mixing.cut_texts(packed).collect())
+    whole = docs.select("doc_id", "text").collect()
+    for r in rows:
+        text = next(w.text for w in whole if w.doc_id == r.doc_id)
+        if r.mix_tokens_taken < r.mix_tokens:  # the first words, and what is between them, as they are
+            text = re.match(r"(?:[ \t-\r]*[^ \t-\r]+){%d}" % r.mix_tokens_taken, text).group() if r.mix_tokens_taken else ""
+        cut[(r.doc_id, r.rid, text)] -= 1
+    assert not any(cut.values())
     assert mixing.mixed_rows(nothing, levels, {}, 0.5, 2, 7).count() == 0
 
 
+def plain_hash(*values):
+    """The engine's 64-bit hash of numbers and strings, as an unsigned number, by the published algorithm."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else (v & (2 ** 64 - 1)).to_bytes(8, "little") if not isinstance(v, Int) else \
+                (v.v & (2 ** 32 - 1)).to_bytes(4, "little")
+            seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed
+
+
+class Int:
+    def __init__(self, v):
+        self.v = v
+
+
+def test_epoch_prefix_takes_the_rows_that_its_order_says(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(0, 30)), ("a", "b", "c")[min(2, rng.randrange(6))], "x", "y", "z") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_path string, mix_tokens string, row string").repartition(3)
+    out = mixing.mixed_rows(df, {"source": F.col("source")}, {("a",): 2.0}, 0.7, 2, 9)
+    assert out.columns == [*df.columns, "mix_path_", "mix_epoch", "mix_tokens_", "mix_tokens_taken"]
+    have = Counter()
+    for r in rows:
+        have[r[2]] += len(r[1].split())
+    want = mixing.budgets({(s,): 2 * n for s, n in have.items()}, {("a",): 2.0}, int(sum(have.values()) * 0.7))
+    expected = []
+    for (source,), budget in want.items():
+        own = [r for r in rows if r[2] == source]
+        whole, rest = divmod(budget, have[source])
+        expected += [(r[0], e, len(r[1].split())) for e in range(whole) for r in own]
+        for r in sorted(own, key=lambda r: (plain_hash(Int(9), Int(whole), r[0], r[1]), r[0])):
+            if rest <= 0:
+                break
+            expected.append((r[0], whole, min(rest, len(r[1].split()))))
+            rest -= len(r[1].split())
+    got = [(r.doc_id, r.mix_epoch, r.mix_tokens_taken) for r in out.collect()]
+    full = lambda rows: sorted(x for x in rows if x[2])  # noqa: E731  empty texts take nothing
+    assert full(got) == full(expected)
+    assert {r.mix_tokens for r in out.collect()} == {"y"} and {r.row for r in out.collect()} == {"z"}
+
+
+def test_ranges_grow_with_the_largest_leaf():
+    assert mixing.ranges_for(0) == mixing.RANGES
+    assert mixing.ranges_for(10 ** 9) >= 10 ** 9 // (2 * mixing.RANGE_ROWS)
+    assert mixing.ranges_for(10 ** 15) == mixing.MOST_RANGES
+
+
 # ---- quality rules and classifiers -----------------------------------------------------------
 
 def test_rule_statistics(texts):
@@ -584,14 +641,23 @@ def test_archive_query_equals_its_sql(spark):
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("n", F.lit(1)).withColumn("rid", F.lit("x"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("n", F.lit(1)).withColumn("rid", F.lit("x")) \
+                .withColumn("mix_tokens", F.col("doc_id")).withColumn("whole", F.col("doc_id"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder).cache()
         assert out.columns == docs.columns, name
         assert 0 < out.count() <= docs.count()
+        kept = {r.doc_id for r in out.select("doc_id").collect()}  # clashing columns keep their values
+        assert out.filter("n <> 1 or rid <> 'x' or mix_tokens <> doc_id or whole <> doc_id").count() == 0 and len(kept) == out.count()
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}
+    twice = spark.createDataFrame([(7, "w " * 80 + "Fine, it is so.", "en", "s", 1, "r", "m"), (7, "w " * 80 + "Fine, it is so.", "en", "s", 1, "r", "m"),
+                                   (None, "other text " * 60, "de", None, 2, "q", "k"), (7, None, None, "s", 3, "p", "j")],
+                                  "doc_id long, text string, lang string, source string, n_chars long, rid string, row string")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:  # ids that repeat
+        rows = stage(spark, twice, folder).collect()
+        assert rows and {(r.rid, r.row) for r in rows} <= {("r", "m"), ("q", "k"), ("p", "j")}, name
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0, name
