@@ -31,8 +31,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mix of four fifths of all words, each document at most once."""
-    rows = mixing.mixed_rows(docs, queries.document_levels(), queries.WEIGHTS, 0.8, 1, 17)
-    return counted(mixing.cut_texts(rows).select(*docs.columns), docs)
+    rows = mixing.mixed(docs, queries.document_levels(), queries.WEIGHTS, 0.8, 1, 17)
+    return counted(mixing.cut_texts(rows), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
