@@ -51,10 +51,19 @@ def profile_shape(tables: Mapping[str, DataFrame]) -> DataFrame:
         for name, df in tables.items())
 
 
+def row_digest(columns: Sequence[Column]) -> list[Column]:
+    """Two longs, equal for equal values (nulls included); different values share them in one of 2^128 pairs."""
+    cells = [c for v in columns for c in (v, v.isNull())]  # a null by itself leaves a hash as it is
+    return [F.xxhash64(F.lit(salt), *cells).alias(name) for salt, name in ((17, "__h"), (71, "__k"))]
+
+
 def dup_row_count(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Exact duplicate rows beyond the first; nulls count as equal."""
+    """Exact duplicate rows beyond the first; nulls count as equal.
+
+    Only 128-bit digests of the rows are shuffled, whatever their width.
+    """
     return stacked(
-        df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(
+        df.select(*row_digest([F.col(c) for c in df.columns])).groupBy("__h", "__k").agg(F.count("*").alias("n")).agg(
             F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows")).select(
             F.lit(name).alias("table_name"), "duplicate_rows")
         for name, df in tables.items())
@@ -140,50 +149,79 @@ def _broken(rule: Rule) -> Column:
     raise ValueError(f"not a row rule: {rule.kind}")
 
 
-def _encoded(columns: Sequence[str]) -> Column:
-    """One text for the values of some columns; different values never give the same text."""
-    parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
-             for v in (F.col(c).cast("string") for c in columns)]
-    return F.concat(*parts)
+def _row_rules(df: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """(rule, n) of the row-level rules of one table, from a single aggregate without groups."""
+    counts = [F.struct(F.lit(n).alias("rule"), F.count_if(_broken(r)).alias("n")) for n, r in rules]
+    return df.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
-def _cells(name: str, rules: Sequence[tuple[int, Rule]]) -> list[Column]:
-    """What one row of a table contributes: (rule, key, rows of its own, whether it is the referenced side)."""
-    def cell(n: int, key: Column, own: Column, parent: bool) -> Column:
-        return F.struct(F.lit(n).alias("rule"), key.alias("key"), own.cast("long").alias("own"), F.lit(parent).alias("parent"))
-    cells = []
+def _domains(rules: Sequence[tuple[int, Rule]]) -> dict[tuple, dict]:
+    """Keys that rules are about, as (table, columns) -> uniqueness rules of that key, and the references to it."""
+    out: dict[tuple, dict] = {}
     for n, r in rules:
-        if r.kind == "foreign_key" and r.arg[0] == name:
-            cells.append(cell(n, _encoded(CLEAN_KEYS[name]), F.lit(0), True))
-        if r.table != name:
-            continue
-        if r.kind in ("unique", "foreign_key"):
+        if r.kind == "unique":
+            out.setdefault((r.table, tuple(r.columns)), {"unique": [], "children": []})["unique"].append(n)
+        elif r.kind == "foreign_key":
+            parent = r.arg[0]
+            out.setdefault((parent, tuple(CLEAN_KEYS[parent])), {"unique": [], "children": []})["children"].append((n, r))
+    return out
+
+
+def _key_rules(tables: Mapping[str, DataFrame], rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """(rule, n) of uniqueness and references.
+
+    A table's rows give one slim cell per key that they hold or refer to: the key's number, its 128-bit digest, and which
+    side they are. A key's rows and all references to it meet in one group, counted before the one shuffle.
+    """
+    domains = list(_domains(rules).items())
+    most = max((len(d["children"]) for _, d in domains), default=0)
+
+    def cell(number: int, df: DataFrame, columns: Sequence[str], kinds: Sequence[str], rows: Column, slot: int | None) -> Column:
+        # both sides of a reference are read as one type, as text where they differ
+        values = [F.col(c) if df.schema[c].dataType.simpleString() == kind else F.col(c).cast(kind) for c, kind in zip(columns, kinds)]
+        counts = [(rows if slot == i else F.lit(0)).cast("long").alias(f"child{i}") for i in range(most)]
+        return F.struct(F.lit(number).alias("domain"), *row_digest(values),
+                        (rows if slot is None else F.lit(0)).cast("long").alias("own"), *counts)
+    cells: dict[str, list[Column]] = {}
+    for number, ((table, columns), domain) in enumerate(domains):
+        sides = [(table, columns)] + [(r.table, r.columns) for _, r in domain["children"]]
+        types = [[tables[t].schema[c].dataType.simpleString() for c in some] for t, some in sides]
+        kinds = [k[0] if len(set(k)) == 1 else "string" for k in zip(*types)]
+        cells.setdefault(table, []).append(cell(number, tables[table], columns, kinds, F.lit(1), None))
+        for slot, (_, r) in enumerate(domain["children"]):
             known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
-            own = F.lit(1) if r.kind == "unique" else known.cast("int")
-            cells.append(cell(n, _encoded(r.columns), own, False))
-        else:
-            cells.append(cell(n, F.lit(""), F.coalesce(_broken(r), F.lit(False)).cast("int"), False))
-    return cells
+            cells.setdefault(r.table, []).append(cell(number, tables[r.table], r.columns, kinds, known.cast("int"), slot))
+    rows = stacked(tables[t].select(F.inline(F.array(*some))) for t, some in cells.items())
+    children = [f"child{i}" for i in range(most)]
+    keys = rows.groupBy("domain", "__h", "__k").agg(F.sum("own").alias("own"), *[F.sum(c).alias(c) for c in children])
+    found = keys.groupBy("domain").agg(
+        F.sum(F.greatest(F.col("own") - 1, F.lit(0))).alias("again"),
+        *[F.sum(F.when(F.col("own") == 0, F.col(c)).otherwise(0)).alias(c) for c in children])
+    wanted = []
+    for number, (_, domain) in enumerate(domains):
+        wanted += [(number, n, "again") for n in domain["unique"]]
+        wanted += [(number, n, f"child{i}") for i, (n, _) in enumerate(domain["children"])]
+    pick = [F.when(F.col("domain") == d, F.struct(F.lit(n).alias("rule"), F.col(c).alias("n"))) for d, n, c in wanted]
+    return found.select(F.explode(F.array_compact(F.array(*pick))).alias("r")).select("r.rule", "r.n")
 
 
 def check_constraints(tables: Mapping[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
     """One row per rule with its number of violations.
 
-    Every table is read once: its rows contribute to all rules that it has a part in. Counts per
-    rule and key are combined before the one shuffle, so row rules and hot keys cost a row per task.
+    Two tiers: rules about single rows are conditional counts in one aggregate per table; rules across rows (unique keys,
+    references) count slim key digests, all in one shuffle.
     """
     numbered = list(enumerate(rules))
-    names = [t for t in tables if any(r.table == t or r.kind == "foreign_key" and r.arg[0] == t for r in rules)]
-    rows = stacked(tables[t].select(F.inline(F.array(*_cells(t, numbered)))) for t in names)
-    keys = rows.groupBy("rule", "key").agg(F.sum("own").alias("own"), F.max("parent").alias("parent"))
-    kinds = inline_rows(rows.sparkSession, [(n, r.table, r.kind, ",".join(r.columns)) for n, r in numbered],
+    across = [(n, r) for n, r in numbered if r.kind in ("unique", "foreign_key")]
+    parts = [_key_rules(tables, across)] if across else []
+    for table in tables:
+        own = [(n, r) for n, r in numbered if r.table == table and r.kind not in ("unique", "foreign_key")]
+        if own:
+            parts.append(_row_rules(tables[table], own))
+    found = stacked(parts)
+    kinds = inline_rows(found.sparkSession, [(n, r.table, r.kind, ",".join(r.columns)) for n, r in numbered],
                         "rule int, table_name string, kind string, columns string")
-    per_rule = keys.join(F.broadcast(kinds), "rule")  # one row for each rule
-    wrong = (F.when(F.col("kind") == "unique", F.greatest(F.col("own") - 1, F.lit(0)))
-             .when(F.col("kind") == "foreign_key", F.when(F.col("parent"), F.lit(0)).otherwise(F.col("own")))
-             .otherwise(F.col("own")))
-    found = per_rule.groupBy("rule").agg(F.sum(wrong).alias("n"))
-    return kinds.join(found, "rule", "left").select(
+    return kinds.join(F.broadcast(found), "rule", "left").select(  # one row for each rule
         "table_name", F.col("kind").alias("rule"), "columns", F.coalesce("n", F.lit(0)).alias("violations"))
 
 

@@ -13,6 +13,7 @@ bounds and move rows; a checkpoint also survives lost executors.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,20 +77,57 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str,
     return with_position(globally_sorted(df, order), name, total)
 
 
-def tile_of(position: Column, total: Column, k: int) -> Column:
-    """The NTILE number of a 1-based position: sizes differ by at most one, larger tiles first."""
-    small = F.floor(total / k)
-    larger = total % k
-    in_larger = larger * (small + 1)
-    return F.when(position <= in_larger, F.floor((position - 1) / (small + 1)) + 1).otherwise(
-        larger + F.floor(F.try_divide(position - 1 - in_larger, small)) + 1).cast("int")
+#: Rank error of the sketch that brackets a bound, as one part in so many rows.
+_ACCURACY = 10_000
 
 
-def global_ntile(df: DataFrame, k: int, order: Sequence[str | Column], name: str) -> DataFrame:
-    """``ntile(k) over (order by ...)`` over the whole table."""
-    numbered = global_row_number(df, order, "__pos", "__total")
-    return numbered.withColumn(name, tile_of(F.col("__pos"), F.col("__total"), k)).drop(
-        "__pos", "__total")
+def tile_bounds(rows: DataFrame, k: int, value: str, key: str) -> list[tuple]:
+    """The (value, key) of the last row of every tile but the last, in ascending order of both.
+
+    Nothing is sorted as a whole: a mergeable sketch brackets each bound, the rows below the bracket are counted, and only
+    those inside it (some ten thousandths of all, and ties of the bound) are ordered, by a distributed sort.
+    """
+    n = rows.count()
+    wanted = [p for p in (sum(n // k + (t < n % k) for t in range(tile)) for tile in range(1, k)) if p]
+    if not wanted:
+        return []
+    wide = 4 / _ACCURACY
+    shares = [min(1.0, max(0.0, p / n + side)) for p in wanted for side in (-wide, wide)]
+    edges = rows.agg(F.percentile_approx(value, shares, _ACCURACY)).first()[0]  # two numbers per tile
+    low, high = edges[::2], edges[1::2]
+    below = rows.agg(*[F.count_if(F.col(value) < F.lit(v)).alias(f"b{i}") for i, v in enumerate(low)],
+                     *[F.count_if(F.col(value) <= F.lit(v)).alias(f"u{i}") for i, v in enumerate(high)]).first()
+    for i, p in enumerate(wanted):
+        if not below[f"b{i}"] < p <= below[f"u{i}"]:
+            raise RuntimeError("the sketch's bracket misses its bound")
+    inside = [F.col(value).between(F.lit(a), F.lit(b)) for a, b in zip(low, high)]
+    near = rows.filter(reduce(lambda a, b: a | b, inside)).select(value, key)
+    placed = with_position(globally_sorted(near, [value, key]), "__position")
+    first = placed.agg(*[F.min(F.when(F.col(value) >= F.lit(a), F.col("__position"))).alias(f"f{i}") for i, a in enumerate(low)]).first()
+    at = {p: first[f"f{i}"] + p - below[f"b{i}"] - 1 for i, p in enumerate(wanted)}
+    # one row per tile
+    found = {r["__position"]: (r[value], r[key]) for r in placed.filter(F.col("__position").isin(list(set(at.values())))).collect()}
+    return [found[at[p]] for p in wanted]
+
+
+def tile_by_bounds(value: Column, key: Column, bounds: Sequence[tuple], kinds: Sequence[str]) -> Column:
+    """The tile of a row, as one more than the number of bounds that it lies beyond."""
+    out = F.lit(1)
+    for at, last in bounds:
+        at, last = F.lit(at).cast(kinds[0]), F.lit(last).cast(kinds[1])
+        out += ((value > at) | ((value == at) & (key > last))).cast("int")
+    return out
+
+
+def ntile_of(rows: DataFrame, k: int, value: str, key: str) -> Column:
+    """``ntile(k) over (order by value, key)`` of rows whose (value, key) are distinct and not null, as a column of them.
+
+    ``rows`` are read three times; give a table or a checkpoint.
+    """
+    bounds = tile_bounds(rows, k, value, key)
+    # with fewer rows than tiles the bounds are all rows
+    kinds = [rows.schema[c].dataType.simpleString() for c in (value, key)]
+    return tile_by_bounds(F.col(value), F.col(key), bounds, kinds)
 
 
 def running_sums(df: DataFrame, order: Sequence[str | Column],

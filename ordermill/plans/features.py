@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordermill.functions import columns as C
 from ordermill.operators.cleaning import fill_unknown
-from ordermill.operators.ranking import globally_sorted, with_position
 from ordermill.operators.shaping import attach_row, left_join_all, top_n
 from ordermill.plans.questions import delivered_dated
+from ordermill.session import kept, written
 
 # The model's columns.
 NUMERIC = ("delivery_delay_days", "delivery_days", "price_total", "freight_total", "item_count",
@@ -95,26 +95,48 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+#: Hash digits by which rows are counted, and how many rows around a cut may be ordered.
+_DIGITS, _NEAR = 4, 1_000_000
+
+
+def first_by_hash(rows: DataFrame, label: str, wanted: Column, key: str) -> DataFrame:
+    """Per label the place (``cut``) of its ``wanted``-th row by (``__hash``, key); none where nothing is wanted.
+
+    Nothing is sorted: rows are counted per range of the hash, the range in which the wanted row lies is divided further
+    until few rows are left, and only these are ordered.
+    """
+    state = rows.groupBy(label).agg(F.count("*").alias("__size")).withColumn("__left", wanted.cast("long")) \
+                .filter("__left > 0").select(label, "__left", F.lit("").alias("__range"))
+    if state.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values")
+    digits, near = 0, rows
+    while True:
+        digits += _DIGITS
+        # one row per label
+        inside = near.join(F.broadcast(state), label).filter(F.substring("__hash", 1, digits - _DIGITS) == F.col("__range"))
+        counts = inside.groupBy(label, "__left", F.substring("__hash", 1, digits).alias("__range")).agg(F.count("*").alias("__n"))
+        upto = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy(label).orderBy("__range")))  # ranges of one range
+        hit = kept(upto.filter((F.col("__upto") >= F.col("__left")) & (F.col("__upto") - F.col("__n") < F.col("__left"))))
+        state = hit.select(label, (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__left"), "__range")
+        if (hit.agg(F.sum("__n")).first()[0] or 0) <= _NEAR or digits >= 32:
+            break
+    last = near.join(F.broadcast(state), label).filter(F.substring("__hash", 1, digits) == F.col("__range"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("__hash", key))
+    return last.withColumn("__place", place).filter("__place = __left").select(label, F.struct("__hash", key).alias("cut"))
+
+
 def stratified_split(df: DataFrame, label: str = LABEL, key: str = "order_id",
                      fraction: float = 0.2, seed: int = SEED) -> DataFrame:
-    """Mark exactly the rounded fraction of every label as test rows (``is_test``).
+    """Mark exactly the rounded fraction of every label as test rows (``is_test``): its first ones by a hash of the key.
 
-    Rows are sorted once by label and hash over many tasks; a label's rank is its
-    global position minus that of the label's first row.
+    The rows are written once, as they come; the hash at which a label's test rows end is found by counting.
     """
-    marked = df.withColumn("__hash", hash_order(key, seed))
-    placed = with_position(globally_sorted(marked, [label, "__hash", key]), "__position")
-    # a row without a label has no side; few labels are what makes them a broadcast
-    placed = placed.withColumn(label, F.coalesce(F.col(label), F.raise_error(F.lit(f"a row has no {label}")).cast(
-        placed.schema[label].dataType)))
-    labels = placed.groupBy(label).agg((F.min("__position") - 1).alias("__before"),
-                                       F.count("*").alias("__size"))
-    if labels.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"{label} has more than {MAX_LABELS} values")
-    wanted = F.round(F.lit(fraction) * F.col("__size"))
-    return placed.join(F.broadcast(labels), label).withColumn(
-        "is_test", F.col("__position") - F.col("__before") <= wanted).select(
-        *df.columns, "is_test")
+    # a row without a label has no side
+    labelled = F.coalesce(F.col(label), F.raise_error(F.lit(f"a row has no {label}")).cast(df.schema[label].dataType))
+    rows = written(df.withColumn(label, labelled).withColumn("__hash", hash_order(key, seed)), "split")
+    cuts = first_by_hash(rows.select(label, "__hash", key), label, F.round(F.lit(fraction) * F.col("__size")), key)
+    return rows.join(F.broadcast(cuts), label, "left").select(  # one row per label
+        *df.columns, F.coalesce(F.struct("__hash", key) <= F.col("cut"), F.lit(False)).alias("is_test"))
 
 
 def split_counts(split: DataFrame, label: str = LABEL) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ordermill.functions import columns as C
 from ordermill.operators.cleaning import fill_unknown
-from ordermill.operators.ranking import globally_sorted, tile_of, with_position
+from ordermill.operators.ranking import ntile_of
 from ordermill.operators.shaping import (attach_row, growth_over_previous_row, share_over, top_n)
+from ordermill.session import kept
 
 
 def delivered_status(orders: DataFrame) -> DataFrame:
@@ -114,31 +115,24 @@ def cohort_repeat(orders: DataFrame, customers: DataFrame) -> DataFrame:
 def rfm(orders: DataFrame, items: DataFrame, customers: DataFrame, k: int = 5) -> DataFrame:
     """Recency, frequency and monetary value with scores, one row per person.
 
-    Both tile scores need an order over all people. Each comes from one
-    range-partitioned sort; sorting by last purchase date ascending is the same
-    order as recency descending and needs no anchor yet. Rows come out by
-    monetary value, largest first.
+    Both tile scores need places among all people. These come from counts around the tiles' bounds, so people are only
+    sorted for the output, by monetary value, largest first. Last purchase date ascending is the same order as recency
+    descending.
     """
     valued = delivered_status(orders).select(
         "order_id", "customer_id", "order_purchase_timestamp").join(
         order_revenue(items), "order_id")
-    people = person_orders(valued, customers).groupBy("customer_unique_id").agg(
+    people = kept(person_orders(valued, customers).groupBy("customer_unique_id").agg(
         F.max("order_purchase_timestamp").alias("last_purchase"),
         F.count("*").alias("frequency"), F.sum("revenue").alias("monetary"))
-
-    by_recency = globally_sorted(people, [F.to_date("last_purchase"), "customer_unique_id"])
-    anchor = by_recency.agg(F.max("last_purchase").alias("anchor"))
-    scored = attach_row(with_position(by_recency, "position", "people"), anchor).select(
-        "customer_unique_id",
-        F.datediff("anchor", "last_purchase").alias("recency_days"), "frequency", "monetary",
-        tile_of(F.col("position"), F.col("people"), k).alias("r_score"),
-        C.frequency_score(F.col("frequency")).alias("f_score"))
-
-    by_value = globally_sorted(scored, [F.col("monetary").desc(), F.col("customer_unique_id").desc()])
-    ranked = with_position(by_value, "position", "people")
-    from_smallest = F.col("people") - F.col("position") + 1
-    return ranked.withColumn("m_score", tile_of(from_smallest, F.col("people"), k)).drop(
-        "position", "people")
+        .withColumn("last_day", F.unix_date(F.to_date("last_purchase"))))
+    anchor = people.agg(F.max("last_purchase").alias("anchor"))
+    return attach_row(people, anchor).select(
+        "customer_unique_id", F.datediff("anchor", "last_purchase").alias("recency_days"), "frequency", "monetary",
+        ntile_of(people, k, "last_day", "customer_unique_id").alias("r_score"),
+        C.frequency_score(F.col("frequency")).alias("f_score"),
+        ntile_of(people, k, "monetary", "customer_unique_id").alias("m_score")) \
+        .orderBy(F.col("monetary").desc(), F.col("customer_unique_id").desc())
 
 
 # Printed types of the computed columns.

@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from market import tables
@@ -40,6 +41,18 @@ def test_split_is_exact_stratified_and_repeatable(many_partitions):
     assert split.filter("is_test").exceptAll(other.filter("is_test")).count() > 0
 
 
+def test_split_cut_is_found_by_counting(many_partitions, monkeypatch):
+    monkeypatch.setattr(features, "_DIGITS", 1)
+    monkeypatch.setattr(features, "_NEAR", 3)  # several rounds, then a few rows are ordered
+    df = labelled(many_partitions, 2000)
+    order = Window.partitionBy("is_low_review").orderBy("h", "order_id")
+    want = df.withColumn("h", features.hash_order("order_id", features.SEED)).withColumn("rn", F.row_number().over(order)) \
+             .withColumn("is_test", F.col("rn") <= F.when(F.col("is_low_review") == 1, 50).otherwise(350)).drop("h", "rn")
+    assert features.stratified_split(df).exceptAll(want).count() == 0
+    assert features.stratified_split(df.filter("order_id < 3")).filter("is_test").count() == 0
+    assert features.stratified_split(df.limit(0)).count() == 0
+
+
 def test_weights(spark):
     got = {r.is_low_review: (r.n, r.weight, r.imbalance_ratio)
            for r in features.balanced_weights(labelled(spark, 800)).collect()}

@@ -22,23 +22,30 @@ def tiles(n, k):
     return out
 
 
-@pytest.mark.parametrize("n,k", [(12, 5), (5, 5), (3, 5), (101, 7), (1, 1)])
-def test_tile_of_matches_the_definition(spark, n, k):
-    got = spark.range(1, n + 1).select(ranking.tile_of(F.col("id"), F.lit(n), k).alias("t")).collect()
+@pytest.mark.parametrize("n,k", [(12, 5), (5, 5), (3, 5), (101, 7), (1, 1), (0, 3)])
+def test_tiles_match_the_definition(spark, n, k):
+    rows = spark.range(1, n + 1).select("id", (F.col("id") % 4).alias("v"))
+    got = rows.select("id", "v", ranking.ntile_of(rows, k, "v", "id").alias("t")).orderBy("v", "id").collect()
     assert [r.t for r in got] == tiles(n, k)
 
 
-def test_global_rows_and_tiles_equal_the_windows(many_partitions):
-    # a third of the rows share one value
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_tiles_equal_the_window(many_partitions, monkeypatch, accuracy):
+    # a third of the rows share one value, and a bound falls inside it
+    monkeypatch.setattr(ranking, "_ACCURACY", accuracy)
+    rows = spark_rows(many_partitions, 3000).select("id", F.col("v").cast("decimal(12,2)").alias("v"))
+    got = rows.select("id", ranking.ntile_of(rows, 20, "v", "id").alias("t"))
+    want = rows.select("id", F.ntile(20).over(Window.orderBy("v", "id")).alias("t"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
+def test_global_rows_equal_the_window(many_partitions):
     rows = spark_rows(many_partitions, 3000)
     order = Window.orderBy(F.col("v").desc(), "id")
-    want = rows.withColumn("rn", F.row_number().over(order)).withColumn("t", F.ntile(5).over(order))
+    want = rows.withColumn("rn", F.row_number().over(order))
     got = ranking.global_row_number(rows, [F.col("v").desc(), "id"], "rn", "total")
     assert got.select("total").distinct().collect()[0][0] == 3000
-    tiled = ranking.global_ntile(rows, 5, [F.col("v").desc(), "id"], "t")
-    both = got.join(tiled, ["id", "v"]).select("id", "v", "rn", "t")
-    assert both.exceptAll(want.select("id", "v", "rn", "t")).count() == 0
-    assert both.count() == 3000
+    assert got.select("id", "v", "rn").exceptAll(want).count() == 0 and got.count() == 3000
 
 
 def spark_rows(spark, n):
