@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ordermill.models import attribution, evaluation, node_table, review_model
 from ordermill.operators import cleaning, quality, shaping
 from ordermill.operators.shaping import inline_rows, union_rows
-from ordermill.plans import explore, features, metrics, pages, questions, star
+from ordermill.plans import explore, features, metrics, pages, questions, sketches, star
 from ordermill.schemas import CLEAN_TABLES, CONSTRAINTS, DATE_COLUMNS, RAW, Rule
 from ordermill.session import scratch_path, written
 from ordermill.sources import files, roles
@@ -164,6 +164,25 @@ def _measures(*names: str, by=(), where=None) -> Query:
     return lambda s, d: metrics.evaluate(_star(s, d), names, by, where)
 
 
+def _sketched(dims: tuple[str, ...], by: tuple[str, ...], where=None) -> Query:
+    """Exact counts of persons and orders, and whether those of the kept sketches are within four standard errors."""
+    def run(spark, folder):
+        shop = _star(spark, folder)
+        near = sketches.estimated(sketches.monthly_sketches(shop, dims), by, where)
+        facts = metrics.delivered_facts(shop, {*dims, *(c for c in by if c not in star.DATE_COLUMNS), "customer_unique_id"})
+        dates = {c: star.DATE_COLUMNS[c](F.col("order_date")) for c in (*by, *(where or {})) if c in star.DATE_COLUMNS}
+        facts = facts.withColumns(dates)
+        for column, values in (where or {}).items():
+            facts = facts.filter(F.col(column).isin(list(values)))
+        counts = {name: F.count_distinct(c).alias(f"exact_{name}") for name, c in sketches.COUNTED.items()}
+        exact = facts.groupBy(*by).agg(*counts.values())
+        both = near.join(exact, list(by)) if by else near.crossJoin(F.broadcast(exact))
+        within = [(F.abs(F.col(n) - F.col(f"exact_{n}")) <= 4 * sketches.ERROR * F.col(f"exact_{n}") + 1).alias(f"{n}_within")
+                  for n in sketches.COUNTED]
+        return both.select(*by, *[f"exact_{n}" for n in sketches.COUNTED], *within)
+    return run
+
+
 def _page(visual: Callable[..., DataFrame], where=None) -> Query:
     return lambda s, d: visual(_star(s, d), where)
 
@@ -187,6 +206,8 @@ STAR: dict[str, Query] = {
     "mom_by_category": _measures("total_revenue", "mom_growth", by=["category", "year_month"],
                                  where={"year": [1999]}),
     "repeat_rate_by_year": _measures("repeat_customer_rate", by=["year"]),
+    "sketched_by_year": _sketched((), ("year",)),
+    "sketched_by_category": _sketched(("category",), ("category",), {"year": [1996, 1997]}),
     "overview_top_categories": _page(pages.top_categories),
     "overview_top_states": _page(pages.top_states, {"year": [1996]}),
     "category_economics": _page(pages.category_economics),
@@ -516,7 +537,14 @@ def _register_views(spark, folder):
     return names.join(counts, "view")
 
 
+def _source_manifest(spark, folder):
+    """The generic tables, and one that is not there."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "returns")
+    return files.source_manifest(spark, folder, [f"{n}.parquet" for n in names]).select("file_name", "table_rows", "missing")
+
+
 SOURCES: dict[str, Query] = {
+    "source_manifest": _source_manifest,
     "inline_rows": _inline_rows,
     "csv_reviews": _csv_reviews,
     **{f"csv_{t}": _csv(t) for t in RAW if t != "reviews"},

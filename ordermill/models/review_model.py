@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,6 +12,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssemble
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ordermill.models import evaluation, node_table
 from ordermill.operators.quality import stacked
@@ -156,18 +158,16 @@ def fit(train: DataFrame, estimator: str, preparation: Preparation | None = None
     return ReviewModel(preparation, ESTIMATORS[estimator](rows, **options))
 
 
-def as_saved(model: ReviewModel, path: str) -> node_table.SavedModel:
+def as_saved(spark: SparkSession, model: ReviewModel, path: str) -> node_table.SavedModel:
     """The model saved below ``path`` as a table of its nodes or coefficients, and read again."""
     fitted, preparation = model.fitted, model.preparation
     if hasattr(fitted, "coefficients"):
-        spark = SparkSession.getActiveSession()
         weights = [(i, 0, i, None, None, None, float(w), None) for i, w in enumerate(fitted.coefficients.toArray())]
         nodes = inline_rows(spark, [*weights, (-1, 0, None, None, None, None, float(fitted.intercept), None)], node_table.NODES)
         link, depth = node_table.LOG_ODDS, 0
     else:
         raw = f"{path}/spark"
         fitted.write().overwrite().save(raw)
-        spark = SparkSession.getActiveSession()
         nodes, link = node_table.nodes_of(spark, raw)
         depth = fitted.getMaxDepth()
     node_table.SavedModel(nodes, preparation.stats, preparation.levels, link, depth).save(path)
@@ -196,8 +196,12 @@ def saved_models(train: DataFrame, options: Mapping[str, dict], min_count: int =
     if todo:
         preparation = prepare(train, min_count)
         rows = prepared(train, preparation, key)
-        for name, path in todo.items():
-            out[name] = as_saved(fit(train, name, preparation, key, rows, **options[name]), path)
+
+        def fitted(name: str) -> node_table.SavedModel:
+            return as_saved(spark, fit(train, name, preparation, key, rows, **options[name]), todo[name])
+        # fits wait for one another's many small jobs, so they run side by side
+        with ThreadPoolExecutor(len(todo)) as pool:
+            out |= dict(zip(todo, pool.map(inheritable_thread_target(spark)(fitted), todo)))
     return out
 
 

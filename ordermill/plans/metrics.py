@@ -86,6 +86,11 @@ def _delivered(star: Star, used: set[str], scored: bool, where: Slicers, growth:
     return facts
 
 
+def delivered_facts(star: Star, used: set[str]) -> DataFrame:
+    """Delivered orders with the dimension columns in ``used``, one row per order (and product or seller, if used)."""
+    return _delivered(star, used, False, {}, False)
+
+
 def _per_order(facts: DataFrame, star: Star, sets: Sequence[Sequence[str]], person: Sequence[str], own: Sequence[str]) -> DataFrame:
     """One row per order and group of each of ``sets``, numbered ``__set``: an order's own values count once in each."""
     columns = [c for c in dict.fromkeys(c for s in sets for c in s) if c not in person]

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from market import build, tables
 from ordermill.operators.shaping import inline_rows
-from ordermill.plans import explore, metrics, pages, questions
-from ordermill.plans.star import build_star
+from ordermill.plans import explore, metrics, pages, questions, sketches
+from ordermill.plans.star import Star, build_star
 
 D = Decimal
 
@@ -155,6 +155,55 @@ def test_unknown_measure_is_refused(star):
         metrics.evaluate(star, ["profit"])
 
 
+def test_sketches_add_up_like_sets(spark):
+    """Forty thousand orders of ten thousand people over two years: any union of kept sketches against exact counts."""
+    orders = spark.range(40_000).select(
+        F.col("id").alias("order_id"), F.col("id").alias("customer_id"), F.lit(1).alias("is_delivered"),
+        F.date_add(F.lit(date(2017, 1, 1)), (F.col("id") * 7919 % 730).cast("int")).alias("order_date"),
+        F.lit(1).alias("delivery_days"), F.lit(0).alias("delivery_delay_days"), F.lit(0).alias("is_late"))
+    items = orders.select("order_id", F.lit("p").alias("product_id"), F.lit("s").alias("seller_id"),
+                          F.lit(D("1.00")).alias("price"), F.lit(D("0.50")).alias("freight_value"))
+    people = orders.select("customer_id", F.expr("customer_id * 104729 % 10000").alias("customer_unique_id"),
+                           (F.col("customer_id") % 5).cast("string").alias("customer_state"))
+    shop = Star(fact=items, items=items, orders=orders, scores=None, customer=people,
+                product=spark.createDataFrame([("p", "toys")], "product_id string, category string"),
+                seller=spark.createDataFrame([("s", "SP")], "seller_id string, seller_state string"), calendar=lambda: None)
+    kept = sketches.monthly_sketches(shop, ["customer_state"]).cache()
+    assert kept.count() == 24 * 5
+    facts = orders.join(people, "customer_id").withColumn("year", F.year("order_date"))
+    for by, where in (((), None), (("year",), None), (("customer_state",), {"year": [2018]})):
+        got = {tuple(r[c] for c in by): (r.persons, r.orders) for r in sketches.estimated(kept, by, where).collect()}
+        rows = facts if where is None else facts.filter("year = 2018")
+        for r in rows.groupBy(*by).agg(F.count_distinct("customer_unique_id").alias("p"), F.count_distinct("order_id").alias("o")).collect():
+            persons, placed = got[tuple(r[c] for c in by)]
+            assert abs(persons - r.p) <= 4 * sketches.ERROR * r.p and abs(placed - r.o) <= 4 * sketches.ERROR * r.o
+    with pytest.raises(ValueError):
+        sketches.estimated(kept, ["category"])
+    with pytest.raises(ValueError):
+        sketches.monthly_sketches(shop, ["year"])
+
+
+def test_a_page_reads_every_table_once(star):
+    """All visuals of a page come from one scan of each table, and equal the measures evaluated one by one."""
+    page = pages.whole_page(star, pages.OVERVIEW, {"year": [2016, 2017]})
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") <= 5  # items, orders, scores, products, customers
+    for name, (measures, by) in pages.OVERVIEW.items():
+        one = metrics.evaluate(star, measures, by, {"year": [2016, 2017]})
+        cut = metrics.select_visual(page, name, (measures, by))
+        assert sorted(map(str, cut.collect())) == sorted(map(str, one.collect())), name
+    cards = page.filter("visual = 'cards'").first()
+    assert (cards.total_revenue_label, cards.total_orders_label, cards.avg_order_value_label) == ("168", "4", "42.12")
+    months = {r.year_month_label: r.mom_growth_label for r in page.filter("visual = 'monthly_revenue'").collect()}
+    assert months["Oct 2016"] == "-51.9%" and months["Nov 2016"] == "-100.0%" and months["Sep 2016"] is None
+
+
+def test_an_empty_selection_still_has_cards(star):
+    rows = metrics.evaluate_all(star, pages.CUSTOMERS, {"year": [2018]})
+    cards = metrics.select_visual(rows, "cards", pages.CUSTOMERS["cards"]).first()
+    assert (cards.total_orders, cards.repeat_customer_rate) == (0, None)
+
+
 def test_pages(star):
     overview = pages.page_overview(star)
     assert overview["cards"].first().total_revenue == D("168.50")
