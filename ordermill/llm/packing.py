@@ -4,28 +4,41 @@
 ``block_rows`` rows each and packs every block on its own: best fit in falling order of length, then local search.
 The search takes the emptiest sequence and moves documents out of it, exchanges one for one, two for one or one for
 two with other underfull sequences, always so that the sum of squared fills grows, until sequences are empty or the
-block holds as few as its tokens allow. A block loses less than one sequence against packing everything at once.
+block holds as few as its tokens allow. Then the pieces of all sequences with more than ``SLACK`` of room are dealt anew,
+other pieces together, and packed again, round after round, until rounds bring nothing or one block holds them all; so
+lengths that only fit those of other blocks meet them.
 
-Nulls and empty texts have only the end id. Repeated rows are packed as often as they come; equal lengths are taken
-in (doc_id, piece) order.
+The search is local: it gives up after ``TRIES`` of the emptiest sequences in a row, considers pairs of a sequence's rows
+that lie within ``NEAR`` places, and no exchange of more rows. So a packing can miss the fewest sequences possible; nothing
+is left out of it. README.md has figures.
+
+Nulls and empty texts have only the end id; an empty table gives no rows. Repeated rows are packed as often as they come;
+equal lengths are taken in (doc_id, piece) order. Very long texts are cut into pieces. Other columns of the pieces stay;
+``sequence_id`` and ``offset`` are added, so the pieces may not have them.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.llm.common import in_batches, texts_of, word_hashes, written
 
 #: Distinct strings between white space that a Python worker remembers; beyond it all go.
-CACHE = 1_500_000
+CACHE = 500_000
+#: Tokens of room beyond which a sequence is packed again with those of other blocks.
+SLACK = 64
+#: Sequences in a row that the search fails to empty before it ends, and how far apart rows of a pair may lie.
+TRIES, NEAR = 96, 40
 #: How word-level vocabularies of this kind cut lower-cased text; other files of the kind have the same pattern.
 _BEYOND = re.compile("[\u0234-\U0010ffff]").search  # below, lower() is all that normalisation does
 _SPACE = np.zeros(256, bool)
@@ -180,7 +193,7 @@ def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return _improved(bins, lengths, capacity)
 
 
-def _improved(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = 48) -> list[list[int]]:
+def _improved(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = TRIES) -> list[list[int]]:
     """Empties underfull groups by moves and exchanges, each of which increases the sum of squared fills.
 
     Ends where the total allows no fewer groups, or where ``tries`` of the emptiest in a row could not be emptied.
@@ -221,15 +234,15 @@ def _step(owner, fill, lengths, capacity, donor):
     takers = np.flatnonzero(gap > 0)
     mine = np.flatnonzero(owner == donor)
     distinct = {int(lengths[i]): [int(i)] for i in mine}
-    twos = {int(lengths[a] + lengths[b]): [int(a), int(b)] for n, a in enumerate(mine) for b in mine[n + 1:n + 40]}
+    twos = {int(lengths[a] + lengths[b]): [int(a), int(b)] for n, a in enumerate(mine) for b in mine[n + 1:n + NEAR]}
     single = (np.r_[lengths[items], np.zeros(len(takers), np.int64)], np.r_[owner[items], takers],
               lambda k: [int(items[k])] if k < len(items) else [])
     best = _best(distinct, *single, gap, fill, donor)
     if best is None:
         best = _best(twos, *single, gap, fill, donor)
     if best is None:  # one for two neighbours in one group
-        x = np.concatenate([np.flatnonzero(owner[items[:-d]] == owner[items[d:]]) for d in range(1, 5) if d < len(items)] or [items[:0]])
-        y = np.concatenate([np.flatnonzero(owner[items[:-d]] == owner[items[d:]]) + d for d in range(1, 5) if d < len(items)] or [items[:0]])
+        x = np.concatenate([np.flatnonzero(owner[items[:-d]] == owner[items[d:]]) for d in range(1, NEAR) if d < len(items)] or [items[:0]])
+        y = np.concatenate([np.flatnonzero(owner[items[:-d]] == owner[items[d:]]) + d for d in range(1, NEAR) if d < len(items)] or [items[:0]])
         best = _best(distinct, lengths[items[x]] + lengths[items[y]], owner[items[x]],
                      lambda k: [int(items[x[k]]), int(items[y[k]])], gap, fill, donor)
     return best
@@ -248,10 +261,28 @@ def _best(given, back, taker, rows, gap, fill, donor):
 
 def place(pieces: DataFrame, capacity: int = 4096, block_rows: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to slim piece rows (doc_id, piece, start, length and any others)."""
-    rows = written(pieces, "pieces")
-    blocks = max(1, -(-rows.count() // block_rows))
+    rows, names = written(pieces, "pieces"), pieces.columns
+    done: list[DataFrame] = []
+    left, deal, held = rows, F.monotonically_increasing_id(), None
+    for n in itertools.count():
+        count = left.count()
+        blocks = max(1, -(-count // block_rows))
+        packed = written(_packed(left, deal, blocks, capacity, n), "packed")
+        fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+        before, held = held, fills.agg(F.count("*").alias("n"), F.count_if(F.col("fill") < capacity - SLACK).alias("open")).first()
+        # what was packed again and is no better than before has nothing to gain from one more round
+        if blocks == 1 or held.open < 2 or (before is not None and before.open - held.n < blocks):
+            return reduce(DataFrame.unionByName, [*done, packed])
+        full = fills.filter(F.col("fill") >= capacity - SLACK).select("sequence_id")
+        done.append(packed.join(full, "sequence_id", "left_semi"))
+        left = written(packed.join(full, "sequence_id", "left_anti").select(*names), "underfull")
+        deal = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(n)), 1)
+
+
+def _packed(rows: DataFrame, deal: Column, blocks: int, capacity: int, turn: int) -> DataFrame:
+    """The rows packed block by block; numbers of sequences tell the round and the block."""
     # row numbers of a written table are the same on every read; dealing them out in turn splits any hot key
-    dealt = rows.withColumn("__block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    dealt = rows.withColumn("__block", F.pmod(deal, F.lit(blocks)))
     schema = dealt.schema.simpleString()[7:-1].replace(",__block:bigint", "") + ",sequence_id:bigint,offset:bigint"
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +290,7 @@ def place(pieces: DataFrame, capacity: int = 4096, block_rows: int = 20_000) ->
         lengths = frame["length"].to_numpy(np.int64)
         sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
         for n, rows_of in enumerate(pack(lengths, capacity)):
-            sequence[rows_of] = (int(frame["__block"].iat[0]) << 32) | n
+            sequence[rows_of] = (turn << 56) | (int(frame["__block"].iat[0]) << 24) | n
             offset[rows_of] = np.cumsum(lengths[rows_of]) - lengths[rows_of]
         return frame.drop(columns="__block").assign(sequence_id=sequence, offset=offset)
     return dealt.groupBy("__block").applyInPandas(packed, schema)

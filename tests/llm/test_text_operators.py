@@ -359,6 +359,30 @@ def test_token_counts(docs, nothing):
     assert rank_merge.token_counts(nothing, path, public_tokenizers.PATTERN, 512).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[3000, 1096], [1024] * 3 + [1023, 1], [2000, 1500, 596]])
+def test_lengths_that_fit_those_of_other_blocks(spark, lengths):
+    """Whole sequences can be made of these lengths, but most blocks hold too many of one kind."""
+    sets = 400
+    rows = [(i, 0, 0, n, "x") for i, n in enumerate(n for n in lengths for _ in range(sets))]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, extra string").repartition(4, "length")
+    placed = packing.place(pieces, block_rows=len(rows) // 8)
+    got = placed.collect()
+    assert sorted((r.doc_id, r.length, r.extra) for r in got) == sorted((r[0], r[3], r[4]) for r in rows)
+    fill = Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    fewest = -(-sum(r[3] for r in rows) // 4096)
+    assert max(fill.values()) <= 4096 and len(fill) <= fewest * 1.01 + 1
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (7, "x"), (7, "x"), (7, None), (8, "")]
+    placed = packing.place(packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")))
+    got = placed.orderBy("offset").collect()
+    assert sorted((str(r.doc_id), r.length) for r in got) == [("7", 1), ("7", 2), ("7", 2), ("8", 1), ("None", 4), ("None", 4)]
+    assert [r.offset for r in got] == np.r_[0, np.cumsum([r.length for r in got])[:-1]].tolist()
+
+
 # ---- near duplicates ------------------------------------------------------------------------------
 
 def shingles(text):
