@@ -1,16 +1,22 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, scored in context windows.
 
-The lexicon is learned from labelled texts: words, and beginnings of words, that toxic texts have far more often than
-clean ones. Its trie is run together with a Levenshtein automaton of one edit for longer words; the product is made
-deterministic once, as one table (state, letter class) -> state, and all words of an Arrow batch walk through that table
-at once, letter by letter. Nothing is looked up per word, so misspelled terms cost as much as any other word.
+The lexicon is learned from labelled texts: words, and beginnings of words, that toxic texts have more often than chance
+allows. The test is binomial, and its level is divided by the number of words (or beginnings) that were tried, so the
+lexicon grows with the vocabulary and the labels and nothing is cut from it; ``MOST`` entries are an error, not a limit.
+Short terms match exactly; the trie of all is run together with a Levenshtein automaton of one edit for longer ones; the
+product is made deterministic once, as one table (state, letter class) -> state, and all words of an Arrow batch walk
+through that table at once, letter by letter. Nothing is looked up per word, so misspelled terms cost as much as any.
 
 Each hit is weighed by its term's log odds and by its context, a window of words around it: quotation marks and words
-of reporting ("said", "quoted") speak for quotation, words of address ("you") for abuse. A logistic model over the sums
-of hits by kind gives the score.
-
-Nulls and empty texts have no hits and get the score of that. Equal texts get equal scores. The lexicon and the model
-use at most ``fit_rows`` labelled rows. Without any labelled row every score is one half.
+of reporting ("said", "quoted") speak for quotation, words of address ("you") for abuse. To the few words of these kinds
+given here come those that the labelled texts teach: words in the windows of hits that hits of clean texts, or of toxic
+ones, have more often than chance allows. A logistic model over the sums of hits by kind, and over the strongest, gives
+the score.
+
+Nulls and empty texts have no hits and get the score of that; an empty table gives no rows. Equal texts get equal scores,
+so ties and repeated rows do; null ids are rows like others. Extra columns are ignored. Very long texts are walked some
+millions of characters at a time, but for one that is longer by itself. The lexicon and the model use at most ``fit_rows``
+labelled rows. Without any labelled row every score is one half.
 """
 
 from __future__ import annotations
@@ -24,49 +30,93 @@ from ordermill.llm.common import in_batches, kept_lineage_cut, texts_of
 from ordermill.llm.gam import fold_of, labelled_sample
 
 FIT_ROWS = 30_000
-TERMS = 200
-STEMS = 60
-STEM_LENGTHS = (4, 5, 6)
+#: Level of the test of a whole vocabulary, and the least odds and number of toxic texts that an entry has.
+LEVEL, ODDS, LEAST = 0.01, 2.0, 3
+MOST = 200_000
+STEM_LENGTHS = (4, 5, 6, 7, 8)
+LONGEST = 64
 FUZZY_FROM = 5  # shorter words have too many neighbours
 WINDOW = 8
-# Words that report speech, words of address, quotation marks.
+# Words that report speech, words of address (to which learned ones come), quotation marks.
 REPORTING = ("said", "says", "quote", "quoted", "quotes", "called", "wrote", "word", "term", "reported", "citation")
 ADDRESS = ("you", "your", "youre", "u", "du", "dich", "dein", "tu", "toi", "vous", "te", "usted")
 QUOTES = "\"“”„«»‹›"
 WEIGHTS = {"exact": 1.0, "fuzzy": 0.8, "stem": 0.9}
 
 
+def chance(with_it: np.ndarray, texts: np.ndarray, share: float) -> np.ndarray:
+    """The probability that so many or more of ``texts`` are toxic, if each is with probability ``share`` (log)."""
+    out = np.zeros(len(texts))
+    for n in np.unique(texts).tolist():
+        k = np.arange(n + 1)
+        logs = np.cumsum(np.r_[0.0, np.log(np.arange(1, n + 1))])
+        p = logs[n] - logs[k] - logs[n - k] + k * np.log(share) + (n - k) * np.log1p(-share)
+        top = np.maximum.accumulate(p[::-1])[::-1]  # sums from the end, in logs
+        upper = np.log(np.cumsum(np.exp(p - p.max())[::-1])[::-1].clip(1e-300)) + p.max()
+        own = np.flatnonzero(texts == n)
+        out[own] = np.maximum(upper, top)[with_it[own].astype(np.int64)]
+    return out
+
+
+def significant(counts: DataFrame, toxic: int, clean: int, tried: int) -> dict[str, float]:
+    """(term, t, c) rows as term -> log odds, of those that pass the test among ``tried`` ones."""
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    rows = counts.withColumn("odds", odds).filter((F.col("t") >= LEAST) & (F.col("odds") >= ODDS)).limit(MOST + 1).toPandas()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} terms")
+    if not len(rows):
+        return {}
+    t, n = rows["t"].to_numpy(np.int64), (rows["t"] + rows["c"]).to_numpy(np.int64)
+    keep = chance(t, n, toxic / (toxic + clean)) + np.log(max(1, tried)) < np.log(LEVEL)
+    return dict(sorted(zip(rows["term"][keep], rows["odds"][keep].astype(float))))
+
+
 def learned_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings with their log odds, from rows (text, mark); at most TERMS and STEMS of them."""
+    """Words and word beginnings with their log odds, from rows (text, mark)."""
     totals = sample.groupBy("mark").count().collect()
     toxic, clean = (sum(r["count"] for r in totals if r["mark"] == m) for m in (1, 0))
     if not toxic or not clean:
         return {}, {}
     words = sample.select("mark", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")) \
-                  .filter(F.char_length("term").between(4, 24))
-    counts = kept_lineage_cut(words.groupBy("term").agg(
-        F.sum("mark").alias("t"), F.sum(1 - F.col("mark")).alias("c")).filter("t > 0"))
-    # beginnings are counted over the words that toxic texts have at all; a clean text's others cannot outweigh them
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-
-    def best(rows: DataFrame, least: int, n: int) -> dict[str, float]:
-        rows = rows.withColumn("odds", odds).filter((F.col("t") >= least) & (F.col("odds") >= 2.5))
-        return {r["term"]: float(r["odds"]) for r in rows.orderBy(F.desc("t"), "term").limit(n).collect()}
-    terms = best(counts, 4, TERMS)
-    ends = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("term", 1, n).alias("term")) for n in STEM_LENGTHS])
-    grouped = words.select("mark", F.explode(ends).alias("e")).select("mark", F.col("e.term").alias("term"), F.col("e.n").alias("n")) \
-                   .filter(F.char_length("term") == F.col("n")).groupBy("term", "n") \
-                   .agg(F.sum("mark").alias("t"), F.sum(1 - F.col("mark")).alias("c"))
-    stems = best(grouped, max(20, toxic // 100), STEMS * len(STEM_LENGTHS))
-    shortest = {s: w for s, w in stems.items() if not any(s != o and s.startswith(o) for o in stems)}
-    return terms, dict(list(shortest.items())[:STEMS])
+                  .filter(F.char_length("term").between(2, LONGEST))
+
+    def counted(rows: DataFrame) -> tuple[DataFrame, int]:
+        counts = rows.groupBy("term").agg(F.sum("mark").alias("t"), F.sum(1 - F.col("mark")).alias("c"))
+        return kept_lineage_cut(counts.filter("t > 0")), counts.count()
+    texts = sample.select("mark", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w"))
+    beginnings = F.array_distinct(F.flatten(F.transform("w", lambda w: F.filter(
+        F.array(*[F.when(F.char_length(w) > n, F.substring(w, 1, n)) for n in STEM_LENGTHS]), lambda x: x.isNotNull()))))
+    stems = texts.select("mark", F.explode(beginnings).alias("term"))
+    return significant(*_args(counted(words), toxic, clean)), significant(*_args(counted(stems), toxic, clean))
+
+
+def _args(counted: tuple[DataFrame, int], toxic: int, clean: int) -> tuple[DataFrame, int, int, int]:
+    return counted[0], toxic, clean, counted[1]
+
+
+def learned_cues(sample: DataFrame, automaton: Automaton) -> dict[str, int]:
+    """Words near hits that tell quotation (1) from abuse (2), from rows (text, mark)."""
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted(words) for words in nearby(texts_of(batch.column("text")), automaton)]
+        return pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(found, pa.list_(pa.string()))], ["mark", "near"])
+    rows = kept_lineage_cut(in_batches(sample.select("text", "mark"), near, "mark int, near array<string>").filter(F.size("near") > 0))
+    totals = {r["mark"]: r["count"] for r in rows.groupBy("mark").count().collect()}
+    if not totals.get(0) or not totals.get(1):
+        return {}
+    words = rows.select("mark", F.explode("near").alias("term"))
+    out: dict[str, int] = {}
+    for kind, mark in ((2, F.col("mark")), (1, 1 - F.col("mark"))):
+        counts = words.groupBy("term").agg(F.sum(mark).alias("t"), F.sum(1 - mark).alias("c"))
+        tried = counts.count()
+        out |= {w: kind for w in significant(counts.filter("t > 0"), totals[kind - 1], totals[2 - kind], tried)}
+    return out
 
 
 class Automaton:
     """The trie of all terms times a Levenshtein automaton of one edit, as one deterministic table."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        cues = {w: 1 for w in REPORTING} | {w: 2 for w in ADDRESS}
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], learned: dict[str, int] | None = None):
+        cues = (learned or {}) | {w: 1 for w in REPORTING} | {w: 2 for w in ADDRESS}
         letters = sorted({c for w in [*terms, *stems, *cues] for c in w})
         self.classes = {c: n + 1 for n, c in enumerate(letters)}  # 0: any other letter
         self.low = np.zeros(0x250, np.int64)
@@ -109,7 +159,7 @@ class Automaton:
         start = closed({0: 0})
         number, order, rows = {start: 1}, [start], []  # 0: dead
         for state in order:
-            row = np.zeros(len(letters) + 1, np.int64)
+            row = np.zeros(len(letters) + 1, np.int32)
             for c in range(len(letters) + 1):
                 after: dict[int, int] = {}
                 for node, edits in state:
@@ -128,7 +178,7 @@ class Automaton:
                         order.append(key)
                     row[c] = number[key]
             rows.append(row)
-        self.table = np.vstack([np.zeros((1, len(letters) + 1), np.int64), *rows])
+        self.table = np.vstack([np.zeros((1, len(letters) + 1), np.int32), *rows])
         n = len(self.table)
         self.exact, self.fuzzy, self.stem, self.cue = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         for i, state in enumerate(order, 1):
@@ -179,7 +229,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _WORD, _QUOTE = _tables()
-FEATURES = ("weight", "hits", "strongest", "density", "quoted", "addressed")
+FEATURES = ("weight", "hits", "strongest", "density", "quoted", "addressed", "any", "strong")
+#: Log odds beyond which a term by itself is nearly sure.
+SURE = 3.0
 
 
 def features_of(texts: list[str], automaton: Automaton) -> np.ndarray:
@@ -196,7 +248,8 @@ def features_of(texts: list[str], automaton: Automaton) -> np.ndarray:
     return out
 
 
-def _features(texts: list[str], automaton: Automaton) -> np.ndarray:
+def _words(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one, its code points, their low halves, and first, end and text of every word."""
     joined = "\n".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -209,10 +262,34 @@ def _features(texts: list[str], automaton: Automaton) -> np.ndarray:
     word[1:-1] |= inner
     edge = np.diff(np.r_[False, word, False].astype(np.int8))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return joined, points, low, start, stop, np.searchsorted(ends, start, side="right")
+
+
+def _hits(points: np.ndarray, start: np.ndarray, stop: np.ndarray, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """The last state and the weight of every word."""
     final, stems = automaton.walk(automaton.letters(points), start, stop - start)
-    doc = np.searchsorted(ends, start, side="right")
-    exact, fuzzy = automaton.exact[final], automaton.fuzzy[final]
-    weight = np.maximum(np.maximum(WEIGHTS["exact"] * exact, WEIGHTS["fuzzy"] * fuzzy), WEIGHTS["stem"] * stems)
+    weight = np.maximum(WEIGHTS["exact"] * automaton.exact[final], WEIGHTS["fuzzy"] * automaton.fuzzy[final])
+    return final, np.maximum(weight, WEIGHTS["stem"] * stems)
+
+
+def nearby(texts: list[str], automaton: Automaton) -> list[set[str]]:
+    """The words within WINDOW of each text's hits, without the hits."""
+    out = []
+    for text in texts:
+        joined, points, _, start, stop, _ = _words([text.lower()])
+        _, weight = _hits(points, start, stop, automaton)
+        hit = np.flatnonzero(weight > 0)
+        change = np.zeros(len(start) + 1, np.int64)
+        np.add.at(change, np.maximum(hit - WINDOW, 0), 1)
+        np.add.at(change, np.minimum(hit + WINDOW + 1, len(start)), -1)
+        near = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (weight == 0) & (stop - start <= LONGEST))
+        out.append({joined[a:b] for a, b in zip(start[near].tolist(), stop[near].tolist())})
+    return out
+
+
+def _features(texts: list[str], automaton: Automaton) -> np.ndarray:
+    _, points, low, start, stop, doc = _words(texts)
+    final, weight = _hits(points, start, stop, automaton)
     hit = np.flatnonzero(weight > 0)
     # context: marks and cues within WINDOW words to either side, inside the same text
     first = np.searchsorted(doc, np.arange(len(texts)))
@@ -234,13 +311,14 @@ def _features(texts: list[str], automaton: Automaton) -> np.ndarray:
     words = np.maximum(np.bincount(doc, minlength=n), 1)
     each = np.maximum(hits, 1)
     return np.stack([np.log1p(total), np.log1p(hits), strongest, np.log1p(1000 * total / words) / 4,
-                     np.bincount(d, quoted, n) / each, np.bincount(d, addressed, n) / each], axis=1)
+                     np.bincount(d, quoted, n) / each, np.bincount(d, addressed, n) / each,
+                     hits > 0, np.maximum(strongest - SURE, 0)], axis=1)
 
 
 class Logistic:
     """Ridge logistic regression by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 0.1):
         self.mean, self.scale = x.mean(axis=0) if len(x) else 0.0, (x.std(axis=0) if len(x) else 1.0) + 1e-9
         z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
         self.beta = np.zeros(z.shape[1])
@@ -259,7 +337,11 @@ class Logistic:
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Automaton, Logistic]:
     sample = kept_lineage_cut(labelled_sample(docs, labels, "toxic", 3, 1, fit_rows))
-    automaton = Automaton(*learned_lexicon(sample))
+    lexicon = learned_lexicon(sample)
+    automaton = Automaton(*lexicon)
+    cues = learned_cues(sample, automaton)
+    if cues:
+        automaton = Automaton(*lexicon, cues)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features_of(texts_of(batch.column("text")), automaton)

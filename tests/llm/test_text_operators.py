@@ -1,6 +1,7 @@
 """Each operator against a plain version of its rule, with nulls, empty texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -289,6 +290,87 @@ def test_quoted_terms_weigh_less():
     assert not any(none.values())
 
 
+def plain_score_row(text, terms, stems, cues):
+    """The feature row of a text, word by word."""
+    text = text.lower()
+    word = [c.isalnum() for c in text]
+    inside = list(word)
+    for i in range(1, len(text) - 1):  # one sign between two letters
+        if not word[i] and word[i - 1] and word[i + 1] and ord(text[i]) > 32 and text[i] not in lev_trie.QUOTES + "'-,.":
+            inside[i] = True
+    words, at = [], 0
+    while at < len(text):
+        if inside[at]:
+            end = at
+            while end < len(text) and inside[end]:
+                end += 1
+            words.append((at, end, text[at:end]))
+            at = end
+        else:
+            at += 1
+
+    def weigh(w):
+        exact = terms.get(w, 0.0)
+        fuzzy = 0.0 if exact else max([v for t, v in terms.items() if len(t) >= 5 and edits(t, w) == 1], default=0.0)
+        stem = max([v for t, v in stems.items() if w.startswith(t)], default=0.0)
+        return max(exact, 0.8 * fuzzy, 0.9 * stem)
+    hits, total, strongest, quoted, addressed = 0, 0.0, 0.0, 0, 0
+    for i, (a, b, w) in enumerate(words):
+        if not (v := weigh(w)):
+            continue
+        near = words[max(0, i - 8):i + 9]
+        before, after = text[near[0][0]:a], text[b:near[-1][1]]
+        said = any(cues.get(x) == 1 for *_, x in near)
+        q = said or (any(c in lev_trie.QUOTES for c in before) and any(c in lev_trie.QUOTES for c in after))
+        you = any(cues.get(x) == 2 for *_, x in near)
+        hits, strongest, quoted, addressed = hits + 1, max(strongest, v), quoted + q, addressed + you
+        total += v * (0.3 if q else 1) * (1.2 if you else 1)
+    each, n = max(hits, 1), max(len(words), 1)
+    return [np.log1p(total), np.log1p(hits), strongest, np.log1p(1000 * total / n) / 4, quoted / each, addressed / each,
+            float(hits > 0), max(strongest - 3, 0)]
+
+
+def test_score_rows_equal_a_walk_word_by_word():
+    rng = random.Random(8)
+    terms, stems = {"idiot": 5.0, "scum": 4.0, "fool": 2.5, "ass": 3.0, "worthless": 6.0}, {"trash": 3.5, "loser": 2.0}
+    cues = dict.fromkeys(lev_trie.REPORTING, 1) | dict.fromkeys(lev_trie.ADDRESS, 2) | {"novel": 1}
+    auto = lev_trie.Automaton(terms, stems, {"novel": 1})
+    pool = ["idiot", "idoit", "id1ot", "i*iot", "scum", "scums", "ass", "as", "trashy", "losers", "worthles", "you", "said", "novel", "“", "”",
+            '"', "it's", "and", "the", "\n", "naïve", "x.y", "end.", "(fool)", "FOOL", "worth-less"]
+    texts = ["", " ", "“scum”", "x" * 3000] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    got = lev_trie.features_of(texts, auto)
+    for t, row in zip(texts, got):
+        assert np.allclose(row, plain_score_row(t, terms, stems, cues)), t
+    model = lev_trie.Logistic(got, (np.arange(len(got)) % 3 == 0).astype(float))
+    z = (got - got.mean(axis=0)) / (got.std(axis=0) + 1e-9)
+    assert np.allclose(model.scores(got), 1 / (1 + np.exp(-(model.beta[0] + z @ model.beta[1:]))))
+
+
+def test_chance_is_the_binomial_tail():
+    for k, n, p in ((0, 5, 0.1), (3, 5, 0.1), (5, 5, 0.3), (20, 200, 0.05), (90, 95, 0.12)):
+        want = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert math.isclose(math.exp(lev_trie.chance(np.array([k]), np.array([n]), p)[0]), want, rel_tol=1e-6)
+
+
+def test_lexicon_holds_every_significant_term_and_no_chance_one(spark):
+    rng = random.Random(5)
+    slurs = [f"slur{chr(97 + i)}{chr(97 + j)}q" for i in range(20) for j in range(20)] + ["zq"]  # far more than 200
+    rows = []
+    for i in range(6000):
+        toxic = i % 3 == 0
+        words = prose(rng, 30).split() + [f"w{rng.randrange(3000)}" for _ in range(10)] + (rng.sample(slurs, 8) + ["zq"] if toxic else [])
+        rows.append((" ".join(words), int(toxic)))
+    terms, stems = lev_trie.learned_lexicon(spark.createDataFrame(rows, "text string, mark int"))
+    assert set(slurs) <= set(terms) and not any(t.startswith("w") for t in terms) and len(terms) <= len(slurs) + 3
+    assert "slur" in stems
+    quoted = [(f"he novelly wrote {rng.choice(slurs)} there {rng.choice(['a', 'b'])}", 0) for _ in range(200)] + \
+             [(f"look {rng.choice(slurs)} here {rng.choice(['a', 'b'])}", 1) for _ in range(200)]
+    auto = lev_trie.Automaton(terms, stems)
+    cues = lev_trie.learned_cues(spark.createDataFrame(quoted, "text string, mark int"), auto)
+    assert cues["novelly"] == 1 and cues["look"] == 2 and "a" not in cues
+    assert lev_trie.learned_cues(spark.createDataFrame(quoted[:50], "text string, mark int"), auto) == {}
+
+
 # ---- packing and token counts -------------------------------------------------------------------
 
 def test_ids_and_counts_equal_the_library(texts):
