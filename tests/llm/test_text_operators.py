@@ -190,6 +190,49 @@ def test_threshold_keeps_good_rows():
     assert rules_forest.threshold_of([(5, 1, 3)]) == rules_forest.DEFAULT_THRESHOLD
 
 
+def plain_path(tree, row):
+    """The path length of a row in one tree, node by node."""
+    column, cut, child, path = tree
+    node = 0
+    while child[node]:
+        node = child[node] + int(row[column[node]] >= cut[node])
+    return path[node]
+
+
+def test_verdicts_equal_a_walk_of_the_trees(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(300):
+        t = prose(rng, rng.randrange(40, 120)) + "."
+        if i % 9 == 0:
+            t = " ".join(w + "$$$" for w in t.split())
+        if i % 50 == 7:
+            t = " ".join("%x" % rng.getrandbits(400) for _ in range(60))  # long words of digits: odd in other shares only
+        rows.append((i, t))
+    labels = [(i, int(i % 9 != 0), 0) for i in range(300) if i % 3 == 0 and i % 50 != 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in rules_forest.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    # the sample is all rows here, in the order of a hash that the forests do not depend on but for their draws
+    stats = {i: text_stats.stats_of(t) for i, t in rows}
+    order = {i: plain_hash(Int(11), i, *stats[i]) for i in stats}
+    signed = lambda h: h - 2 ** 64 if h >= 2 ** 63 else h
+    sample = np.array([stats[i] for i in sorted(stats, key=lambda i: signed(order[i]))], np.int64)
+    forests = (rules_forest.Forest(rules_forest.split_shares(sample), seed=11),
+               rules_forest.Forest(text_stats.shares(sample), tree_rows=rules_forest.ALL_TREE_ROWS, seed=12))
+    scores = {}
+    for i, s in stats.items():
+        both = (rules_forest.split_shares(np.array([s]))[0], text_stats.shares(np.array([s]))[0])
+        scores[i] = [2 ** (-np.mean([plain_path(t, x) for t in f.trees]) / f.norm) for f, x in zip(forests, both)]
+        assert np.allclose([got[i].anomaly, got[i].anomaly_all], scores[i], atol=1e-9)
+    passing = {i for i in stats if stats[i][0] >= 50 and 100 * stats[i][4] <= 50 * stats[i][0]}
+    good = [scores[i] for i, q, _ in labels if q and i in passing]
+    kept = {i for i, r in got.items() if r.kept}
+    assert kept <= passing and {i for i, q, _ in labels if q and i in passing} <= kept
+    assert not kept & {i for i in passing if i % 9 == 0}  # the bad kind falls, labelled or not
+    assert not kept & {i for i in passing if scores[i][1] > max(b for _, b in good) + 1e-4}
+    assert not kept & {i for i in passing if i % 50 == 7 and i % 9}
+
+
 def test_judged_rows(spark, docs, nothing, texts):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 1), (20, None, 1), (30, 1, 0)], "doc_id long, quality int, toxic int")
     rows = rules_forest.judged(docs, labels).collect()
