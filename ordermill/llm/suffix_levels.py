@@ -222,7 +222,7 @@ def _result(raw: bytes, start: np.ndarray, stop: np.ndarray, texts: bool) -> dic
     cuts = [0, *np.stack([start, stop], axis=1).ravel().tolist(), len(raw)]
     kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
     return {"n_bytes": len(raw), "n_removed": int((stop - start).sum()), "n_spans": len(start),
-            "kept_sha256": hashlib.sha256(kept).hexdigest(), "data": zstandard.compress(kept, 1) if texts else None}
+            "kept_sha256": hashlib.sha256(kept).hexdigest(), "data": kept.decode("utf-8", "ignore").encode() if texts else None}
 
 
 _FIELDS = "kind int, rid long, start long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, data binary"
@@ -438,7 +438,7 @@ def _ends(marked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def removed(docs: DataFrame, texts: bool = False, length: int = LENGTH) -> DataFrame:
     """(rid, n_bytes, n_removed, n_spans, kept_sha256, data) of rows (rid, text), whose rid must be unique.
 
-    ``data`` holds the remaining bytes, compressed with zstandard, where ``texts`` asks for them.
+    ``data`` holds the remaining bytes where ``texts`` asks for them, without characters that were removed in part.
     """
     found = written(scanned(suffixes(docs, length), length), "suffix-marks")
     first = written(_first_pass(docs, found, texts, length), "suffix-pass")
@@ -475,12 +475,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows, repeats = with_rid(packed_rows(docs))
     once = rows.select("rid", "text")
-    left = removed(once.dropDuplicates(["rid"]) if repeats else once, True, length).select("rid", "data")
-
-    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [zstandard.decompress(d).decode("utf-8", "ignore") for d in batch.column("data").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string())], ["rid", "left"])
-    texts = in_batches(left, decode, "rid long, left string")
+    left = removed(once.dropDuplicates(["rid"]) if repeats else once, True, length)
+    # valid UTF-8: no second Python worker beside the one that cut the texts
+    texts = left.select("rid", F.col("data").cast("string").alias("left"))
     kept = rows.select("rid", F.col("row").dropFields("text").alias("others") if len(docs.columns) > 2 else F.lit(None).alias("others"),
                        "doc_id", F.col("text").isNull().alias("none")).join(texts, "rid")
     columns = [F.when(~F.col("none"), F.col("left")).alias(c) if c == "text" else F.col("doc_id") if c == "doc_id" else
