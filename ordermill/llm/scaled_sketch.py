@@ -1,11 +1,16 @@
 """Threshold-scaled document sketches, with DataFrame functions only.
 
-A sketch keeps every hash of a text's five-word shingles that lies below a fixed fraction of all hashes. Sketches of
-any two texts are therefore samples by the same rule: the sketch of a union is the union of sketches, and the share of
-one sketch found in another estimates containment however unequal the texts are.
+A sketch keeps every hash of a text's five-word shingles that lies below a fixed fraction of all hashes, and nothing
+above it. Sketches of any two texts are therefore samples by the same rule: the sketch of a union is the union of
+sketches, and the share of one sketch found in another estimates containment however unequal the texts are. The estimate
+rests on the hashes of the smaller text that lie below the threshold, about one in ``SCALE``; README.md has its error.
 
-A text whose shingles all lie above the threshold keeps its smallest hash, so that short texts can be told apart; a text
-of one to four words is one shingle, one without words has an empty sketch. Two empty sketches are alike (1.0).
+Where that is few, all hashes are kept beside: texts of at most ``FINE`` shingles are compared exactly with each other. A
+short text without any hash below the threshold has no estimate of its containment in a long one (null, not 0).
+
+Nulls are empty. A text of one to four words is one shingle, one without words has an empty sketch; two of these are alike
+(1.0). Equal texts have equal sketches, so repeated rows and ties do; rows that share a doc_id stay next to each other.
+Extra columns are ignored, an empty table gives no rows. A very long text needs memory for its words and hashes.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from ordermill.llm.common import with_rid
 #: One of so many hashes is kept.
 SCALE = 8
 SHINGLE = 5
+#: Texts of so many shingles keep all hashes.
+FINE = 64
 COARSE = 1000
 BUCKET_ROWS = 4000
 BUCKETS = 1_000_000
@@ -34,40 +41,47 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of a text below the threshold (at least the smallest one)."""
+    """A struct: ``low``, the sorted distinct hashes below the threshold, and ``all`` of them (null beyond FINE shingles)."""
     limit = -(1 << 63) + (1 << 64) // scale
-    return F.transform(F.array(shingle_hashes(text, size)), lambda h: F.transform(
-        F.array(F.filter(h, lambda x: x < limit)),
-        lambda low: F.when((F.size(low) == 0) & (F.size(h) > 0), F.array(F.array_min(h)))
-                     .otherwise(F.array_sort(F.array_distinct(low))))[0])[0]
+    return F.transform(F.array(shingle_hashes(text, size)), lambda h: F.struct(
+        F.array_sort(F.array_distinct(F.filter(h, lambda x: x < limit))).alias("low"),
+        F.when(F.size(h) <= FINE, F.array_sort(F.array_distinct(h))).alias("all")))[0]
 
 
-def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.hex(h)), ",")
+def as_text(one: Column) -> Column:
+    """The hashes of a sketch; ``all`` of a short text, set off by a mark, as ``low`` follows from them."""
+    hexes = lambda hashes: F.array_join(F.transform(hashes, lambda h: F.hex(h)), ",")
+    return F.coalesce(F.concat(F.lit("="), hexes(one["all"])), hexes(one["low"]))
 
 
 def _shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all of two texts (Jaccard)."""
+def _jaccard(a: Column, b: Column, empty: float) -> Column:
     common = _shared(a, b)
     union = F.size(a) + F.size(b) - common
-    return F.when(union == 0, 1.0).otherwise(common / union)
+    return F.when(union == 0, empty).otherwise(common / union)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common shingles among all of two texts (Jaccard): exact for two short texts, else estimated."""
+    both = a["all"].isNotNull() & b["all"].isNotNull()
+    return F.when(both, _jaccard(a["all"], b["all"], 1.0)).otherwise(_jaccard(a["low"], b["low"], 0.0))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second one has."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(_shared(a, b) / F.size(a))
+    """Share of the first text's shingles that the second one has; null where nothing of the first is in its sample."""
+    def share(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) > 0, _shared(x, y) / F.size(x))
+    return F.when(F.size(a["all"]) == 0, 1.0).when(a["all"].isNotNull() & b["all"].isNotNull(), share(a["all"], b["all"])) \
+            .otherwise(share(a["low"], b["low"]))
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts together, from their sketches."""
-    limit = -(1 << 63) + (1 << 64) // scale
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda x: x < limit)
-    return F.when((F.size(low) == 0) & (F.size(both) > 0), F.slice(both, 1, 1)).otherwise(low)
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together, from their sketches."""
+    every = F.array_sort(F.array_union(a["all"], b["all"]))
+    return F.struct(F.array_sort(F.array_union(a["low"], b["low"])).alias("low"), F.when(F.size(every) <= FINE, every).alias("all"))
 
 
 def with_next(docs: DataFrame, order: str) -> tuple[DataFrame, WindowSpec]:

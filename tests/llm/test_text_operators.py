@@ -766,13 +766,55 @@ def test_sketches_estimate_containment_and_merge(spark):
     row = df.select(scaled_sketch.containment(s["a"], s["b"]).alias("inside"), scaled_sketch.likeness(s["a"], s["b"]).alias("like"),
                     scaled_sketch.merged(s["a"], s["c"]).alias("both"), s["b"].alias("whole")).first()
     assert row.inside > 0.95 and abs(row.like - 0.2) < 0.06
-    assert set(row.both) <= set(row.whole) and len(row.whole) - len(row.both) <= 4  # shingles over the joint
+    assert set(row.both.low) <= set(row.whole.low) and len(row.whole.low) - len(row.both.low) <= 4  # shingles over the joint
+
+
+def plain_sketch(text):
+    """Hashes below the threshold, and all of a short text."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    found = {plain_hash(*words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    signed = sorted(h - 2 ** 64 if h >= 2 ** 63 else h for h in found)
+    return [h for h in signed if h < -2 ** 63 + 2 ** 61], signed if max(1, len(words) - 4) * bool(words) <= 64 else None
+
+
+def test_sketches_equal_plain_ones(spark, docs):
+    rows = {r.doc_id: r for r in scaled_sketch.fingerprints(docs).collect()}
+    data = sorted(table(docs).items())
+    shown = lambda hashes: ",".join("%X" % (h % 2 ** 64) for h in hashes)
+
+    def like(a, b):
+        (low_a, all_a), (low_b, all_b) = a, b
+        x, y, empty = (set(all_a), set(all_b), 1.0) if all_a is not None and all_b is not None else (set(low_a), set(low_b), 0.0)
+        return len(x & y) / len(x | y) if x | y else empty
+    for n, (i, t) in enumerate(data):
+        t, following = t or "", data[(n + 1) % len(data)][1] or ""
+        half = len(t) // 2
+        own, after, edited = (plain_sketch(x) for x in (t, following, t[:len(t) - half] + following[:half]))
+        for got, (low, every) in ((rows[i].fingerprint, own), (rows[i].edited_fingerprint, edited)):
+            assert got == (shown(low) if every is None else "=" + shown(every))
+        assert (rows[i].near_edited, rows[i].near_next) == (like(own, edited), like(own, after))
+
+
+def test_short_texts_are_never_told_to_be_missing(spark):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(200):
+        words = prose(rng, 210).split()
+        at = rng.randrange(200)
+        rows.append((" ".join(words[at:at + 10]), " ".join(words), " ".join(words[at:at + 30])))
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    s = {c: scaled_sketch.sketch(F.col(c)) for c in "abc"}
+    got = df.select(scaled_sketch.containment(s["a"], s["b"]).alias("far"), scaled_sketch.containment(s["a"], s["c"]).alias("near"),
+                    scaled_sketch.containment(s["b"], s["a"]).alias("back")).collect()
+    assert {r.far for r in got} <= {None, 1.0} and any(r.far for r in got)
+    assert all(abs(r.near - min(1.0, r.near)) < 1e-9 and r.near > 0 for r in got)
+    assert all(r.back is not None and r.back < 0.4 for r in got)
 
 
 # ---- the whole --------------------------------------------------------------------------------------------------
 
 def test_registry():
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_archive_query_equals_its_sql(spark):
