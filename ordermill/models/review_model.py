@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
@@ -155,7 +156,18 @@ def fit(train: DataFrame, estimator: str, preparation: Preparation | None = None
     """
     preparation = preparation or prepare(train)
     rows = prepared(train, preparation, key) if rows is None else rows
-    return ReviewModel(preparation, ESTIMATORS[estimator](rows, **options))
+    return ReviewModel(preparation, _without_summary(ESTIMATORS[estimator](rows, **options)))
+
+
+def _without_summary(fitted: object) -> object:
+    """The fitted model without its training summary.
+
+    The summary holds the training rows and with them the session, which goes to the tasks along with the model; once
+    rows were observed in the session (``files.write_clean``), it cannot be serialized any more.
+    """
+    if getattr(fitted, "hasSummary", False):
+        fitted._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.apply(None))
+    return fitted
 
 
 def as_saved(spark: SparkSession, model: ReviewModel, path: str) -> node_table.SavedModel:

@@ -1,7 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from market import tables
@@ -171,6 +171,16 @@ def test_a_fit_repeats_and_is_read_again(spark, fitted, monkeypatch):
         review_model.saved_models(train.limit(100), {"boosted_trees": options["boosted_trees"]}, 100)
 
 
+@pytest.mark.parametrize("name", ["random_forest", "logistic_regression", "boosted_trees"])
+def test_models_score_after_rows_were_observed(spark, fitted, name, tmp_path):
+    train, test, options, _ = fitted
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).write.parquet(f"{tmp_path}/seen")
+    assert seen.get == {"n": 3}
+    model = review_model.fit(train, name, review_model.prepare(train, 100), **options[name])
+    assert model.score(test).filter("risk between 0 and 1").count() == test.count()
+
+
 @pytest.mark.parametrize("name", ["random_forest", "boosted_trees", "logistic_regression"])
 def test_saved_models_score_as_the_library_does(spark, fitted, name):
     train, test, options, models = fitted
