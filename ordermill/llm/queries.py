@@ -123,6 +123,49 @@ ORACLES: dict[str, str] = {"op8_warc_revisits": f"""
     select page_id, payload_bytes, payload_digest,
       case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
       case when page_id is distinct from first then first end as refers_to from f""",
+    "op11_turn_repair": """
+    with recursive named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' ')) as k from conversations),
+      crc as (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, len(k) + 1), lambda i: cast(ascii(substr(k, i, 1)) as bigint))),
+          lambda c, b: list_reduce(list_concat([xor(c, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 as fault
+        from named),
+      damaged as (select conv_id, turn, case fault when 4 then 'user' else role end as role,
+          case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+        from crc cross join range(2) as t(copy) where fault <> 0 and (copy = 0 or fault = 3)),
+      ended as (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as stop,
+          row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as n from damaged),
+      marked as (select *, stop = '' as blank, row_number() over (partition by conv_id, role, text order by n) > 1 as again,
+          right(stop, 1) not in ('.', '!', '?') as cut, left(role, 1) as kind,
+          lag(left(role, 1)) over (partition by conv_id order by n) as before from ended),
+      coded as (select *, blank or again as gone, cut and not blank and not again as short from marked),
+      moves(k, was, last, added) as (values (0, '', '', []::varchar[]), (0, 's', 's', []), (0, 'u', 'u', []), (0, 'a', 'a', []),
+          (1, '', 'u', ['user:']), (1, 's', 'u', ['user:']), (1, 'u', 'a', ['assistant:']), (1, 'a', 'u', ['user:']),
+          (2, '', 'a', ['user:', 'assistant:']), (2, 's', 'a', ['user:', 'assistant:']), (2, 'u', 'u', ['assistant:', 'user:']), (2, 'a', 'a', ['user:', 'assistant:'])),
+      walk as (select distinct conv_id, 0::bigint as n, '' as last, 0::bigint as cost, '' as audit, []::varchar[] as written from conversations
+        union all
+        select conv_id, n, last, cost, audit, written from (
+          select w.conv_id, r.n, case e.edit when 'D' then m.last when 'K' then r.kind else case m.last when 'u' then 'a' else 'u' end end as last,
+            w.cost + 2 * m.k + case e.edit when 'D' then 3 when 'K' then cast(r.short as bigint) else 2 + cast(r.short as bigint) end as cost,
+            w.audit || repeat('I', m.k) || e.edit as audit,
+            list_concat(w.written, m.added, case e.edit when 'D' then []::varchar[] when 'K' then [r.role || ':' || r.text]
+              else [case m.last when 'u' then 'assistant:' else 'user:' end || r.text] end) as written
+          from walk w join coded r on r.conv_id is not distinct from w.conv_id and r.n = w.n + 1 join moves m on m.was = w.last
+            cross join (values ('D'), ('K'), ('R')) as e(edit)
+          where e.edit = 'D' or (not r.gone and case e.edit when 'K' then r.kind = case m.last when 'u' then 'a' else 'u' end or (r.kind = 's' and m.last = '')
+            else r.kind <> case m.last when 'u' then 'a' else 'u' end end)
+          qualify row_number() over (partition by w.conv_id, r.n, case e.edit when 'D' then m.last when 'K' then r.kind else case m.last when 'u' then 'a' else 'u' end end
+            order by w.cost + 2 * m.k + case e.edit when 'D' then 3 when 'K' then cast(r.short as bigint) else 2 + cast(r.short as bigint) end,
+              w.audit || repeat('I', m.k) || e.edit) = 1)),
+      counts as (select conv_id, max(n) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+          count(*) filter (not blank and again) as duplicate, count(*) filter (short) as truncated,
+          count(*) filter (before is not null and before || kind not in ('su', 'ua', 'au')) as illegal from coded group by conv_id),
+      best as (select w.conv_id, w.cost + 2 * m.k as cost, w.audit || repeat('I', m.k) as audit, list_concat(w.written, m.added) as written
+        from walk w join moves m on m.was = w.last left join counts c on c.conv_id is not distinct from w.conv_id
+        where w.n = coalesce(c.n, 0) and m.last in ('', 'a')
+        qualify row_number() over (partition by w.conv_id order by w.cost + 2 * m.k, w.audit || repeat('I', m.k)) = 1)
+    select b.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+      coalesce(illegal, 0) as illegal, cast(b.cost as bigint) as cost, b.audit, sha256(coalesce(array_to_string(b.written, chr(10)), '')) as repaired_sha256
+    from best b left join counts c on c.conv_id is not distinct from b.conv_id""",
     "op12_zone_negatives": """
     with v as (select row_number() over () as place, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
