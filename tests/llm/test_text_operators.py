@@ -1,5 +1,6 @@
 """Each operator against a plain version of its rule, with nulls, empty texts, ties, repeated rows and extra columns."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -242,6 +243,34 @@ def test_judged_rows(spark, docs, nothing, texts):
     assert rules_forest.judged(nothing, labels.limit(0)).count() == 0
 
 
+def test_additive_scores_and_steps_equal_plain_ones():
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(600, 4)).round(2)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3) ^ (rng.random(600) < 0.05)).astype(float)
+    model = gam.AdditiveModel(x, y, rounds=20, pair_rounds=5)
+    for row, got in zip(x[:80], model.scores(x[:80])):  # one addition per bin
+        total = model.base + sum(t[bisect.bisect_right(e.tolist(), v)] for e, t, v in zip(model.edges, model.tables, row))
+        for (a, b), grid in zip(model.pairs, model.grids):
+            total += grid[bisect.bisect_right(model.coarse[a].tolist(), row[a]), bisect.bisect_right(model.coarse[b].tolist(), row[b])]
+        assert math.isclose(got, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+    slope, weight = rng.normal(size=12), rng.random(12) + 0.1
+    value = lambda s, w: s / (w + 1)
+    gain = lambda part: slope[part].sum() * value(slope[part].sum(), weight[part].sum())
+    cut = max(range(1, 12), key=lambda k: gain(slice(0, k)) + gain(slice(k, 12)))
+    want = [value(slope[p].sum(), weight[p].sum()) for p in (slice(0, cut), slice(cut, 12))]
+    assert np.allclose(gam._tree(slope, weight, 1), np.repeat(want, [cut, 12 - cut]))
+    s, w = rng.normal(size=(gam.GRID, gam.GRID)), rng.random((gam.GRID, gam.GRID)) + 0.1
+
+    def quarters(i, j):
+        return [(slice(a, b), slice(c, d)) for a, b in ((0, i), (i, None)) for c, d in ((0, j), (j, None))]
+    best = max(((i, j) for i in range(1, gam.GRID) for j in range(1, gam.GRID)),
+               key=lambda ij: sum(s[q].sum() * value(s[q].sum(), w[q].sum()) for q in quarters(*ij)))
+    step, explained = gam._quadrants(s, w)
+    for q in quarters(*best):
+        assert np.allclose(step[q], value(s[q].sum(), w[q].sum()))
+    assert math.isclose(explained, sum(s[q].sum() * value(s[q].sum(), w[q].sum()) for q in quarters(*best)), rel_tol=1e-9)
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, (4000, 4))
