@@ -8,11 +8,12 @@ part of the table is reduced on the map side.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, _parse_datatype_string
 
 from ordermill.functions import columns as C
 from ordermill.operators.shaping import inline_rows, missing_keys
@@ -133,7 +134,7 @@ def null_total(df: DataFrame) -> DataFrame:
 
 # ---- declared constraints --------------------------------------------------------
 
-def _broken(rule: Rule) -> Column:
+def _broken(rule: Rule, df: DataFrame) -> Column:
     """True on rows that break a row-level rule; null passes unless the rule forbids null."""
     column = F.col(rule.columns[0])
     if rule.kind == "not_null":
@@ -145,13 +146,17 @@ def _broken(rule: Rule) -> Column:
     if rule.kind == "between":
         return ~column.between(*rule.arg)
     if rule.kind == "fits":
+        wanted, have = _parse_datatype_string(rule.arg[0]), df.schema[rule.columns[0]].dataType
+        if isinstance(wanted, DecimalType) and isinstance(have, DecimalType):
+            # a cast that fails costs an exception for each row
+            return F.abs(F.round(column, wanted.scale)) >= F.lit(Decimal(10) ** (wanted.precision - wanted.scale))
         return column.isNotNull() & column.try_cast(rule.arg[0]).isNull()
     raise ValueError(f"not a row rule: {rule.kind}")
 
 
 def _row_rules(df: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
     """(rule, n) of the row-level rules of one table, from a single aggregate without groups."""
-    counts = [F.struct(F.lit(n).alias("rule"), F.count_if(_broken(r)).alias("n")) for n, r in rules]
+    counts = [F.struct(F.lit(n).alias("rule"), F.count_if(_broken(r, df)).alias("n")) for n, r in rules]
     return df.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
