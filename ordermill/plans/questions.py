@@ -8,6 +8,8 @@ orders table, so joins run between unique keys, no item row is counted twice and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +149,21 @@ REPORTED = {
 }
 
 
+#: Computed columns that grow with the tables, so they may outgrow their printed type.
+GROWING = ("revenue", "monetary")
+
+
 def reported(question: str, df: DataFrame) -> DataFrame:
-    """The result of a question in its printed decimal types (rounded half up)."""
-    return df.withColumns({c: F.col(c).cast(t) for c, t in REPORTED[question].items()})
+    """The result of a question in its printed decimal types (rounded half up).
+
+    A sum that has too many digits for its printed type gets more of them, and the same decimals, instead of an error.
+    """
+    types = dict(REPORTED[question])
+    growing = [c for c in types if c in GROWING]
+    if growing:
+        df = kept(df)  # one row tells whether the values fit
+        places = {c: [int(n) for n in re.findall(r"\d+", types[c])] for c in growing}
+        largest = df.agg(*[F.max(F.abs(F.round(c, places[c][1]))).alias(c) for c in growing]).first()
+        types |= {c: f"decimal(38,{n})" for c, (digits, n) in places.items()
+                  if largest[c] is not None and largest[c] >= 10 ** (digits - n)}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})

@@ -231,6 +231,17 @@ def test_reported_types_round_half_up(spark):
     assert (row.revenue, row.mom_growth_pct) == (D("1.01"), D("0.3"))
 
 
+def test_sums_beyond_their_printed_type_keep_all_digits(spark):
+    kind = "category string, items_sold long, revenue decimal(33,3), revenue_share_pct double"
+    small = [("a", 1, D("9999999999.994"), 60.0), ("b", 1, None, None)]
+    out = questions.reported("category_revenue", inline_rows(spark, small, kind))
+    assert dict(out.dtypes)["revenue"] == "decimal(12,2)"
+    assert rows(out, "revenue") == [(D("9999999999.99"),), (None,)]
+    large = [("a", 1, D("9999999999.995"), 60.0), ("b", 1, D("-1.005"), 40.0)]
+    out = questions.reported("category_revenue", inline_rows(spark, large, kind))
+    assert rows(out, "revenue", "revenue_share_pct") == [(D("10000000000.00"), D("60.00")), (D("-1.01"), D("40.00"))]
+
+
 def test_growth_and_revenue_outside_a_fixed_calendar(spark, t):
     shop = build_star(spark, t, with_places=False)
     months = metrics.evaluate(shop, ["total_revenue", "mom_growth"], ["year_month"])
