@@ -1,8 +1,8 @@
 """Fitted models as tables: one row per node of every tree, or per coefficient, saved once and scored as a plan.
 
 A saved model is a folder with three small tables: the nodes, the preparation, and what the sum of the trees means. It
-needs no ML library to be scored: the nodes become one row of arrays, which is broadcast after a check of its size, and
-every input row walks all trees in one narrow projection without a shuffle.
+needs no ML library to be scored: the nodes become a few arrays, which are broadcast after a check of their size, and
+the rows of an Arrow batch walk all trees side by side, in one narrow projection without a shuffle.
 
 The value of a node is what the score is expected to be among the training rows that reach it, so the difference between
 a node and its child belongs to the feature that parted them. Summed along a row's path and over all trees, these
@@ -14,6 +14,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,10 @@ from ordermill.plans.features import CATEGORICAL, INFREQUENT, NUMERIC, fold_leve
 #: ``low`` is the child of values up to ``cut``, ``high`` of larger ones; leaves have neither. ``gain`` is the gain of the
 #: split over all rows that it parts.
 NODES = "tree int, node int, feature int, cut double, low int, high int, value double, gain double"
-#: Nodes that one broadcast row may hold (about 50 bytes each).
+#: Nodes that may be broadcast (20 bytes each, and 50 while they are collected).
 MAX_NODES = 4_000_000
+#: Rows that walk side by side, so that their features and places stay in the cache.
+WALKED = 4096
 LOG_ODDS, SHARE = "log_odds", "share"
 
 
@@ -77,50 +82,77 @@ def nodes_of(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
         value.alias("value"), inner(F.col("n.gain") * everyone).alias("gain")), LOG_ODDS if boosted else SHARE
 
 
-def one_row(nodes: DataFrame) -> DataFrame:
-    """All trees as one row: ``trees``, an array of arrays of nodes. Nodes of a tree are numbered from 0, its root."""
+def shared_nodes(nodes: DataFrame) -> Broadcast:
+    """All trees end to end, as arrays: each tree's root, and each node's feature, cut, two children and value.
+
+    Nodes of a tree are numbered from 0, its root. A leaf is its own child on both sides.
+    """
     count = nodes.count()
     if count > MAX_NODES:
         raise ValueError(f"{count} nodes are too many to broadcast")
-    node = F.struct("node", "feature", "cut", "low", "high", "value")
-    trees = nodes.groupBy("tree").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    return trees.agg(F.array_sort(F.collect_list(F.struct("tree", "nodes"))).alias("trees")) \
-                .select(F.col("trees.nodes").alias("trees"))
-
-
-def _child(nodes: Column, at: Column, x: Column) -> Column:
-    """The number of the next node on a row's path; a leaf is its own."""
-    here = F.element_at(nodes, at + 1)
-    lower = F.element_at(x, here["feature"] + 1) <= here["cut"]
-    return F.when(here["low"].isNull(), at).when(lower, here["low"]).otherwise(here["high"])
-
-
-def _steps(depth: int) -> Column:
-    return F.sequence(F.lit(1), F.lit(max(1, depth)))
-
-
-def tree_sums(trees: Column, x: Column, depth: int) -> Column:
-    """The sum of the values of the leaves that a row's features lead to."""
-    def leaf(nodes: Column) -> Column:
-        last = F.aggregate(_steps(depth), F.lit(0), lambda at, _: _child(nodes, at, x))
-        return F.element_at(nodes, last + 1)["value"]
-    return F.aggregate(trees, F.lit(0.0), lambda total, nodes: total + leaf(nodes))
-
-
-def tree_parts(trees: Column, x: Column, depth: int, size: int) -> Column:
+    rows = nodes.select("tree", "node", "feature", "cut", "low", "high", "value").toArrow()
+    tree, node = (rows.column(c).to_numpy() for c in ("tree", "node"))
+    order = np.lexsort((node, tree))
+    tree, leaf = tree[order], rows.column("low").is_null().to_numpy()[order]
+    roots = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]) if count else np.zeros(0, np.int64)
+    start = np.repeat(roots, np.diff(np.r_[roots, count]))
+
+    def column(name: str, other: float) -> np.ndarray:
+        return rows.column(name).fill_null(other).to_numpy()[order]
+    sides = [np.where(leaf, np.arange(count), start + column(c, 0)) for c in ("low", "high")]
+    return nodes.sparkSession.sparkContext.broadcast((
+        roots, column("feature", 0).astype(np.int32), column("cut", 0.0), np.stack(sides, axis=1).ravel().astype(np.int32), column("value", 0.0)))
+
+
+def tree_sums(shared: Broadcast, x: Column, depth: int, size: int) -> Column:
+    """The sum of the values of the leaves that a row's ``size`` features lead to; missing ones count as large."""
+    steps, walked = max(1, depth), WALKED
+
+    def sums(features: pa.Array) -> pa.Array:
+        roots, feature, cut, child, value = shared.value
+        every = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), size)
+        out = np.zeros(len(every))
+        for begin in range(0, len(every), walked):
+            flat = np.ascontiguousarray(every[begin:begin + walked].T).ravel()
+            n = len(flat) // size
+            row = np.arange(n)
+            for root in roots.tolist():
+                at = np.full(n, root)
+                for _ in range(steps):
+                    after = child[2 * at + ~(flat[feature[at] * n + row] <= cut[at])]
+                    if (after == at).all():
+                        break
+                    at = after
+                out[begin:begin + n] += value[at]
+        return pa.array(out)
+    return F.arrow_udf(sums, "double")(x)
+
+
+def tree_parts(shared: Broadcast, x: Column, depth: int, size: int) -> Column:
     """What each feature adds to the sum along a row's paths, as an array of ``size``."""
-    nothing = F.array_repeat(F.lit(0.0), size)
-
-    def along(nodes: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            here = F.element_at(nodes, state["at"] + 1)
-            after = _child(nodes, state["at"], x)
-            change = F.element_at(nodes, after + 1)["value"] - here["value"]
-            return F.struct(after.alias("at"), F.transform(state["parts"], lambda v, i: F.when(
-                i.eqNullSafe(here["feature"]), v + change).otherwise(v)).alias("parts"))
-        start = F.struct(F.lit(0).alias("at"), nothing.alias("parts"))
-        return F.aggregate(_steps(depth), start, step, lambda state: state["parts"])
-    return F.aggregate(trees, nothing, lambda total, nodes: F.zip_with(total, along(nodes), lambda a, b: a + b))
+    steps, walked = max(1, depth), WALKED
+
+    def parts(features: pa.Array) -> pa.Array:
+        roots, feature, cut, child, value = shared.value
+        every = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), size)
+        out = np.zeros((len(every), size))
+        for begin in range(0, len(every), walked):
+            flat = np.ascontiguousarray(every[begin:begin + walked].T).ravel()
+            n = len(flat) // size
+            row, total = np.arange(n), np.zeros(len(flat))
+            for root in roots.tolist():
+                at, own = np.full(n, root), np.zeros(len(flat))
+                for _ in range(steps):
+                    cell = feature[at] * n + row
+                    after = child[2 * at + ~(flat[cell] <= cut[at])]
+                    if (after == at).all():
+                        break
+                    own[cell] += value[after] - value[at]
+                    at = after
+                total += own
+            out[begin:begin + n] = total.reshape(size, n).T
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(every) + 1, dtype=np.int32) * np.int32(size)), pa.array(out.ravel()))
+    return F.arrow_udf(parts, "array<double>")(x)
 
 
 def base_of(nodes: DataFrame) -> DataFrame:
@@ -174,9 +206,7 @@ class SavedModel:
         if self.linear:
             total = F.aggregate(F.zip_with("__x", "weights", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
             return rows.crossJoin(F.broadcast(self._coefficients())).select(*df.columns, total.alias("score"))  # one row
-        # one row, whose nodes are counted before
-        return rows.crossJoin(F.broadcast(one_row(self.nodes))).select(
-            *df.columns, tree_sums(F.col("trees"), F.col("__x"), self.depth).alias("score"))
+        return rows.select(*df.columns, tree_sums(shared_nodes(self.nodes), F.col("__x"), self.depth, len(self.names)).alias("score"))
 
     def score(self, df: DataFrame) -> DataFrame:
         """The rows with ``risk``, the probability of a low review."""
@@ -187,8 +217,8 @@ class SavedModel:
         """The rows with ``base`` and ``parts``, one per feature in vector order, which add up to the score."""
         if self.linear:
             raise ValueError("a linear model has no trees; see linear_attribution")
-        both = df.withColumn("__x", self.features()).crossJoin(F.broadcast(one_row(self.nodes))).crossJoin(F.broadcast(base_of(self.nodes)))
-        return both.select(*df.columns, "base", tree_parts(F.col("trees"), F.col("__x"), self.depth, len(self.names)).alias("parts"))
+        both = df.withColumn("__x", self.features()).crossJoin(F.broadcast(base_of(self.nodes)))  # one row
+        return both.select(*df.columns, "base", tree_parts(shared_nodes(self.nodes), F.col("__x"), self.depth, len(self.names)).alias("parts"))
 
     def importance(self, k: int = 12) -> DataFrame:
         """Share of the total gain per feature, largest first."""

@@ -221,6 +221,42 @@ def test_nodes_follow_plain_sql(spark, fitted, tmp_path):
     assert got == pytest.approx(dict(want), abs=1e-12)
 
 
+@pytest.mark.parametrize("walked", [3, 4096])
+def test_batches_of_rows_walk_the_trees_as_single_rows_do(spark, monkeypatch, walked):
+    monkeypatch.setattr(node_table, "WALKED", walked)
+    rng = np.random.default_rng(11)
+    trees = []
+    for tree in range(8):  # of any shape; one is a single leaf
+        nodes = [[tree, 0, None, None, None, None, float(rng.normal()), None]]
+        for node in range(0 if tree == 3 else 9):
+            if node < len(nodes) and rng.random() < 0.8:
+                n = len(nodes)
+                nodes[node][2:6] = int(rng.integers(0, 3)), float(rng.normal()), n, n + 1
+                nodes += [[tree, n + i, None, None, None, None, float(rng.normal()), None] for i in range(2)]
+        trees.append(nodes)
+    rows = [(i, [None if rng.random() < 0.1 else float("nan") if rng.random() < 0.1 else float(rng.normal()) for _ in range(3)])
+            for i in range(50)]
+    shared = node_table.shared_nodes(inline_rows(spark, [tuple(n) for t in trees[::-1] for n in t[::-1]], node_table.NODES))
+    df = inline_rows(spark, rows, "id int, x array<double>").repartition(2)
+    out = df.select("id", node_table.tree_sums(shared, F.col("x"), 4, 3).alias("s"), node_table.tree_parts(shared, F.col("x"), 4, 3).alias("p"))
+    # every node is reached by array access, not by functions that are interpreted for each row and node
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.s, r.p) for r in out.collect()}
+    for i, x in rows:
+        total, parts = 0.0, [0.0] * 3
+        for nodes in trees:
+            at, own = 0, [0.0] * 3
+            for _ in range(4):
+                _, _, feature, cut, low, high, value, _ = nodes[at]
+                if low is None:
+                    break
+                at = low if x[feature] is not None and x[feature] <= cut else high
+                own[feature] += nodes[at][6] - value
+            total += nodes[at][6]
+            parts = [a + b for a, b in zip(parts, own)]
+        assert got[i] == (total, parts)
+
+
 def test_too_many_nodes_are_not_broadcast(spark, fitted, monkeypatch):
     _, test, _, models = fitted
     monkeypatch.setattr(node_table, "MAX_NODES", 10)
