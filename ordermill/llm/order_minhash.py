@@ -392,13 +392,17 @@ def links(signs: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFr
     texts = docs.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     first = members.withColumn("p", F.pmod(F.xxhash64("rid"), F.col("parts"))).select(
         "family", "p", F.col("p").alias("q"), "rid", F.col("rid").alias("label"))
-    edges = written(block_edges(first.join(texts, "rid"), similar), "links")
+    # a broadcast of the members' numbers, where they are few enough, spares all other texts the way through the shuffle
+    some = texts.join(members.select("rid"), "rid", "left_semi")
+    edges = written(block_edges(first.join(some, "rid"), similar), "links")
     large = members.filter("parts > 1")
     if not large.limit(1).count():
         return edges
     found = components(edges).select(F.col("node").alias("rid"), "label")
     blocks = met_blocks(large.join(found, "rid", "left").select("family", "rid", "n", F.coalesce("label", "rid").alias("label")))
-    return edges.unionByName(written(block_edges(blocks.join(texts, "rid"), similar), "links"))
+    # of all texts only those of large families move
+    again = texts.join(large.select("rid"), "rid", "left_semi")
+    return edges.unionByName(written(block_edges(blocks.join(again, "rid"), similar), "links"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, repeats: bool = True) -> DataFrame:

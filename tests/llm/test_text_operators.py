@@ -672,6 +672,22 @@ def test_loose_families_in_crowded_buckets(spark, monkeypatch, shingles):
     assert {r.doc_id: r.class_id for r in got} == _true_classes(rows)
 
 
+def test_only_texts_of_families_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BUCKET", 6)
+    plans, run = [], order_minhash.block_edges
+
+    def seen(rows, similar):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return run(rows, similar)
+    monkeypatch.setattr(order_minhash, "block_edges", seen)
+    rng = random.Random(37)
+    w = prose(rng, 300).split()
+    rows = [(i, " ".join([*w[:i], f"z{i}", *w[i + 1:]]) if i < 20 else prose(rng, 60)) for i in range(40)]
+    got = order_minhash.document_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == _true_classes(rows)
+    assert len(plans) == 2 and all("LeftSemi" in p for p in plans)  # the family is a large one: its parts meet
+
+
 def test_alignment_minds_the_order():
     a = np.arange(100, dtype=np.uint64)
     assert order_minhash.aligned(a, a) == 1.0
