@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from ordermill.functions import columns as C
 from ordermill.operators.shaping import inline_rows, top_n
 from ordermill.plans.features import CATEGORICAL, INFREQUENT, NUMERIC, fold_level, scaled
+from ordermill.session import written
 
 #: ``low`` is the child of values up to ``cut``, ``high`` of larger ones; leaves have neither. ``gain`` is the gain of the
 #: split over all rows that it parts.
 NODES = "tree int, node int, feature int, cut double, low int, high int, value double, gain double"
-#: Nodes that may be broadcast (20 bytes each, and 50 while they are collected).
+#: Nodes that may be broadcast at once (20 bytes each, and 50 while they are collected).
 MAX_NODES = 4_000_000
 #: Rows that walk side by side, so that their features and places stay in the cache.
 WALKED = 4096
@@ -104,14 +105,17 @@ def shared_nodes(nodes: DataFrame) -> Broadcast:
         roots, column("feature", 0).astype(np.int32), column("cut", 0.0), np.stack(sides, axis=1).ravel().astype(np.int32), column("value", 0.0)))
 
 
-def tree_sums(shared: Broadcast, x: Column, depth: int, size: int) -> Column:
-    """The sum of the values of the leaves that a row's ``size`` features lead to; missing ones count as large."""
+def tree_sums(shared: Broadcast, x: Column, depth: int, size: int, begun: Column | None = None) -> Column:
+    """The sum of the values of the leaves that a row's ``size`` features lead to; missing ones count as large.
+
+    It is added to what other trees have ``begun``.
+    """
     steps, walked = max(1, depth), WALKED
 
-    def sums(features: pa.Array) -> pa.Array:
+    def sums(features: pa.Array, before: pa.Array) -> pa.Array:
         roots, feature, cut, child, value = shared.value
         every = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), size)
-        out = np.zeros(len(every))
+        out = before.to_numpy(zero_copy_only=False).copy()
         for begin in range(0, len(every), walked):
             flat = np.ascontiguousarray(every[begin:begin + walked].T).ravel()
             n = len(flat) // size
@@ -125,7 +129,33 @@ def tree_sums(shared: Broadcast, x: Column, depth: int, size: int) -> Column:
                     at = after
                 out[begin:begin + n] += value[at]
         return pa.array(out)
-    return F.arrow_udf(sums, "double")(x)
+    return F.arrow_udf(sums, "double")(x, F.lit(0.0) if begun is None else begun)
+
+
+def total_of(nodes: DataFrame, df: DataFrame, depth: int, size: int) -> DataFrame:
+    """The rows with ``__total``, the sum over all trees for the features in ``__x``.
+
+    Trees with more than ``MAX_NODES`` nodes are taken some at a time, and what they add up to is written in between, so
+    that only some of them are on the driver and with the tasks at once.
+    """
+    counts = nodes.groupBy("tree").count().orderBy("tree").collect()  # one row per tree
+    groups, held = [], 0
+    for r in counts:
+        if r["count"] > MAX_NODES:
+            raise ValueError(f"{r['count']} nodes are too many to broadcast")
+        if not groups or held + r["count"] > MAX_NODES:
+            groups.append((r.tree, r.tree))
+            held = 0
+        groups[-1] = (groups[-1][0], r.tree)
+        held += r["count"]
+    if len(groups) <= 1:
+        return df.withColumn("__total", tree_sums(shared_nodes(nodes), F.col("__x"), depth, size))
+    out = df.withColumn("__total", F.lit(0.0))
+    for first, last in groups:
+        shared = shared_nodes(nodes.filter(F.col("tree").between(first, last)))
+        out = written(out.withColumn("__total", tree_sums(shared, F.col("__x"), depth, size, F.col("__total"))), "scores")
+        shared.destroy()
+    return out
 
 
 def tree_parts(shared: Broadcast, x: Column, depth: int, size: int) -> Column:
@@ -206,7 +236,7 @@ class SavedModel:
         if self.linear:
             total = F.aggregate(F.zip_with("__x", "weights", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
             return rows.crossJoin(F.broadcast(self._coefficients())).select(*df.columns, total.alias("score"))  # one row
-        return rows.select(*df.columns, tree_sums(shared_nodes(self.nodes), F.col("__x"), self.depth, len(self.names)).alias("score"))
+        return total_of(self.nodes, rows, self.depth, len(self.names)).select(*df.columns, F.col("__total").alias("score"))
 
     def score(self, df: DataFrame) -> DataFrame:
         """The rows with ``risk``, the probability of a low review."""

@@ -287,3 +287,11 @@ def test_a_row_without_label_stops_the_split(spark):
     df = spark.createDataFrame([(1, 0), (2, None)], "order_id int, is_low_review int")
     with pytest.raises(Exception, match="has no"):
         features.stratified_split(df).collect()
+
+
+def test_trees_are_scored_some_at_a_time(spark, fitted, monkeypatch):
+    _, test, _, models = fitted
+    want = {r.order_id: r.risk for r in models["random_forest"].score(test).collect()}
+    most = models["random_forest"].nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(node_table, "MAX_NODES", 2 * most)  # all ten trees are more
+    assert {r.order_id: r.risk for r in models["random_forest"].score(test).collect()} == want
