@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ordermill.models import evaluation, node_table
+from ordermill.models import boosting, evaluation, node_table
 from ordermill.operators.quality import stacked
 from ordermill.operators.shaping import inline_rows, top_n
 from ordermill.plans.features import (CATEGORICAL, LABEL, NUMERIC, SEED, balanced_weights, fold_level,
@@ -26,6 +26,9 @@ from ordermill.session import scratch_path, shared_dir
 PART_ROWS = 100_000
 #: Rows on which trees of any depth may be fitted.
 MAX_ROWS = 1_000_000
+#: Rows beyond which boosted trees are grown on counts per bin: a level takes at least one job with Python tasks there, which
+#: fewer rows do not pay back.
+COUNTED_ROWS = 250_000
 #: Changes whenever the same rows would give another model.
 VERSION = 1
 
@@ -127,7 +130,12 @@ def random_forest(train: DataFrame, trees: int = 300, max_depth: int = 30) -> ob
 
 def boosted_trees(train: DataFrame, rounds: int = 300, max_depth: int = 5,
                   rate: float = 0.1) -> object:
+    """The same trees either way: by the library, or for more than ``COUNTED_ROWS`` rows on counts per bin."""
     shared_dir(train.sparkSession)  # long lineages are cut at the checkpoint folder
+    by_label = {r[LABEL]: r for r in balanced_weights(train).collect()}  # one row per label
+    if sum(r["n"] for r in by_label.values()) > COUNTED_ROWS:
+        labels = {0: (by_label[0]["n"], 1.0), 1: (by_label[1]["n"], by_label[1]["imbalance_ratio"])}
+        return boosting.boosted(train.withColumnRenamed(LABEL, "label"), labels, rounds, max_depth, rate, SEED)
     return GBTClassifier(
         labelCol=LABEL, weightCol="weight", maxIter=rounds, maxDepth=max_depth, stepSize=rate,
         checkpointInterval=10, seed=SEED).fit(weighted(train, positive_only=True))
@@ -177,6 +185,8 @@ def as_saved(spark: SparkSession, model: ReviewModel, path: str) -> node_table.S
         weights = [(i, 0, i, None, None, None, float(w), None) for i, w in enumerate(fitted.coefficients.toArray())]
         nodes = inline_rows(spark, [*weights, (-1, 0, None, None, None, None, float(fitted.intercept), None)], node_table.NODES)
         link, depth = node_table.LOG_ODDS, 0
+    elif isinstance(fitted, boosting.BoostedTrees):
+        nodes, link, depth = fitted.nodes, node_table.LOG_ODDS, fitted.depth
     else:
         raw = f"{path}/spark"
         fitted.write().overwrite().save(raw)

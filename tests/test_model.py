@@ -295,3 +295,46 @@ def test_trees_are_scored_some_at_a_time(spark, fitted, monkeypatch):
     most = models["random_forest"].nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
     monkeypatch.setattr(node_table, "MAX_NODES", 2 * most)  # all ten trees are more
     assert {r.order_id: r.risk for r in models["random_forest"].score(test).collect()} == want
+
+
+@pytest.mark.parametrize("rows, few", [(3000, 400), (12_500, 5000)])
+def test_trees_grown_on_counts_are_the_librarys(spark, monkeypatch, rows, few):
+    """More rows than the library draws its cuts from, several partitions and chunks, a saved model, scores checkpointed."""
+    h = F.pmod(F.xxhash64("order_id"), F.lit(1000)) / 1000
+    train = spark.range(rows).withColumnRenamed("id", "order_id").withColumn("h", h).selectExpr(
+        "order_id", "cast(order_id * 7 % 40 - 20 as int) as delivery_delay_days", "cast(xxhash64(order_id, 1) % 60 as int) as delivery_days",
+        "cast(xxhash64(order_id, 2) % 9973 as decimal(12,2)) as price_total", "cast(7 as decimal(12,2)) as freight_total",
+        "pmod(xxhash64(order_id, 3), 4) + 1 as item_count", "element_at(array('toys', 'books', 'art'), cast(order_id % 3 + 1 as int)) as category",
+        "cast(order_id % 2 as int) as cross_state", "if(order_id % 7 = 0, 'boleto', 'credit_card') as payment_type",
+        "cast(order_id % 11 + 1 as int) as max_installments",
+        "cast(h < if(order_id * 7 % 40 - 20 > 5, 0.7D, 0.1D) + order_id % 3 * 0.1D as int) as is_low_review")
+    preparation = review_model.prepare(train, 100)
+    vectors = review_model.prepared(train, preparation)
+    settings = {"rounds": 6, "max_depth": 4}
+    library = review_model.fit(train, "boosted_trees", preparation, rows=vectors, **settings)
+    monkeypatch.setattr(review_model, "COUNTED_ROWS", 1000)
+    for name, value in (("FEW", few), ("CHUNK", 700), ("KEPT", 2)):
+        monkeypatch.setattr(review_model.boosting, name, value)
+    counted = review_model.fit(train, "boosted_trees", preparation, rows=vectors, **settings)
+    assert isinstance(counted.fitted, review_model.boosting.BoostedTrees)
+    want = {r.order_id: r.risk for r in library.score(train).collect()}
+    assert {r.order_id: r.risk for r in counted.score(train).collect()} == pytest.approx(want, abs=1e-12)
+    assert counted.fitted.featureImportances.toArray() == pytest.approx(library.fitted.featureImportances.toArray(), abs=1e-9)
+    saved = review_model.saved_models(train, {"boosted_trees": settings}, 100)["boosted_trees"]
+    assert {r.order_id: r.risk for r in saved.score(train).collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_cuts_part_the_weight_evenly():
+    cuts_of = review_model.boosting.cuts_of
+    one = np.ones(8)
+    assert cuts_of(np.array([1.0, 2, 2, 3, 1, 2, 3, 3]), one, 8.0, 31).tolist() == [1.5, 2.5]
+    assert cuts_of(np.arange(1.0, 9), one, 8.0, 3).tolist() == [2.5, 4.5, 6.5]
+    assert cuts_of(np.array([0.0, 0, 0, 4, 4, 4, 4, 4]), one, 8.0, 31).tolist() == [2.0]  # zeros weigh the rest
+    assert cuts_of(np.zeros(8), one, 8.0, 31).tolist() == []
+
+
+def test_features_share_cells():
+    cuts = [np.arange(n) for n in (31, 31, 0, 7, 1, 300)]
+    groups = review_model.boosting.grouped(cuts)
+    assert sorted(f for g in groups for f, _, _ in g) == [0, 1, 3, 4, 5]
+    assert all(review_model.boosting.width(g) <= 256 or len(g) == 1 for g in groups)
