@@ -51,10 +51,15 @@ class BoostedTrees:
 
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802 - as the library's models name it
-        out = np.zeros(self.size)
-        for r in node_table.gain_shares(self.nodes, by_tree=False).collect():  # one row per feature
-            out[r.feature] = r.importance
-        return DenseVector(out)
+        return importances(self.nodes, self.size, by_tree=False)
+
+
+def importances(nodes: DataFrame, size: int, by_tree: bool) -> DenseVector:
+    """Each feature's share of all gain."""
+    out = np.zeros(size)
+    for r in node_table.gain_shares(nodes, by_tree).collect():  # one row per feature
+        out[r.feature] = r.importance
+    return DenseVector(out)
 
 
 # ---- bins ------------------------------------------------------------------------------------
@@ -128,11 +133,14 @@ def width(group: Sequence[tuple[int, int, int]]) -> int:
     return group[-1][1] * group[-1][2] if group else 1
 
 
-def packed(train: DataFrame, cuts: Sequence[np.ndarray], groups: Sequence, parts: int) -> RDD:
-    """(cells, positives, scores) per chunk of rows: the cell of each group, rows of label 0 first; no scores yet."""
-    chunk, kind = CHUNK, np.uint8 if all(width(g) <= 256 for g in groups) else np.uint16 if all(
-        width(g) <= 65536 for g in groups) else np.int32
-    count = len(groups)
+def cell_type(groups: Sequence) -> type:
+    """The smallest numbers that cells fit in."""
+    return np.uint8 if all(width(g) <= 256 for g in groups) else np.uint16 if all(width(g) <= 65536 for g in groups) else np.int32
+
+
+def packed_chunks(rows: DataFrame, cuts: Sequence[np.ndarray], groups: Sequence) -> DataFrame:
+    """(cells, positives) per chunk of rows: the cell of each group, rows of label 0 first."""
+    chunk, kind, count = CHUNK, cell_type(groups), len(groups)
 
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -155,10 +163,15 @@ def packed(train: DataFrame, cuts: Sequence[np.ndarray], groups: Sequence, parts
                 held, rows = [], 0
         if rows:
             yield out()
+    return rows.select("label", vector_to_array("features").alias("x")).mapInArrow(cells_of, "cells binary, positives long")
+
+
+def packed(train: DataFrame, cuts: Sequence[np.ndarray], groups: Sequence, parts: int) -> RDD:
+    """(cells, positives, scores) per chunk of rows; no scores yet."""
+    kind, count = cell_type(groups), len(groups)
     keys = [c for c in train.columns if c not in ("label", "features")]
     ordered = train.repartition(parts, *keys).sortWithinPartitions(*keys) if keys else train.repartition(parts)
-    return ordered.select("label", vector_to_array("features").alias("x")).mapInArrow(cells_of, "cells binary, positives long").rdd.map(
-        lambda r: (np.frombuffer(r.cells, kind).reshape(count, -1), r.positives, None))
+    return packed_chunks(ordered, cuts, groups).rdd.map(lambda r: (np.frombuffer(r.cells, kind).reshape(count, -1), r.positives, None))
 
 
 # ---- rounds ----------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ordermill.models import boosting, evaluation, node_table
+from ordermill.models import boosting, evaluation, forest, node_table
 from ordermill.operators.quality import stacked
 from ordermill.operators.shaping import inline_rows, top_n
 from ordermill.plans.features import (CATEGORICAL, LABEL, NUMERIC, SEED, balanced_weights, fold_level,
@@ -24,13 +24,18 @@ from ordermill.session import scratch_path, shared_dir
 
 #: Training rows of one partition; small data are fitted without a shuffle between tasks.
 PART_ROWS = 100_000
-#: Rows on which trees of any depth may be fitted.
-MAX_ROWS = 1_000_000
+#: Drawn rows on each side of a split in a forest.
+LEAST_ROWS = 5
+#: Rows on which trees of any depth may be fitted: none has more nodes than can be scored at once.
+MAX_ROWS = node_table.MAX_NODES // 2 * LEAST_ROWS
+#: Rows beyond which the trees of a forest are grown side by side, each in one task; the library grows all trees level by level,
+#: which takes minutes for a few deep trees on 200,000 rows.
+SIDE_BY_SIDE_ROWS = 20_000
 #: Rows beyond which boosted trees are grown on counts per bin: a level takes at least one job with Python tasks there, which
 #: fewer rows do not pay back.
 COUNTED_ROWS = 250_000
 #: Changes whenever the same rows would give another model.
-VERSION = 1
+VERSION = 2
 
 @dataclass(frozen=True)
 class Preparation:
@@ -115,16 +120,21 @@ def logistic(train: DataFrame, max_iter: int = 1000) -> object:
 
 
 def random_forest(train: DataFrame, trees: int = 300, max_depth: int = 30) -> object:
-    """Trees as deep as their rows go; node ids are kept with the rows, so deep levels need no walk from the root.
+    """Trees as deep as their rows go, by the library, or for more than ``SIDE_BY_SIDE_ROWS`` rows each in one task.
 
-    A forest has at most two nodes for every ``minInstancesPerNode`` rows and tree, and its nodes live on the driver, so
-    rows are bounded: beyond ``MAX_ROWS`` deep trees raise an error instead of filling it. Use a lower depth there.
+    A tree has at most two nodes for every ``minInstancesPerNode`` rows and is scored as a whole, and its task holds a few bytes of
+    every row, so rows are bounded: beyond ``MAX_ROWS`` deep trees raise an error. A lower depth goes to the library there.
     """
-    if max_depth > 16 and train.count() > MAX_ROWS:
+    by_label = {r[LABEL]: r for r in balanced_weights(train).collect()}  # one row per label
+    count = sum(r["n"] for r in by_label.values())
+    if max_depth > 16 and count > MAX_ROWS:
         raise ValueError(f"trees of depth {max_depth} on more than {MAX_ROWS} rows need too many nodes; lower max_depth")
     shared_dir(train.sparkSession)
+    if SIDE_BY_SIDE_ROWS < count <= MAX_ROWS:
+        labels = {label: (by_label[label]["n"], by_label[label]["weight"]) for label in (0, 1)}
+        return forest.forest(train.withColumnRenamed(LABEL, "label"), labels, trees, max_depth, LEAST_ROWS, SEED)
     return RandomForestClassifier(
-        labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=5,
+        labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=LEAST_ROWS,
         featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10).fit(weighted(train))
 
 
@@ -185,8 +195,9 @@ def as_saved(spark: SparkSession, model: ReviewModel, path: str) -> node_table.S
         weights = [(i, 0, i, None, None, None, float(w), None) for i, w in enumerate(fitted.coefficients.toArray())]
         nodes = inline_rows(spark, [*weights, (-1, 0, None, None, None, None, float(fitted.intercept), None)], node_table.NODES)
         link, depth = node_table.LOG_ODDS, 0
-    elif isinstance(fitted, boosting.BoostedTrees):
-        nodes, link, depth = fitted.nodes, node_table.LOG_ODDS, fitted.depth
+    elif isinstance(fitted, (boosting.BoostedTrees, forest.ForestTrees)):
+        nodes, depth = fitted.nodes, fitted.depth
+        link = node_table.LOG_ODDS if isinstance(fitted, boosting.BoostedTrees) else node_table.SHARE
     else:
         raw = f"{path}/spark"
         fitted.write().overwrite().save(raw)

@@ -1,14 +1,15 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from market import tables
-from ordermill.models import attribution, evaluation, node_table, review_model
+from ordermill.models import attribution, evaluation, forest, node_table, review_model
 from ordermill.operators.shaping import inline_rows
 from ordermill.plans import features
-from ordermill.session import written
+from ordermill.session import scratch_path, written
 
 
 def test_feature_table(spark):
@@ -338,3 +339,107 @@ def test_features_share_cells():
     groups = review_model.boosting.grouped(cuts)
     assert sorted(f for g in groups for f, _, _ in g) == [0, 1, 3, 4, 5]
     assert all(review_model.boosting.width(g) <= 256 or len(g) == 1 for g in groups)
+
+
+def odd_vectors(spark, rows):
+    h = F.pmod(F.xxhash64("order_id"), F.lit(1000)) / 1000
+    train = spark.range(rows).withColumnRenamed("id", "order_id").withColumn("h", h).selectExpr(
+        "order_id", "cast(order_id * 7 % 40 - 20 as int) as delivery_delay_days", "cast(xxhash64(order_id, 1) % 60 as int) as delivery_days",
+        "cast(xxhash64(order_id, 2) % 9973 as decimal(12,2)) as price_total", "cast(7 as decimal(12,2)) as freight_total",
+        "pmod(xxhash64(order_id, 3), 4) + 1 as item_count", "element_at(array('toys', 'books', 'art'), cast(order_id % 3 + 1 as int)) as category",
+        "cast(order_id % 2 as int) as cross_state", "if(order_id % 7 = 0, 'boleto', 'credit_card') as payment_type",
+        "cast(order_id % 11 + 1 as int) as max_installments",
+        "cast(h < if(order_id * 7 % 40 - 20 > 5, 0.7D, 0.1D) + order_id % 3 * 0.1D as int) as is_low_review")
+    preparation = review_model.prepare(train, 100)
+    return train, preparation, review_model.prepared(train, preparation)
+
+
+@pytest.mark.parametrize("rows, depth, least", [(3000, 30, 5), (12_500, 12, 5)])
+def test_a_tree_grown_by_one_task_is_the_librarys(spark, monkeypatch, rows, depth, least):
+    """All rows and features, as the random numbers are others: the same splits, but where gains tie."""
+    monkeypatch.setattr(review_model, "PART_ROWS", 2000)
+    train, _, vectors = odd_vectors(spark, rows)
+    weights = {0: 1.0, 1: 2.0}
+    library = RandomForestClassifier(
+        labelCol="is_low_review", weightCol="weight", numTrees=1, maxDepth=depth, minInstancesPerNode=least, bootstrap=False,
+        featureSubsetStrategy="all", seed=features.SEED).fit(vectors.withColumn("weight", F.col("is_low_review") + F.lit(1.0)))
+    labels = {r.is_low_review: (r["count"], weights[r.is_low_review]) for r in train.groupBy("is_low_review").count().collect()}
+    own = forest.forest(vectors.withColumnRenamed("is_low_review", "label"), labels, 1, depth, least, features.SEED, drawn=False)
+    path = scratch_path(spark, "library")
+    library.write().save(path)
+    trees = [{r.node: r for r in nodes.collect()} for nodes in (node_table.nodes_of(spark, path)[0], own.nodes)]
+    todo, same, ties = [(0, 0)], 0, 0
+    while todo:
+        want, got = (tree[n] for tree, n in zip(trees, todo.pop()))
+        assert (got.low is None) == (want.low is None) and got.value == pytest.approx(want.value, abs=1e-12)
+        assert want.low is None or got.gain == pytest.approx(want.gain, rel=1e-9)
+        if (want.feature, want.cut) == (got.feature, got.cut):
+            same += 1
+            todo += [] if want.low is None else [(want.low, got.low), (want.high, got.high)]
+        else:
+            ties += 1
+    assert ties <= same / 20 and abs(len(trees[0]) - len(trees[1])) <= len(trees[0]) / 50
+    assert own.featureImportances.toArray() == pytest.approx(library.featureImportances.toArray(), abs=0.01)
+
+
+def test_many_rows_are_fitted_tree_by_tree(spark, monkeypatch):
+    train, preparation, vectors = odd_vectors(spark, 6000)
+    test = train.filter("order_id % 5 = 0")
+    train, vectors = train.filter("order_id % 5 > 0"), vectors.filter("order_id % 5 > 0")
+    settings = {"trees": 16}
+    library = review_model.fit(train, "random_forest", preparation, rows=vectors, **settings)
+    monkeypatch.setattr(review_model, "SIDE_BY_SIDE_ROWS", 4000)
+    own, again = (review_model.fit(train, "random_forest", preparation, rows=vectors, **settings) for _ in range(2))
+    assert isinstance(own.fitted, forest.ForestTrees)
+    nodes = own.fitted.nodes
+    assert nodes.exceptAll(again.fitted.nodes).count() == 0  # a seed repeats its result
+    sizes = [r["count"] for r in nodes.groupBy("tree").count().collect()]
+    assert len(sizes) == 16 and len(set(sizes)) > 1  # every tree has rows and features of its own
+    assert np.mean(sizes) == pytest.approx(library.fitted.totalNumNodes / 16, rel=0.25)
+    want, got = (evaluation.all_metrics(m.score(test), "risk", "is_low_review").first() for m in (library, own))
+    assert got.roc_auc == pytest.approx(want.roc_auc, abs=0.02) and got.pr_auc == pytest.approx(want.pr_auc, abs=0.03)
+    assert own.fitted.featureImportances.toArray() == pytest.approx(library.fitted.featureImportances.toArray(), abs=0.02)
+    saved = review_model.as_saved(spark, own, scratch_path(spark, "model"))
+    risk = [{r.order_id: r.risk for r in m.score(test).collect()} for m in (own, saved)]
+    assert risk[1] == pytest.approx(risk[0], abs=1e-12)
+    monkeypatch.setattr(review_model, "MAX_ROWS", 4500)  # too many rows for deep trees; others go to the library
+    assert review_model.random_forest(vectors, 2, 3).totalNumNodes > 2
+    with pytest.raises(ValueError, match="too many nodes"):
+        review_model.random_forest(vectors, 2)
+
+
+def test_nodes_of_a_tree_by_hand():
+    """Feature 0 has three bins, feature 1 two; the labels follow feature 0 beyond its first bin, and nothing else parts them."""
+    rng, weights = np.random.default_rng(0), np.array([1.0, 1.0])
+    x = np.repeat([[0, 0], [1, 1], [2, 0]], 6, axis=0)
+    labels = np.repeat([0, 0, 1], 6).astype(np.uint8)
+    cuts = [np.array([0.5, 1.5]), np.array([0.5]), np.array([])]
+    groups = review_model.boosting.grouped(cuts)
+    cells = np.stack([sum(x[:, f] * stride for f, stride, _ in g) for g in groups]).astype(np.uint8)
+    table = forest.table_of(cells, labels, cuts, groups)
+    tree = forest.grown(table, rng, np.ones(18, np.uint8), weights, 30, 5, 3)
+    assert tree["low"].tolist() == [1, -1, -1] and (tree["feature"][0], tree["cut"][0]) == (0, 1)
+    assert tree["whole"].tolist() == [[12, 6], [12, 0], [0, 6]]
+    assert tree["gain"][0] == pytest.approx(4 / 9)
+    # too few drawn rows on a side, no depth, a single label, siblings that predict the same label: one leaf
+    for counts, least, depth in ((1, 7, 30), (1, 5, 0)):
+        assert len(forest.grown(table, rng, np.full(18, counts, np.uint8), weights, depth, least, 3)["low"]) == 1
+    assert len(forest.grown(forest.table_of(cells, labels * 0, cuts, groups), rng, np.ones(18, np.uint8), weights, 30, 5, 3)["low"]) == 1
+    assert len(forest.grown(table, rng, np.ones(18, np.uint8), np.array([1.0, 0.01]), 1, 7, 3)["low"]) == 1
+    # a row drawn twice counts twice
+    assert forest.grown(table, rng, np.full(18, 2, np.uint8), weights, 30, 7, 3)["whole"][0].tolist() == [24, 12]
+
+
+def test_features_are_drawn_like_a_reservoirs():
+    drawn = forest.drawn_features(np.random.default_rng(3), 20_000, 7, 3)
+    assert all(len(set(row)) == 3 for row in drawn[:500].tolist())
+    assert np.bincount(drawn.ravel(), minlength=7) / 20_000 == pytest.approx(np.full(7, 3 / 7), abs=0.02)
+    assert forest.drawn_features(np.random.default_rng(3), 2, 3, 3).tolist() == [[0, 1, 2]] * 2
+    assert forest.drawn_rows(np.random.default_rng(3), 200_000).mean() == pytest.approx(1, abs=0.01)
+
+
+def test_parted_rows_and_chunks(monkeypatch):
+    rows, sides = forest.parted(np.array([True, False, True, False, False, True]), np.array([4, 2]), np.arange(10, 16))
+    assert rows.tolist() == [11, 13, 10, 12, 14, 15] and sides.tolist() == [2, 2, 1, 1]
+    monkeypatch.setattr(forest, "CHUNK", 5)
+    assert list(forest.chunks(np.array([2, 3, 9, 1, 1, 4]))) == [(0, 2), (2, 3), (3, 5), (5, 6)]
